@@ -39,17 +39,35 @@ def _rows(col, dim: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs of rows have that cosine, in double precision; near the threshold each is computed from the vectors as they are."""
-    c = _unit(x) @ _unit(y).T
-    near = np.argwhere(np.abs(c - threshold) < 1e-12)
+def exact(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y, pair by pair, have that cosine in double precision; near the threshold from sums of their own."""
+    nx, ny = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    c = np.einsum("ij,ij->i", x, y) / (np.sqrt(nx) * np.sqrt(ny))
     out = c >= threshold
-    for i, j in near:
-        a, b = x[i], y[j]
-        out[i, j] = float(np.dot(a, b)) / (float(np.sqrt(np.dot(a, a))) * float(np.sqrt(np.dot(b, b)))) >= threshold
+    for k in np.flatnonzero(np.abs(c - threshold) < 1e-12):
+        a, b = x[k], y[k]
+        out[k] = float(np.dot(a, b)) / (float(np.sqrt(np.dot(a, a))) * float(np.sqrt(np.dot(b, b)))) >= threshold
     return out
 
 
+def linked(x: np.ndarray, y: np.ndarray, threshold: float):
+    """Yields (rows of x, rows of y): pairs that have that cosine, some rows of x at a time.
+
+    A product in single precision leaves out what is below the threshold by more than its error bound; what
+    is left is computed in double precision."""
+    dim = x.shape[1]
+    slack = 1e-6 + 2.4e-7 * (dim + 4)
+    x32, y32 = _unit(x).astype(np.float32), _unit(y).astype(np.float32).T
+    step = max(1, (1 << 22) // len(y))
+    for lo in range(0, len(x), step):
+        near = np.flatnonzero(x32[lo : lo + step] @ y32 >= np.float32(threshold - slack))
+        i, j = near // len(y) + lo, near % len(y)
+        part = max(1, (1 << 22) // dim)
+        ok = [exact(x[i[k : k + part]], y[j[k : k + part]], threshold) for k in range(0, len(i), part)]
+        ok = np.concatenate(ok) if ok else np.empty(0, bool)
+        yield i[ok], j[ok]
+
+
 def cells_of(x: np.ndarray, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Home cell of each row, and for each cell whether the row belongs to it."""
     r = np.sqrt(max(0.0, 2 - 2 * threshold))
@@ -138,13 +156,13 @@ def components_of(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame
         links = np.zeros(len(home), np.int64)
 
         def pairs():
-            step = max(1, (1 << 22) // len(member))
-            for lo in range(0, len(home), step):
-                close = linked(x[lo : lo + step], y, threshold)
-                close &= node[home[lo : lo + step], None] != node[member][None]
-                links[lo : lo + step] = close @ copies[member]
-                for k in np.flatnonzero(close.any(1)):
-                    yield place[home[lo + k]], place[member[close[k]]]
+            for i, j in linked(x, y, threshold):
+                other = node[home[i]] != node[member[j]]
+                i, j = i[other], j[other]
+                np.add.at(links, i, copies[member[j]])
+                ends = np.flatnonzero(np.diff(i, append=-1)) + 1
+                for a, e in zip([0, *ends[:-1]], ends):
+                    yield place[home[i[a]]], place[member[j[a:e]]]
 
         label = forest(pairs(), len(ids))
         moved = np.flatnonzero(label != np.arange(len(ids)))
