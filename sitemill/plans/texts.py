@@ -1 +1,838 @@
-"""Queries of text, vectors, labels and sources."""
+"""Queries of text, vectors, labels, sources and streams."""
+
+from __future__ import annotations
+
+import atexit
+import json
+import shutil
+import tempfile
+from pathlib import Path
+
+from pyspark.sql import Window as W, functions as F
+
+from ..functions import text as T
+from ..operators import graph, pools, scorers, sites, stats
+from ..sources import adapters, files, validate
+from .base import Corpus, sql
+from .citation import R6, joined
+from .registry import query
+
+_TOK = "regexp_extract_all(lower({}), '[a-z]+')"
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+_WORDS = "list_filter(list_distinct(" + _TOK + "), lambda w: NOT list_contains(" + _STOP + ", w))"
+
+
+def _t(s, d, name):
+    return adapters.table(s, d, name)
+
+
+# --- text
+
+
+@query("str_tokens_alpha", f"SELECT doc_id, array_to_string({_TOK.format('text')}, ' ') AS tokens FROM documents")
+def str_tokens_alpha(s, d):
+    return _t(s, d, "documents").select("doc_id", F.array_join(T.tokens_alpha(F.col("text")), " ").alias("tokens"))
+
+
+@query("str_tokens_alnum", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+'))::BIGINT AS n FROM documents")
+def str_tokens_alnum(s, d):
+    return _t(s, d, "documents").select("doc_id", F.size(T.tokens_alnum(F.col("text"))).cast("long").alias("n"))
+
+
+@query("str_stopwords", f"SELECT item_id, array_to_string(list_sort({_WORDS.format('text')}), ' ') AS words FROM benchmark")
+def str_stopwords(s, d):
+    return _t(s, d, "benchmark").select("item_id", F.array_join(F.array_sort(T.content_words(F.col("text"))), " ").alias("words"))
+
+
+_SH = "SELECT item_id, list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS s FROM (SELECT item_id, " + _TOK.format("text") + " AS w FROM benchmark)"
+
+
+@query("str_shingles", f"SELECT item_id, unnest(s) AS shingle FROM ({_SH})")
+def str_shingles(s, d):
+    return _t(s, d, "benchmark").select("item_id", F.explode(T.shingles(F.col("text"), 8)).alias("shingle"))
+
+
+@query("str_shingle_hash", f"SELECT item_id, len(s)::BIGINT AS n FROM ({_SH})")
+def str_shingle_hash(s, d):
+    return _t(s, d, "benchmark").select("item_id", F.size(F.array_distinct(F.transform(T.shingles(F.col("text"), 8), lambda x: F.xxhash64(x)))).cast("long").alias("n"))
+
+
+@query("str_title_containment", f"""SELECT doc_id, item_id, round(len(list_intersect(a, b)) / len(b)::DOUBLE, 6) AS share FROM
+  (SELECT doc_id, {_WORDS.format('text')} AS a FROM documents), (SELECT item_id, {_WORDS.format('text')} AS b FROM benchmark WHERE item_id < 8) WHERE len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / len(b)::DOUBLE >= 0.5""")
+def str_title_containment(s, d):
+    """Pairs by the words they share, so only documents with a word of a title are met."""
+    b = _t(s, d, "benchmark").where("item_id < 8").select("item_id", T.content_words(F.col("text")).alias("w"))
+    b = b.select("item_id", F.size("w").alias("size"), F.explode("w").alias("word"))
+    a = _t(s, d, "documents").select("doc_id", F.explode(T.content_words(F.col("text"))).alias("word"))
+    return a.join(b, "word").groupBy("doc_id", "item_id", "size").agg(F.count("*").alias("n")).where(F.col("n") / F.col("size") >= 0.5).select("doc_id", "item_id", R6(F.col("n") / F.col("size"), "share"))
+
+
+@query("str_surname", "SELECT c_custkey, lower(string_split(trim(c_name), '#')[1] || ' ' || c_mktsegment) AS full, lower(c_mktsegment) AS surname FROM customer")
+def str_surname(s, d):
+    name = F.concat(F.element_at(F.split("c_name", "#"), 1), F.lit(" "), F.col("c_mktsegment"))
+    return _t(s, d, "customer").select("c_custkey", F.lower(name).alias("full"), T.surname(name).alias("surname"))
+
+
+@query("str_is_easy", f"SELECT p_partkey, list_contains({_WORDS.format('p_name')}, lower(split_part(p_type, ' ', -1))) OR len(list_intersect({_WORDS.format('p_name')}, {_WORDS.format('p_type')})) / greatest(len({_WORDS.format('p_type')}), 1)::DOUBLE >= 0.5 AS easy FROM part")
+def str_is_easy(s, d):
+    return _t(s, d, "part").select("p_partkey", T.is_easy(F.col("p_name"), F.col("p_type"), F.array("p_type"), 0.5).alias("easy"))
+
+
+_WIN = "window_ AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 + 1 AS a, l_suppkey % 1200 + 1 AS b, 'item [' || (l_partkey % 50 + 1) || '] and [' || (l_suppkey % 1200 + 1) || '] seen' AS raw, 'item TARGETCIT and OTHERCIT seen' AS masked, o_custkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 0)"
+
+
+def _windows(s, d):
+    l = _t(s, d, "lineitem").join(_t(s, d, "orders").where("o_custkey % 10 = 0"), F.col("o_orderkey") == F.col("l_orderkey"))
+    raw = F.concat(F.lit("item ["), (F.col("l_partkey") % 50 + 1).cast("string"), F.lit("] and ["), (F.col("l_suppkey") % 1200 + 1).cast("string"), F.lit("] seen"))
+    return l.select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"), F.lit("item TARGETCIT and OTHERCIT seen").alias("masked")).withColumn("m", T.markers_with_numbers(F.col("raw"), F.col("masked")))
+
+
+@query("str_markers_with_numbers", f"WITH {_WIN} SELECT l_orderkey, l_linenumber, 'TARGETCIT=' || a || ',OTHERCIT=' || b AS markers FROM window_")
+def str_markers_with_numbers(s, d):
+    return _windows(s, d).select("l_orderkey", "l_linenumber", F.array_join(F.transform("m", lambda x: F.concat_ws("=", x["kind"], x["num"])), ",").alias("markers"))
+
+
+_BIB = """vote AS (SELECT DISTINCT o_custkey, a AS num, l_partkey AS refid FROM window_),
+bad AS (SELECT o_custkey, num FROM vote GROUP BY ALL HAVING count(DISTINCT refid) > 1 UNION SELECT o_custkey, num FROM vote JOIN (SELECT o_custkey, refid FROM vote GROUP BY ALL HAVING count(DISTINCT num) > 1) USING (o_custkey, refid)),
+bib AS (SELECT o_custkey, num, refid FROM vote WHERE (o_custkey, num) NOT IN (SELECT (o_custkey, num) FROM bad))"""
+
+
+def _bibliography(w):
+    """o_custkey, num, refid of numbers that denote one reference, which has that number alone."""
+    v = w.where(F.size(F.filter("m", lambda x: x["kind"] == T.TARGET)) == 1).select("o_custkey", F.filter("m", lambda x: x["kind"] == T.TARGET)[0]["num"].alias("num"), F.col("l_partkey").alias("refid")).where(T.plausible(F.col("num"))).distinct()
+    v = v.withColumn("refs", F.count("*").over(W.partitionBy("o_custkey", "num"))).withColumn("nums", F.count("*").over(W.partitionBy("o_custkey", "refid")))
+    return v.groupBy("o_custkey", "num").agg(F.max("refs").alias("r"), F.max("nums").alias("n"), F.min("refid").alias("refid")).where("r = 1 AND n = 1").select("o_custkey", "num", "refid")
+
+
+@query("agg_bibliography", f"WITH {_WIN}, {_BIB} SELECT o_custkey, num::VARCHAR AS num, refid FROM bib")
+def agg_bibliography(s, d):
+    return _bibliography(_windows(s, d))
+
+
+@query("str_resolve", f"""WITH {_WIN}, {_BIB} SELECT w.o_custkey, count(*) FILTER (t.refid = l_partkey) AS valid, count(*) FILTER (b > 1000) AS implausible, count(*) FILTER (b <= 1000 AND o.refid IS NULL) AS unresolvable,
+  count(*) FILTER (b <= 1000 AND o.refid = l_partkey) AS self, count(*) FILTER (b <= 1000 AND o.refid <> l_partkey) AS anchors FROM window_ w LEFT JOIN bib t ON t.o_custkey = w.o_custkey AND t.num = a LEFT JOIN bib o ON o.o_custkey = w.o_custkey AND o.num = b GROUP BY 1""")
+def str_resolve(s, d):
+    w = _windows(s, d)
+    bib = _bibliography(w)
+    of = lambda kind: F.filter("m", lambda x: x["kind"] == kind)[0]["num"]
+    w = w.withColumn("a", of(T.TARGET)).withColumn("b", of(T.OTHER))
+    w = w.join(bib.toDF("o_custkey", "a", "tref"), ["o_custkey", "a"], "left").join(bib.toDF("o_custkey", "b", "oref"), ["o_custkey", "b"], "left")
+    ok = T.plausible(F.col("b"))
+    return w.groupBy("o_custkey").agg(
+        F.count_if(F.col("tref") == F.col("l_partkey")).alias("valid"),
+        F.count_if(~ok).alias("implausible"),
+        F.count_if(ok & F.col("oref").isNull()).alias("unresolvable"),
+        F.count_if(ok & (F.col("oref") == F.col("l_partkey"))).alias("self"),
+        F.count_if(ok & (F.col("oref") != F.col("l_partkey"))).alias("anchors"),
+    )
+
+
+_BETWEEN = "CASE event_id % 6 WHEN 0 THEN ', ' WHEN 1 THEN ' and ' WHEN 2 THEN ' as shown by ' WHEN 3 THEN ' works. Then [' WHEN 4 THEN ' et al. show ' ELSE ' ends here. ' END"
+
+
+@query("str_tier", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'group' WHEN 1 THEN 'group' WHEN 2 THEN 'sentence' WHEN 3 THEN 'beyond' WHEN 4 THEN 'sentence' ELSE 'beyond' END AS tier FROM events")
+def str_tier(s, d):
+    return _t(s, d, "events").select("event_id", T.tier(F.expr(_BETWEEN)).alias("tier"))
+
+
+@query("win_nearest_tier", "SELECT user_id, min(CASE event_id % 6 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 4 THEN 1 ELSE 2 END) AS nearest FROM events GROUP BY user_id")
+def win_nearest_tier(s, d):
+    order = F.when(F.col("tier") == "group", 0).when(F.col("tier") == "sentence", 1).otherwise(2)
+    return str_tier(s, d).join(_t(s, d, "events").select("event_id", "user_id"), "event_id").groupBy("user_id").agg(F.min(order).alias("nearest"))
+
+
+@query("agg_tier_counts", "SELECT CASE event_id % 6 WHEN 0 THEN 'group' WHEN 1 THEN 'group' WHEN 2 THEN 'sentence' WHEN 4 THEN 'sentence' ELSE 'beyond' END AS tier, count(*) AS n FROM events GROUP BY 1")
+def agg_tier_counts(s, d):
+    return str_tier(s, d).groupBy("tier").agg(F.count("*").alias("n"))
+
+
+@query("str_tiers_from_markers")
+def str_tiers_from_markers(s, d):
+    """tier of the text between the two markers of each window."""
+    return _windows(s, d).select("l_orderkey", "l_linenumber", T.tier(F.regexp_extract("masked", "TARGETCIT(.*)OTHERCIT", 1)).alias("tier"))
+
+
+@query("str_render", f"WITH {_WIN} SELECT l_orderkey, l_linenumber, 'item ⟦T⟧ and [cit] seen' AS text FROM window_")
+def str_render(s, d):
+    return _windows(s, d).select("l_orderkey", "l_linenumber", T.render(F.col("masked"), F.array(F.lit("⟦T⟧"))).alias("text"))
+
+
+@query("str_stratum_of", """SELECT event_id, CASE WHEN c AND NOT d THEN 'transitive' WHEN c AND m THEN 'both_routes' WHEN m THEN 'marker_only' WHEN c AND a THEN 'clustering_only_aligned' WHEN c THEN 'clustering_only_unaligned'
+  WHEN j >= 0.2 THEN 'near_miss' WHEN j > 0 THEN 'weak_overlap' ELSE 'disjoint' END AS stratum FROM (SELECT event_id, event_id % 2 = 0 AS c, event_id % 3 = 0 AS m, event_id % 5 > 0 AS d, event_id % 7 > 2 AS a, (event_id % 11) / 20.0::DOUBLE AS j FROM events)""")
+def str_stratum_of(s, d):
+    m = lambda k: F.col("event_id") % k
+    return _t(s, d, "events").select("event_id", T.stratum(m(2) == 0, m(3) == 0, m(5) > 0, m(7) > 2, m(11) / 20.0).alias("stratum"))
+
+
+@query("str_sent2seq", f"SELECT item_id, array_to_string(list_resize(list_transform(list_filter({_TOK.format('text')}, lambda w: len(w) <= 4), lambda w: len(w))[1:12], 12, 0), ',') AS ids FROM benchmark")
+def str_sent2seq(s, d):
+    """Ids of known words (here those of at most 4 letters, their length being the id), cut or filled up to 12."""
+    w = F.transform(F.filter(T.tokens_alpha(F.col("text")), lambda x: F.length(x) <= 4), lambda x: F.length(x))
+    return _t(s, d, "benchmark").select("item_id", F.array_join(F.slice(F.concat(w, F.array_repeat(F.lit(0), 12)), 1, 12), ",").alias("ids"))
+
+
+@query("str_pgf_table")
+def str_pgf_table(s, d):
+    e = _t(s, d, "events").groupBy("event_type").agg(F.avg("value").alias("v"))
+    return e.select("event_type", F.format_string("%s %.4f", "event_type", F.coalesce("v", F.lit(float("nan")))).alias("line"))
+
+
+@query("str_parse_number", "SELECT o_orderkey, replace(format('{:,.2f}', o_totalprice), ',', '')::DOUBLE AS v, 2::BIGINT AS decimals FROM orders")
+def str_parse_number(s, d):
+    printed = F.format_number("o_totalprice", 2)
+    plain = F.regexp_replace(F.regexp_replace(printed, ",", ""), "−", "-")
+    return _t(s, d, "orders").select("o_orderkey", plain.cast("double").alias("v"), F.length(F.element_at(F.split(plain, r"\."), 2)).cast("long").alias("decimals"))
+
+
+@query("json_lookup", "SELECT event_id, (props ->> '$.k')::BIGINT AS k FROM events")
+def json_lookup(s, d):
+    return _t(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("hash_sha256", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def hash_sha256(s, d):
+    return _t(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+
+
+@query("set_jaccard", f"SELECT a.item_id AS a, b.item_id AS b, round(CASE WHEN len(a.w) = 0 OR len(b.w) = 0 THEN 0 ELSE len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))::DOUBLE END, 6) AS j FROM (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark) a, (SELECT item_id, {_WORDS.format('text')} AS w FROM benchmark) b WHERE a.item_id < b.item_id AND a.item_id % 20 = 0")
+def set_jaccard(s, d):
+    w = _t(s, d, "benchmark").select("item_id", T.content_words(F.col("text")).alias("w"))
+    a = w.where("item_id % 20 = 0").toDF("a", "wa")
+    return w.toDF("b", "wb").join(F.broadcast(a), F.col("a") < F.col("b")).select("a", "b", R6(T.jaccard(F.col("wa"), F.col("wb")), "j"))
+
+
+def _lines(s, d):
+    """Conversations as papers, turns as windows."""
+    return _t(s, d, "conversations").select(F.col("conv_id").alias("grp"), F.col("turn").alias("i"), "text").dropDuplicates(["grp", "i"])
+
+
+_TURNS = """turns AS (SELECT conv_id AS grp, turn AS i, any_value(text) AS text FROM conversations GROUP BY ALL), sh AS (
+  SELECT grp, i, list_distinct(list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1])) AS s FROM (SELECT grp, i, """ + _TOK.format("text") + """ AS w FROM turns)), link AS (
+  SELECT a.grp, a.i, b.i AS j, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))::DOUBLE AS jaccard FROM sh a JOIN sh b ON a.grp = b.grp AND a.i < b.i WHERE len(a.s) > 0 AND len(b.s) > 0)"""
+
+
+@query("jn_window_pairs", f"WITH {_TURNS} SELECT grp, i, j, round(jaccard, 6) AS jaccard FROM link WHERE jaccard >= 0.02")
+def jn_window_pairs(s, d):
+    return sites.window_pairs(_lines(s, d), 2, 0.02).select("grp", "i", "j", R6("jaccard"))
+
+
+@query("gr_components", f"WITH RECURSIVE {_TURNS}, r(grp, i, j) AS (SELECT grp, i, i FROM turns UNION SELECT r.grp, r.i, x.j FROM r JOIN (SELECT grp, i, j FROM link WHERE jaccard >= 0.02 UNION ALL SELECT grp, j, i FROM link WHERE jaccard >= 0.02) x ON x.grp = r.grp AND x.i = r.j) SELECT grp, i, dense_rank() OVER (PARTITION BY grp ORDER BY m) - 1 AS location FROM (SELECT grp, i, min(j) AS m FROM r GROUP BY ALL)")
+def gr_components(s, d):
+    w = _lines(s, d)
+    return sites.location_labels(w, sites.window_pairs(w, 2, 0.02))
+
+
+@query("win_best_occurrence", f"WITH {_TURNS} SELECT grp, i, arg_min(j, (-round(jaccard, 9), j)) AS best FROM link WHERE jaccard >= 0.01 GROUP BY ALL")
+def win_best_occurrence(s, d):
+    return sites.window_pairs(_lines(s, d), 2, 0.01).groupBy("grp", "i").agg(F.max_by("j", F.struct(F.round("jaccard", 9), -F.col("j"))).alias("best"))
+
+
+@query("win_contiguity", "SELECT user_id::VARCHAR AS citing_id, count(*) AS runs FROM (SELECT user_id, event_id, lag(user_id) OVER (ORDER BY event_id) AS p FROM events) WHERE p IS DISTINCT FROM user_id GROUP BY 1 HAVING count(*) > 1")
+def win_contiguity(s, d):
+    return sites.contiguous(_t(s, d, "events").select(F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("citing_id")))
+
+
+@query("src_group_contiguous", "SELECT user_id::VARCHAR AS citing_id, count(*) AS n FROM events GROUP BY 1")
+def src_group_contiguous(s, d):
+    return _t(s, d, "events").groupBy(F.col("user_id").cast("string").alias("citing_id")).agg(F.count("*").alias("n"))
+
+
+# --- BM25, vectors, top-k
+
+_BM = """q AS (SELECT item_id AS query, token, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark WHERE item_id % 10 = 0) GROUP BY ALL),
+tk AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), tf AS (SELECT id, len, token, count(*) AS f FROM (SELECT id, len(w) AS len, unnest(w) AS token FROM tk) GROUP BY ALL),
+df AS (SELECT token, ln(1 + ((SELECT count(*) FROM tk) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf GROUP BY token)"""
+
+
+@query("sc_bm25", f"WITH {_BM} SELECT query, id, round(sum(times * idf * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (SELECT avg(len(w)) FROM tk)))), 6) AS score FROM q JOIN tf USING (token) JOIN df USING (token) GROUP BY ALL")
+def sc_bm25(s, d):
+    q = _t(s, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query"), "text")
+    return scorers.bm25(q, _t(s, d, "documents").select(F.col("doc_id").alias("id"), "text")).select("query", "id", R6("score"))
+
+
+@query("agg_bm25_stats", f"WITH {_BM} SELECT token, count(*) AS df, sum(f)::BIGINT AS cf FROM tf GROUP BY token")
+def agg_bm25_stats(s, d):
+    tf, _ = scorers.bm25_stats(_t(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+    return tf.groupBy("token").agg(F.count("*").alias("df"), F.sum("f").alias("cf"))
+
+
+@query("math_idf", f"WITH {_BM} SELECT token, round(idf, 6) AS idf FROM df")
+def math_idf(s, d):
+    return scorers.bm25_stats(_t(s, d, "documents").select(F.col("doc_id").alias("id"), "text"))[1].select("token", R6("idf"))
+
+
+_VEC = "v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)"
+_COS = "list_inner_product(a.x, b.x) / (sqrt(list_inner_product(a.x, a.x)) * sqrt(list_inner_product(b.x, b.x)))"
+
+
+def _unit(s, d):
+    return adapters.numbered_vectors(s, d).select("vec_id", scorers.normalised(F.col("x")).alias("x"))
+
+
+for _name, _lo in (("top_k_vectors", 50), ("top_k_merge", 25), ("jn_knn_cross", 100)):
+
+    @query(_name, f"WITH {_VEC} SELECT query, id, round(sim, 6) AS sim, rank FROM (SELECT a.vec_id AS query, b.vec_id AS id, {_COS} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM v a, v b WHERE a.vec_id % {_lo} = 0) WHERE rank <= 10")
+    def _knn(s, d, lo=_lo):
+        u = _unit(s, d)
+        return scorers.top_k(u.where(F.col("vec_id") % lo == 0).toDF("query", "x"), u.toDF("id", "y"), 10).select("query", "id", R6("sim"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("agg_recall_cutoffs", f"WITH {_VEC}, r AS (SELECT a.vec_id AS query, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM v a, v b WHERE a.vec_id % 50 = 0) SELECT k, round(avg((rank <= k)::INT), 6) AS recall FROM (SELECT r.* FROM r JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = id WHERE a.label = b.label), (VALUES (1), (10), (100)) c(k) GROUP BY k")
+def agg_recall_cutoffs(s, d):
+    u = _unit(s, d)
+    lab = _t(s, d, "embeddings").select("vec_id", "label")
+    top = scorers.top_k(u.where("vec_id % 50 = 0").toDF("query", "x"), u.toDF("id", "y"), 100).select("query", "id", "rank")
+    gold = lab.where("vec_id % 50 = 0").toDF("query", "label").join(lab.toDF("id", "label"), "label").join(top, ["query", "id"], "left")
+    return gold.withColumn("k", F.explode(F.array(*map(F.lit, (1, 10, 100))))).groupBy("k").agg(R6(F.avg(F.coalesce((F.col("rank") <= F.col("k")).cast("double"), F.lit(0.0))), "recall"))
+
+
+@query("an_retrieve", "SELECT count(*) FILTER (vec_id % 50 = 0) AS queries, count(*) AS corpus FROM embeddings")
+def an_retrieve(s, d):
+    return _t(s, d, "embeddings").agg(F.count_if(F.col("vec_id") % 50 == 0).alias("queries"), F.count("*").alias("corpus"))
+
+
+@query("sc_dense", f"WITH {_VEC} SELECT a.vec_id AS context, b.vec_id AS candidate, round({_COS}, 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
+@query("sc_mmap_dense", f"WITH {_VEC} SELECT a.vec_id AS context, b.vec_id AS candidate, round({_COS}, 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
+def sc_dense(s, d):
+    u = _unit(s, d)
+    n = u.agg(F.count("*").alias("n"))
+    a = u.crossJoin(F.broadcast(n)).select(F.col("vec_id").alias("context"), F.col("x").alias("a"), ((F.col("vec_id") * 7 + 3) % F.col("n")).alias("candidate"))
+    return a.join(u.toDF("candidate", "b"), "candidate").select("context", "candidate", R6(scorers.dot(F.col("a"), F.col("b")), "sim"))
+
+
+@query("gr_node_similarity", f"WITH {_VEC} SELECT a.vec_id AS context, round(greatest({_COS}, 0), 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
+def gr_node_similarity(s, d):
+    return sc_dense(s, d).select("context", F.greatest("sim", F.lit(0.0)).alias("sim"))
+
+
+@query("sc_graph_embedding", f"WITH {_VEC} SELECT a.vec_id AS context, round(CASE WHEN a.vec_id % 3 = 0 THEN 0 ELSE greatest({_COS}, 0) END, 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
+def sc_graph_embedding(s, d):
+    """Similarity to the citing paper's node, 0 where that is unknown (here every third)."""
+    return gr_node_similarity(s, d).select("context", F.when(F.col("context") % 3 == 0, 0.0).otherwise(F.col("sim")).alias("sim"))
+
+
+@query("gr_null_control", "SELECT count(*) AS n, 0.5::DOUBLE AS swap FROM embeddings")
+def gr_null_control(s, d):
+    """A score of the candidate alone can't tell a swap: 0.5 exactly."""
+    from ..functions.probes import swap_outcome
+
+    v = adapters.numbered_vectors(s, d).select(F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
+    return v.agg(F.count("*").alias("n"), F.avg(swap_outcome(F.col("a"), F.col("b"), F.col("b"), F.col("a"))).alias("swap"))
+
+
+@query("src_parquet_vectors", f"WITH {_VEC} SELECT vec_id, len(x)::BIGINT AS dim, round(list_sum(list_transform(x, lambda c: c / sqrt(list_inner_product(x, x)))), 5) AS total FROM v")
+def src_parquet_vectors(s, d):
+    return _unit(s, d).select("vec_id", F.size("x").cast("long").alias("dim"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 5).alias("total"))
+
+
+@query("agg_reports_minmax", f"WITH {_VEC} SELECT count(*) AS n, round(min(sqrt(list_inner_product(x, x))), 5) AS lo, round(max(sqrt(list_inner_product(x, x))), 5) AS hi, 0::BIGINT AS zeros FROM v")
+def agg_reports_minmax(s, d):
+    n = adapters.numbered_vectors(s, d).select(F.sqrt(scorers.dot(F.col("x"), F.col("x"))).alias("v"))
+    return n.agg(F.count("*").alias("n"), F.round(F.min("v"), 5).alias("lo"), F.round(F.max("v"), 5).alias("hi"), F.count_if((F.col("v") == 0) | F.isnan("v")).alias("zeros"))
+
+
+@query("flt_kind", "SELECT vec_id FROM embeddings WHERE label = 1")
+def flt_kind(s, d):
+    return _t(s, d, "embeddings").where("label = 1").select("vec_id")
+
+
+@query("src_lazy_slice")
+def src_lazy_slice(s, d):
+    return _t(s, d, "embeddings").repartition(4, "vec_id").groupBy(F.spark_partition_id().alias("shard")).agg(F.count("*").alias("n"))
+
+
+@query("sc_embed")
+def sc_embed(s, d):
+    """A pluggable encoder in Arrow batches; this one hashes words into 16 dimensions."""
+    return _encoded(_t(s, d, "benchmark").select(F.col("item_id").cast("string").alias("key"), "text"))
+
+
+def _encoded(texts):
+    import pandas as pd
+
+    def run(batches):
+        from zlib import crc32
+
+        for pdf in batches:
+            out = []
+            for t in pdf["text"]:
+                v = [0.0] * 16
+                for w in (t or "").lower().split():
+                    v[crc32(w.encode()) % 16] += 1.0
+                n = sum(x * x for x in v) ** 0.5
+                out.append([x / n if n else 0.0 for x in v])
+            yield pd.DataFrame({"key": pdf["key"], "embedding": out})
+
+    return texts.mapInPandas(run, "key string, embedding array<double>")
+
+
+@query("gr_word2vec")
+def gr_word2vec(s, d):
+    """Skip-gram vectors of nodes from walks, with the library's own trainer."""
+    from pyspark.ml.feature import Word2Vec
+
+    w = graph.walks(Corpus(s, d).edges, 5, 1).groupBy("start", "walk_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda x: x["node"]).alias("walk"))
+    model = Word2Vec(vectorSize=8, minCount=0, maxIter=1, seed=0, inputCol="walk", outputCol="v", numPartitions=1).fit(w)
+    return model.getVectors().select("word")
+
+
+@query("sink_walk_corpus")
+def sink_walk_corpus(s, d):
+    w = graph.walks(Corpus(s, d).edges, 4, 1)
+    return w.groupBy("start", "walk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda x: x["node"]), " ").alias("line"))
+
+
+# --- labels: agreement and estimates. Two readers are labels.quality and labels.toxic, mapped to G, S, W, N.
+
+_LAB = "lab AS (SELECT doc_id, CASE WHEN quality = 1 THEN CASE WHEN doc_id % 3 = 0 THEN 'S' ELSE 'G' END ELSE 'W' END AS a, CASE WHEN toxic = 1 THEN 'W' WHEN doc_id % 4 = 0 THEN 'S' ELSE 'G' END AS b, doc_id % 4 AS cell, doc_id % 2 = 0 AS clustering, 100 * (doc_id % 4 + 1) AS pop FROM labels)"
+
+
+def _readers(s, d):
+    k = lambda n: F.col("doc_id") % n
+    a = F.when(F.col("quality") == 1, F.when(k(3) == 0, "S").otherwise("G")).otherwise("W")
+    b = F.when(F.col("toxic") == 1, "W").when(k(4) == 0, "S").otherwise("G")
+    return _t(s, d, "labels").select("doc_id", a.alias("a"), b.alias("b"), k(4).alias("cell"), (k(2) == 0).alias("clustering"), (100 * (k(4) + 1)).alias("pop"))
+
+
+@query("agg_kappa", f"WITH {_LAB}, p AS (SELECT count(*) AS n, avg((a = b)::INT) AS raw FROM lab), e AS (SELECT sum(x * y)::DOUBLE AS s FROM (SELECT a AS k, count(*) AS x FROM lab GROUP BY a) JOIN (SELECT b AS k, count(*) AS y FROM lab GROUP BY b) USING (k)) SELECT n, round(raw, 6) AS raw, round((raw - s / (n * n)) / (1 - s / (n * n)), 6) AS kappa FROM p, e")
+def agg_kappa(s, d):
+    return stats.kappa(_readers(s, d), "a", "b").select("n", R6("raw"), R6("kappa"))
+
+
+@query("agg_confusion", f"WITH {_LAB} SELECT a, count(*) FILTER (b = 'G') AS \"G\", count(*) FILTER (b = 'S') AS \"S\", count(*) FILTER (b = 'W') AS \"W\" FROM lab GROUP BY a")
+def agg_confusion(s, d):
+    return _readers(s, d).groupBy("a").agg(*(F.count_if(F.col("b") == x).alias(x) for x in "GSW"))
+
+
+@query("agg_by_stratum", f"WITH {_LAB} SELECT cell, a AS label, count(*) AS n FROM lab GROUP BY ALL")
+def agg_by_stratum(s, d):
+    return _readers(s, d).groupBy("cell", F.col("a").alias("label")).agg(F.count("*").alias("n"))
+
+
+@query("agg_cell_population", f"WITH {_LAB} SELECT cell, count(*) AS n, max(pop) AS pop FROM lab GROUP BY cell")
+def agg_cell_population(s, d):
+    return _readers(s, d).groupBy("cell").agg(F.count("*").alias("n"), F.max("pop").alias("pop"))
+
+
+@query("agg_proxy", f"WITH {_LAB} SELECT b AS tier, round(avg((a = b)::INT), 6) AS agreement FROM lab GROUP BY b")
+def agg_proxy(s, d):
+    return _readers(s, d).groupBy(F.col("b").alias("tier")).agg(R6(F.avg((F.col("a") == F.col("b")).cast("double")), "agreement"))
+
+
+@query("agg_anatomy", f"WITH {_LAB} SELECT cell, round(100.0::DOUBLE * sum((clustering AND a <> 'G')::INT) / count(*), 6) AS wrong_per_100 FROM lab GROUP BY cell")
+def agg_anatomy(s, d):
+    return _readers(s, d).groupBy("cell").agg(R6(100.0 * F.count_if(F.col("clustering") & (F.col("a") != "G")) / F.count("*"), "wrong_per_100"))
+
+
+_PRF = f"WITH {_LAB}, c AS (SELECT cell, max(pop) AS pop, avg((clustering AND a = 'G')::INT) AS tp, avg((clustering AND a <> 'G')::INT) AS fp, avg((NOT clustering AND a = 'G')::INT) AS fn FROM lab GROUP BY cell) SELECT round(sum(pop * tp) / sum(pop * (tp + fp)), 6) AS precision, round(sum(pop * tp) / sum(pop * (tp + fn)), 6) AS recall, round(2 * sum(pop * tp) / sum(pop * (2 * tp + fp + fn)), 6) AS f1 FROM c"
+
+
+@query("agg_poststrat_prf", _PRF)
+@query("an_annotation_score", _PRF)
+def agg_poststrat_prf(s, d):
+    share = lambda c: F.avg(c.cast("double"))
+    anchor, good = F.col("clustering"), F.col("a") == "G"
+    c = _readers(s, d).groupBy("cell").agg(F.max("pop").alias("pop"), share(anchor & good).alias("tp"), share(anchor & ~good).alias("fp"), share(~anchor & good).alias("fn"))
+    t = c.agg(*(F.sum(F.col("pop") * F.col(x)).alias(x) for x in ("tp", "fp", "fn")))
+    return t.select(R6(F.col("tp") / (F.col("tp") + F.col("fp")), "precision"), R6(F.col("tp") / (F.col("tp") + F.col("fn")), "recall"), R6(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), "f1"))
+
+
+@query("jn_key_labels", f"WITH {_LAB} SELECT d.doc_id, a FROM documents d JOIN lab USING (doc_id)")
+def jn_key_labels(s, d):
+    return _t(s, d, "documents").select("doc_id").join(_readers(s, d).select("doc_id", "a"), "doc_id")
+
+
+@query("bs_poststrat")
+def bs_poststrat(s, d):
+    """lo, hi of precision over resampled cells, on the driver from a table of a few cells."""
+    import random
+
+    rows = [(r["cell"], r["pop"], r["clustering"], r["a"] == "G", r["doc_id"] % 50) for r in _readers(s, d).groupBy("cell", "pop", "clustering", "a", "doc_id").count().collect()]
+    by: dict = {}
+    for r in rows:
+        by.setdefault(r[4], []).append(r)
+    rng, papers, out = random.Random(0), sorted(by), []
+    for _ in range(200):
+        draw = [r for _ in papers for r in by[rng.choice(papers)]]
+        cells: dict = {}
+        for cell, pop, anchor, good, _ in draw:
+            c = cells.setdefault(cell, [pop, 0, 0, 0])
+            c[1] += 1
+            c[2] += anchor and good
+            c[3] += anchor and not good
+        tp, fp = (sum(c[0] * c[k] / c[1] for c in cells.values()) for k in (2, 3))
+        out.append(tp / (tp + fp) if tp + fp else float("nan"))
+    out.sort()
+    return s.createDataFrame([(out[int(0.025 * (len(out) - 1))], out[round(0.975 * (len(out) - 1))])], "lo double, hi double")
+
+
+# --- histograms and bands over values
+
+
+_VAL = "val AS (SELECT event_id, value AS v FROM events WHERE value IS NOT NULL)"
+
+
+@query("agg_histogram", f"WITH {_VAL} SELECT least(floor((v - lo) / w), 19)::BIGINT AS bin, count(*) AS n FROM val, (SELECT min(v) AS lo, (max(v) - min(v)) / 20 AS w FROM val) GROUP BY 1")
+def agg_histogram(s, d):
+    v = _t(s, d, "events").where("value IS NOT NULL").select(F.col("value").alias("v"))
+    e = v.agg(F.min("v").alias("lo"), ((F.max("v") - F.min("v")) / 20).alias("w"))
+    b = F.when(F.col("w") > 0, F.least(F.floor(F.try_divide(F.col("v") - F.col("lo"), F.col("w"))), F.lit(19))).otherwise(0)
+    return v.crossJoin(F.broadcast(e)).groupBy(b.alias("bin")).agg(F.count("*").alias("n"))
+
+
+@query("agg_count_modes", f"WITH {_VAL}, h AS (SELECT b AS bin, coalesce(n, 0) AS n FROM range(20) r(b) LEFT JOIN (SELECT least(floor((v - lo) / w), 19)::BIGINT AS b, count(*) AS n FROM val, (SELECT min(v) AS lo, (max(v) - min(v)) / 20 AS w FROM val) GROUP BY 1) USING (b)), sm AS (SELECT bin, avg(n) OVER (ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM h) SELECT count(*) AS modes FROM (SELECT v, coalesce(lag(v) OVER (ORDER BY bin), -1) AS l, coalesce(lead(v) OVER (ORDER BY bin), -1) AS r, max(v) OVER () AS top FROM sm) WHERE v >= 0.05 * top AND v > l AND v > r")
+def agg_count_modes(s, d):
+    h = s.range(20).select(F.col("id").alias("bin")).join(agg_histogram(s, d), "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    w = W.orderBy("bin")  # 20 rows
+    sm = h.withColumn("v", F.avg("n").over(w.rowsBetween(-1, 1)))
+    x = sm.select("v", F.coalesce(F.lag("v").over(w), F.lit(-1.0)).alias("l"), F.coalesce(F.lead("v").over(w), F.lit(-1.0)).alias("r"), F.max("v").over(W.partitionBy()).alias("top"))
+    return x.agg(F.count_if((F.col("v") >= 0.05 * F.col("top")) & (F.col("v") > F.col("l")) & (F.col("v") > F.col("r"))).alias("modes"))
+
+
+_EDGES = "edges AS (SELECT xs[len(xs) // 3 + 1] AS lo, xs[least(2 * len(xs) // 3, len(xs) - 1) + 1] AS hi FROM (SELECT list_sort(list(v)) AS xs FROM val))"
+
+
+def _terciles(v):
+    """lo, hi: elements n // 3 and 2n // 3 of the sorted values, from counts of equal ones."""
+    n = v.agg(F.count("*").alias("n"))
+    c = v.groupBy("v").agg(F.count("*").alias("k")).withColumn("top", F.sum("k").over(W.orderBy("v"))).crossJoin(F.broadcast(n))
+    at = lambda i: F.min(F.when(F.col("top") > i, F.col("v")))
+    return c.agg(at(F.floor(F.col("n") / 3)).alias("lo"), at(F.least(F.floor(2 * F.col("n") / 3), F.col("n") - 1)).alias("hi"))
+
+
+@query("win_tercile_edges", f"WITH {_VAL}, {_EDGES} SELECT lo, hi FROM edges")
+def win_tercile_edges(s, d):
+    return _terciles(_t(s, d, "events").where("value IS NOT NULL").select(F.col("value").alias("v")))
+
+
+_BAND = f"WITH {_VAL}, {_EDGES} SELECT event_id, CASE WHEN v < lo THEN 'low' WHEN v >= hi THEN 'high' ELSE 'mid' END AS band FROM val, edges"
+
+
+@query("math_bands", _BAND)
+def math_bands(s, d):
+    v = _t(s, d, "events").where("value IS NOT NULL").select("event_id", F.col("value").alias("v"))
+    return v.crossJoin(F.broadcast(_terciles(v.select("v")))).select("event_id", F.when(F.col("v") < F.col("lo"), "low").when(F.col("v") >= F.col("hi"), "high").otherwise("mid").alias("band"))
+
+
+@query("agg_grid", f"SELECT p AS ppmi, c AS cosine, count(event_id) AS n FROM (VALUES ('zero'), ('low'), ('high')) x(p), (VALUES ('low'), ('mid'), ('high')) y(c) LEFT JOIN (SELECT event_id, band, CASE event_id % 4 WHEN 0 THEN 'zero' WHEN 1 THEN 'low' ELSE 'high' END AS pb FROM ({_BAND})) ON band = c AND pb = p GROUP BY ALL")
+def agg_grid(s, d):
+    """All nine cells, those without rows too."""
+    k = F.col("event_id") % 4
+    rows = math_bands(s, d).select(F.when(k == 0, "zero").when(k == 1, "low").otherwise("high").alias("ppmi"), F.col("band").alias("cosine")).groupBy("ppmi", "cosine").agg(F.count("*").alias("n"))
+    cells = s.createDataFrame([(p, c) for p in ("zero", "low", "high") for c in ("low", "mid", "high")], "ppmi string, cosine string")
+    return cells.join(rows, ["ppmi", "cosine"], "left").select("ppmi", "cosine", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("agg_topical_split", f"WITH {_VAL}, {_EDGES} SELECT v >= hi AS topical, count(*) AS n, round(avg(v), 6) AS mean FROM val, edges GROUP BY 1")
+def agg_topical_split(s, d):
+    v = _t(s, d, "events").where("value IS NOT NULL").select(F.col("value").alias("v"))
+    return v.crossJoin(F.broadcast(_terciles(v))).groupBy((F.col("v") >= F.col("hi")).alias("topical")).agg(F.count("*").alias("n"), R6(F.avg("v"), "mean"))
+
+
+@query("agg_anchor_map", f"WITH {_VAL}, o AS (SELECT quantile_cont(v, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS e FROM val) SELECT event_id % 8 AS row, len(list_filter(e, lambda x: v >= x))::BIGINT AS octile, count(*) AS n FROM val, o GROUP BY ALL")
+def agg_anchor_map(s, d):
+    v = _t(s, d, "events").where("value IS NOT NULL").select("event_id", F.col("value").alias("v"))
+    e = v.agg(F.expr("percentile(v, array(0.125D, 0.25D, 0.375D, 0.5D, 0.625D, 0.75D, 0.875D))").alias("e"))
+    return v.crossJoin(F.broadcast(e)).groupBy((F.col("event_id") % 8).alias("row"), F.size(F.filter("e", lambda x: F.col("v") >= x)).cast("long").alias("octile")).agg(F.count("*").alias("n"))
+
+
+@query("agg_headroom", "SELECT round(avg(h), 6) AS hard, round(avg(e), 6) AS easy, round(avg(h) - avg(e), 6) AS difference, count(*) AS papers FROM (SELECT user_id, avg(value) FILTER (event_id % 3 > 0) AS h, avg(value) FILTER (event_id % 3 = 0) AS e FROM events GROUP BY user_id)")
+@query("an_hard_easy", "SELECT round(avg(h), 6) AS hard, round(avg(e), 6) AS easy, round(avg(h) - avg(e), 6) AS difference, count(*) AS papers FROM (SELECT user_id, avg(value) FILTER (event_id % 3 > 0) AS h, avg(value) FILTER (event_id % 3 = 0) AS e FROM events GROUP BY user_id)")
+def agg_headroom(s, d):
+    hard = F.col("event_id") % 3 > 0
+    p = _t(s, d, "events").groupBy("user_id").agg(F.avg(F.when(hard, F.col("value"))).alias("h"), F.avg(F.when(~hard, F.col("value"))).alias("e"))
+    return p.agg(R6(F.avg("h"), "hard"), R6(F.avg("e"), "easy"), R6(F.avg("h") - F.avg("e"), "difference"), F.count("*").alias("papers"))
+
+
+@query("bs_joint")
+def bs_joint(s, d):
+    """lo, hi of the difference between two slices over one resample of papers."""
+    import numpy as np
+
+    hard = F.col("event_id") % 3 > 0
+    rows = _t(s, d, "events").groupBy("user_id").agg(F.avg(F.when(hard, F.col("value"))).alias("h"), F.avg(F.when(~hard, F.col("value"))).alias("e")).orderBy("user_id").collect()
+    x = np.array([[r["h"] if r["h"] is not None else np.nan, r["e"] if r["e"] is not None else np.nan] for r in rows])
+    at = np.random.default_rng(0).integers(0, len(x), (1000, len(x)))
+    m = np.nanmean(x[at], axis=1)
+    lo, hi = np.quantile(m[:, 0] - m[:, 1], [0.025, 0.975])
+    return s.createDataFrame([(float(lo), float(hi))], "lo double, hi double")
+
+
+@query("bs_pool_cluster_ci")
+def bs_pool_cluster_ci(s, d):
+    """lo, hi of sum / count over resampled papers."""
+    import numpy as np
+
+    rows = _t(s, d, "events").groupBy("user_id").agg(F.sum("value").alias("t"), F.count("value").alias("n")).orderBy("user_id").collect()
+    t, n = np.array([r["t"] or 0.0 for r in rows]), np.array([r["n"] for r in rows])
+    at = np.random.default_rng(0).integers(0, len(t), (1000, len(t)))
+    lo, hi = np.quantile(t[at].sum(1) / n[at].sum(1), [0.025, 0.975])
+    return s.createDataFrame([(float(lo), float(hi))], "lo double, hi double")
+
+
+# --- cohorts over thresholds
+
+_THETAS = (0.003, 0.005, 0.01)
+_COHORT = f"WITH {_TURNS}, m AS (SELECT t, grp, count(*) AS n FROM link, (VALUES (0.003), (0.005), (0.01)) v(t) WHERE jaccard >= t GROUP BY ALL)"
+
+
+@query("jn_cohort", f"{_COHORT} SELECT grp FROM m GROUP BY grp HAVING count(*) = 3")
+@query("jn_swap_cohort", f"{_COHORT} SELECT grp FROM m GROUP BY grp HAVING count(*) = 3")
+def jn_cohort(s, d):
+    """Groups with a link at every threshold, from one join at the lowest."""
+    p = sites.window_pairs(_lines(s, d), 2, min(_THETAS)).withColumn("t", F.explode(F.array(*map(F.lit, _THETAS)))).where(F.col("jaccard") >= F.col("t"))
+    return p.groupBy("grp").agg(F.count_distinct("t").alias("n")).where(F.col("n") == len(_THETAS)).select("grp")
+
+
+@query("agg_theta_composition", f"{_COHORT} SELECT t::DOUBLE AS theta, sum(n)::BIGINT AS links, count(*) AS papers FROM m GROUP BY t")
+@query("an_theta", f"{_COHORT} SELECT t::DOUBLE AS theta, sum(n)::BIGINT AS links, count(*) AS papers FROM m GROUP BY t")
+def agg_theta_composition(s, d):
+    p = sites.window_pairs(_lines(s, d), 2, min(_THETAS)).withColumn("theta", F.explode(F.array(*map(F.lit, _THETAS)))).where(F.col("jaccard") >= F.col("theta"))
+    return p.groupBy("theta").agg(F.count("*").alias("links"), F.count_distinct("grp").alias("papers"))
+
+
+# --- sources and sinks; files go to a folder of the driver's that ends with it
+
+
+def _folder() -> Path:
+    path = Path(tempfile.mkdtemp(prefix="sitemill-files-"))
+    atexit.register(shutil.rmtree, path, True)
+    return path
+
+
+def _written(s, d):
+    """The test split's contexts and the papers as files of the corpus contract, through Spark's writers."""
+    from ..session import scratch_path
+
+    c, at = Corpus(s, d), scratch_path(s)
+    c.ctx.select("context_id", "citing_id", "refid", F.lit("x [1]").alias("raw"), F.lit("x TARGETCIT").alias("masked_text")).write.json(f"{at}/contexts")
+    c.papers.withColumn("authors", F.array("title")).write.json(f"{at}/papers")
+    return c, at
+
+
+@query("src_jsonl_contexts", sql("SELECT context_id, citing_id, refid, 'x TARGETCIT' AS masked FROM ctx WHERE split = 'test' AND location = 0"))
+def src_jsonl_contexts(s, d):
+    c, at = _written(s, d)
+    return files.read_contexts(s, f"{at}/contexts", c.ctx.where("location = 0")).select("context_id", "citing_id", "refid", "masked")
+
+
+@query("src_upstream_contexts", sql("SELECT count(*) AS found FROM ctx WHERE split = 'test'"))
+def src_upstream_contexts(s, d):
+    c, at = _written(s, d)
+    return files.read_contexts(s, f"{at}/contexts", c.ctx).agg(F.count("*").alias("found"))
+
+
+for _name in ("src_jsonl_papers", "src_papers_upstream"):
+
+    @query(_name, sql("SELECT id, title, abstract FROM paper WHERE id IN (SELECT refid FROM ctx WHERE split = 'test')"))
+    def _papers(s, d):
+        c, at = _written(s, d)
+        return files.read_papers(s, f"{at}/papers", c.ctx.select(F.col("refid").alias("id"))).select("id", "title", "abstract")
+
+
+@query("src_json_array_stream", "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation")
+def src_json_array_stream(s, d):
+    f = _folder() / "a.json"
+    f.write_text(json.dumps([{"k": r[0], "name": r[1]} for r in _t(s, d, "nation").select("n_nationkey", "n_name").collect()]))
+    return files.read_array(s, f"file://{f}", "k long, name string")
+
+
+@query("src_json_object_stream")
+def src_json_object_stream(s, d):
+    f = _folder() / "o.json"
+    f.write_text(json.dumps({r[1]: {"k": r[0]} for r in _t(s, d, "nation").select("n_nationkey", "n_name").collect()}))
+    s.dataSource.register(files.JsonObjectSource)
+    return s.read.format("json_object").load(str(f))
+
+
+@query("src_parquet_texts", "SELECT p_partkey::VARCHAR AS key, 'paper' AS kind, p_name AS text FROM part")
+@query("src_pickle_index", "SELECT p_partkey::VARCHAR AS key, 'paper' AS kind, p_name AS text FROM part")
+def src_parquet_texts(s, d):
+    from ..session import scratch_path
+
+    at = scratch_path(s)
+    Corpus(s, d).papers.select(F.col("id").alias("key"), F.lit("paper").alias("kind"), F.col("title").alias("text")).write.parquet(at + "/t")
+    return s.read.parquet(at + "/t")
+
+
+@query("src_mmap_store", "SELECT count(*) AS n, 64::BIGINT AS dim FROM embeddings")
+def src_mmap_store(s, d):
+    from ..session import scratch_path
+
+    at = scratch_path(s)
+    _unit(s, d).withColumnRenamed("vec_id", "key").repartition("key").sortWithinPartitions("key").write.parquet(at + "/v")
+    return s.read.parquet(at + "/v").agg(F.count("*").alias("n"), F.max(F.size("x")).cast("long").alias("dim"))
+
+
+@query("src_npz_graph", sql("SELECT a, b, n FROM edge"))
+def src_npz_graph(s, d):
+    from ..session import scratch_path
+
+    at = scratch_path(s)
+    Corpus(s, d).edges.write.parquet(at + "/g")
+    return s.read.parquet(at + "/g")
+
+
+@query("src_export_load", sql("SELECT context_id, gold FROM elig WHERE reason = 'kept'"))
+def src_export_load(s, d):
+    f = _folder()
+    files.export({"rank": Corpus(s, d).eligible.where("reason = 'kept'").select("context_id", "gold")}, str(f), {"pool_size": 10})
+    return s.read.schema("context_id string, gold string").json(f"file://{f}/rank.jsonl")
+
+
+@query("sink_export")
+def sink_export(s, d):
+    f = _folder()
+    m = files.export({"swap": pools.swap_pairs(Corpus(s, d).anchored)}, str(f), {"k": 5})
+    return s.createDataFrame([(n, c) for n, c in m["counts"].items()], "name string, n long")
+
+
+@query("an_verify_export")
+def an_verify_export(s, d):
+    f = _folder()
+    files.export({"swap": pools.swap_pairs(Corpus(s, d).anchored)}, str(f), {"k": 5})
+    return s.createDataFrame([("swap", len(files.verify_export(str(f))))], "name string, problems long")
+
+
+@query("src_prefetch", sql("SELECT context_id, count(*) AS n FROM pool GROUP BY context_id"))
+def src_prefetch(s, d):
+    p = Corpus(s, d).pools.groupBy("context_id").agg(F.collect_list("candidate").alias("c"))
+    return p.select("context_id", F.size("c").cast("long").alias("n"))
+
+
+@query("src_csv_annotation", f"WITH {_LAB} SELECT doc_id, a AS label, clustering FROM lab")
+@query("sink_csv_annotation", f"WITH {_LAB} SELECT doc_id, a AS label, clustering FROM lab")
+def src_csv_annotation(s, d):
+    from ..session import scratch_path
+
+    at = scratch_path(s)
+    _readers(s, d).select("doc_id", F.col("a").alias("label"), F.when(F.col("clustering"), "True").otherwise("False").alias("clustering")).write.option("header", True).csv(at + "/c")
+    x = s.read.option("header", True).schema("doc_id long, label string, clustering string").csv(at + "/c")
+    label = F.when(F.col("label").isin("G", "S", "W", "N"), F.col("label")).otherwise(F.raise_error(F.lit("unknown label")))
+    return x.select("doc_id", label.alias("label"), (F.col("clustering") == "True").alias("clustering"))
+
+
+@query("src_adapter_convert")
+def src_adapter_convert(s, d):
+    _, at = _written(s, d)
+    return s.read.schema(files.CONTEXT).json(f"{at}/contexts").agg(F.count("*").alias("contexts"))
+
+
+_CHECK = "SELECT 'duplicate_context' AS \"check\", conv_id::VARCHAR AS id FROM conversations GROUP BY conv_id HAVING count(*) > 1 UNION ALL SELECT 'targets', conv_id::VARCHAR FROM conversations"
+
+
+@query("an_validate_corpus", _CHECK)
+def an_validate_corpus(s, d):
+    c = _t(s, d, "conversations").select(F.col("conv_id").alias("context_id"), F.col("conv_id").alias("citing_id"), F.lit("p").alias("refid"), F.concat(F.lit("t "), "text").alias("masked"))
+    return validate.validate(c, s.createDataFrame([("p",)], "id string"), c.select("context_id", F.lit("a").alias("split")))
+
+
+# --- sequential completion
+
+
+@query("an_completion")
+def an_completion(s, d):
+    """Recall by step of the arm that takes its own picks as anchors; a site's candidates and associations are one small group."""
+    from ..operators.completion import complete
+
+    return complete(Corpus(s, d)).groupBy("step").agg(F.avg("recall").alias("recall"))
+
+
+# --- annotation sample, tiers' gains, reports
+
+
+@query("jn_touched_pools", sql("SELECT context_id, array_to_string(list_sort(list_distinct(list_concat(list_filter(anchors, lambda x: x::INT % 3 > 0), [gold[1]]))), ',') AS anchors FROM anc"))
+def jn_touched_pools(s, d):
+    """Anchors after labels took some away (here every third id) and gave others (here the site's first reference)."""
+    a = Corpus(s, d).anchored
+    kept = F.filter("anchors", lambda x: x.cast("int") % 3 > 0)
+    return a.select("context_id", joined(F.array_sort(F.array_union(kept, F.slice("gold", 1, 1)))).alias("anchors"))
+
+
+@query("jn_hatten_docs", sql("SELECT context_id, 'window' || '|' || coalesce(title, '') || '|' || coalesce(abstract, '') AS paragraphs FROM anc LEFT JOIN paper ON id = citing_id"))
+def jn_hatten_docs(s, d):
+    """Query of three paragraphs: the window, the citing paper's title and its abstract, empty where it is unknown."""
+    c = Corpus(s, d)
+    return c.ctx.join(c.papers, F.col("citing_id") == F.col("id"), "left").select("context_id", F.concat_ws("|", F.lit("window"), F.coalesce("title", F.lit("")), F.coalesce("abstract", F.lit(""))).alias("paragraphs"))
+
+
+@query("agg_reachability_remaining", sql("SELECT citing_id, location, round(len(list_filter(gold, lambda x: x <> seed AND x::INT % 2 = 0)) / (len(gold) - 1)::DOUBLE, 6) AS share FROM gold JOIN (SELECT citing_id, location, arg_min(refid, md5('0:' || citing_id || ':' || location || ':' || refid)) AS seed FROM site GROUP BY ALL) USING (citing_id, location) WHERE split = 'test' AND len(gold) >= 2"))
+def agg_reachability_remaining(s, d):
+    """Share of a site's references but the revealed one that are candidates (here those of even id)."""
+    c = Corpus(s, d)
+    first = c.ctx.select("citing_id", "location", "refid").distinct().groupBy("citing_id", "location").agg(F.min_by("refid", pools.keyed(0, "citing_id", "location", "refid")).alias("seed"))
+    g = sites.gold_sets(c.ctx).where(F.size("gold") >= 2).join(first, ["citing_id", "location"])
+    there = F.size(F.filter("gold", lambda x: (x != F.col("seed")) & (x.cast("int") % 2 == 0)))
+    return g.select("citing_id", "location", R6(there / (F.size("gold") - 1), "share"))
+
+
+@query("win_standardize_base", sql("SELECT citing_id, location, candidate, round(CASE WHEN stddev_pop(b) OVER w > 0 THEN (b - avg(b) OVER w) / stddev_pop(b) OVER w ELSE 0 END, 6) AS z FROM (SELECT citing_id, location, c.refid AS candidate, ln(1 + cited) AS b FROM gold g JOIN (SELECT DISTINCT citing_id, refid FROM ctx) c USING (citing_id) JOIN pop ON candidate = c.refid WHERE g.split = 'test') WINDOW w AS (PARTITION BY citing_id, location)".replace("JOIN pop ON candidate = c.refid", "JOIN pop ON pop.candidate = c.refid")))
+def win_standardize_base(s, d):
+    c = Corpus(s, d)
+    refs = c.ctx.select("citing_id", F.col("refid").alias("candidate")).distinct()
+    x = sites.gold_sets(c.ctx).select("citing_id", "location").join(refs, "citing_id").join(scorers.popularity_counts(c.ctx), "candidate").withColumn("b", F.log1p("cited"))
+    w = W.partitionBy("citing_id", "location")
+    sd = F.stddev_pop("b").over(w)
+    return x.select("citing_id", "location", "candidate", R6(F.when(sd > 0, (F.col("b") - F.avg("b").over(w)) / sd).otherwise(0.0), "z"))
+
+
+@query("win_seed_quality")
+def win_seed_quality(s, d):
+    """Recall after 20 picks by whether the first pick was right."""
+    from ..operators.completion import complete
+
+    r = complete(Corpus(s, d))
+    first = r.where("step = 1").select("citing_id", "location", (F.col("remaining") > 0).alias("right"))
+    return r.where("step = 20").join(first, ["citing_id", "location"]).groupBy("right").agg(F.avg("recall").alias("recall"), F.count("*").alias("n"))
+
+
+@query("smp_cell_quotas")
+@query("smp_draw")
+@query("an_annotation_sample")
+def smp_draw(s, d):
+    """item per cell and paper: at most 2 of a paper across cells in order, quotas by cell, short cells left short."""
+    from ..operators.annotation import draw
+
+    a = Corpus(s, d).ctx.select((F.col("location") % 3).cast("long").alias("cell"), "citing_id", "context_id")
+    return draw(a, {0: 20, 1: 15, 2: 10})
+
+
+@query("smp_substitute", sql("SELECT context_id, anchor, m.id AS stand_in FROM (SELECT context_id, unnest(anchors) AS anchor FROM anc) JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT refid AS id FROM ctx WHERE split = 'train')) m ON k = ('0x' || substr(md5('0:random:' || context_id || ':' || anchor), 1, 8))::BIGINT % (SELECT count(DISTINCT refid) FROM ctx WHERE split = 'train')"))
+def smp_substitute(s, d):
+    c = Corpus(s, d)
+    v = graph.vocabulary(c.train)
+    members, size = v.withColumn("k", F.row_number().over(W.orderBy("id")) - 1), v.agg(F.count("*").alias("size"))
+    k = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("0"), F.lit("random"), "context_id", "anchor").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("size")
+    return c.used.select("context_id", F.explode("used").alias("anchor")).crossJoin(F.broadcast(size)).withColumn("k", k).join(members, "k").select("context_id", "anchor", F.col("id").alias("stand_in"))
+
+
+@query("an_proximity", sql("SELECT tier, count(*) AS n, round(avg(a.rr), 6) AS base FROM (SELECT context_id, CASE WHEN location % 3 = 0 THEN 'group' WHEN location % 3 = 1 THEN 'sentence' ELSE 'beyond' END AS tier FROM anc) JOIN (SELECT context_id, list_sum(list_transform(range(above + 1, above + tied + 1), lambda i: 1.0::DOUBLE / i)) / tied AS rr FROM (SELECT context_id, count(*) FILTER (s > g) AS above, count(*) FILTER (s = g) AS tied FROM (SELECT context_id, round(base, 9) AS s, max(CASE WHEN is_gold THEN round(base, 9) END) OVER (PARTITION BY context_id) AS g FROM score) GROUP BY context_id)) a USING (context_id) GROUP BY tier"))
+def an_proximity(s, d):
+    """Mean reciprocal rank by the tier of a context's nearest anchor (here by its site's number)."""
+    from .base import ranked
+
+    c = Corpus(s, d)
+    k = F.col("location") % 3
+    tier = c.ctx.select("context_id", F.when(k == 0, "group").when(k == 1, "sentence").otherwise("beyond").alias("tier"))
+    return ranked(c.scored, "base").join(tier, "context_id").groupBy("tier").agg(F.count("*").alias("n"), R6(F.avg("rr"), "base"))
+
+
+@query("an_provenance")
+def an_provenance(s, d):
+    """Printed numbers against the report's, at the decimals printed."""
+    from ..functions.report import agrees, look_up
+
+    n = Corpus(s, d).ctx.count()
+    report = {"counts": {"contexts": n}, "parts": [{"share": 0.25}]}
+    rows = [("counts.contexts", f"{n:,}"), ("parts.0.share", "0.250"), ("parts.0.share", "0.3")]
+    return s.createDataFrame([(k, p, agrees(p, look_up(report, k))) for k, p in rows], "key string, printed string, agrees boolean")
+
+
+# --- streams
+
+
+@query("stream_cograph", sql("SELECT a, b, n FROM edge"))
+def stream_cograph(s, d):
+    from ..streaming.cograph import maintained
+
+    return maintained(Corpus(s, d).train)
