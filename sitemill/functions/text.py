@@ -29,9 +29,17 @@ def content_words(text: Column) -> Column:
     return F.array_except(F.array_distinct(tokens_alpha(text)), F.array(*map(F.lit, STOPWORDS)))
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with value computed once: inside other lambdas an expression would be computed again for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
 def shingles(text: Column, n: int) -> Column:
     """Distinct runs of n words; none of a text of fewer."""
-    w = tokens_alpha(text)
+    return let(tokens_alpha(text), lambda w: _runs(w, n))
+
+
+def _runs(w: Column, n: int) -> Column:
     return F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (n - 1), F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))))
 
 

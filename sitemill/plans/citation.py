@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from ..functions import probes as P, text as T
 from ..operators import graph, pools, scorers, sites, stats
-from .base import Corpus, ranked, rr, sql
+from .base import Corpus, ranked, ranked_by, rr, sql
 from .registry import query
 
 R6 = lambda c, name=None: F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
@@ -316,8 +316,8 @@ def agg_coverage_strata(s, d):
     p = Corpus(s, d).scored
     own = p.groupBy("context_id").agg(F.max(F.when(F.col("is_gold"), F.col("mean"))).alias("g"), F.max("mean").alias("m"))
     own = own.select("context_id", F.when(F.col("g") > 0, "target").when(F.col("m") > 0, "distractor").otherwise("none").alias("stratum"))
-    a, b = ranked(p, "z").select("context_id", F.col("rr").alias("a")), ranked(p, F.col("z") + 3.0 * F.col("mean")).select("context_id", F.col("rr").alias("b"))
-    return own.join(a, "context_id").join(b, "context_id").groupBy("stratum").agg(F.count("*").alias("n"), R6(F.avg("a"), "base"), R6(F.avg("b"), "rescored"))
+    r = ranked_by(p, a=F.col("z"), b=F.col("z") + 3.0 * F.col("mean"))
+    return own.join(r, "context_id").groupBy("stratum").agg(F.count("*").alias("n"), R6(F.avg("a_rr"), "base"), R6(F.avg("b_rr"), "rescored"))
 
 
 @query("agg_reach", sql("SELECT citing_id, location, len(list_intersect(any_value(g.gold), list(DISTINCT candidate)))::BIGINT AS reached, len(any_value(g.gold))::BIGINT AS n FROM pool JOIN anc USING (context_id) JOIN gold g ON anc.citing_id = g.citing_id AND anc.location = g.location GROUP BY anc.citing_id AS citing_id, anc.location AS location".replace("GROUP BY anc.citing_id AS citing_id, anc.location AS location", "GROUP BY ALL").replace("SELECT citing_id, location,", "SELECT anc.citing_id AS citing_id, anc.location AS location,")))
@@ -419,8 +419,8 @@ _PAIRED = sql(f"SELECT round(avg(a), 6) AS a, round(avg(b), 6) AS b, round(avg(b
 @query("an_primary_result", _PAIRED)
 def an_primary_result(s, d):
     """Mean reciprocal rank of the base and of base with the co-citation term."""
-    p = Corpus(s, d).scored
-    both = ranked(p, "z").select("context_id", "citing_id", F.col("rr").alias("a")).join(ranked(p, F.col("z") + 3.0 * F.col("mean")).select("context_id", F.col("rr").alias("b")), "context_id")
+    r = ranked_by(Corpus(s, d).scored, a=F.col("z"), b=F.col("z") + 3.0 * F.col("mean"))
+    both = r.select("citing_id", F.col("a_rr").alias("a"), F.col("b_rr").alias("b"))
     m = stats.paper_mean(both.withColumn("delta", F.col("b") - F.col("a")), "a", "b", "delta")
     return m.select(R6("a"), R6("b"), R6("delta"), "papers", "n")
 
@@ -749,11 +749,6 @@ def agg_set_size(s, d):
     return stats.paper_mean(r, "rr", by=("size",)).select("size", R6("rr", "mrr"))
 
 
-def _controls(c: Corpus, used):
-    p = graph.anchor_scores(c.scored.select("context_id", "citing_id", "candidate", "is_gold", "z"), used, c.ppmi)
-    return stats.paper_mean(ranked(p, F.col("z") + 3.0 * F.col("mean")), "rr")
-
-
 @query("an_controls", sql("SELECT arm, round(avg(rr), 6) AS mrr FROM (SELECT 'base' AS arm, citing_id, avg(rr) AS rr FROM " + rr("z") + " GROUP BY ALL UNION ALL SELECT 'true', citing_id, avg(rr) FROM " + rr("z + 3.0::DOUBLE * mean") + " GROUP BY ALL UNION ALL SELECT 'other', citing_id, avg(rr) FROM " + rr("z + 3.0::DOUBLE * om", "oz") + " GROUP BY ALL) GROUP BY arm",
   "picked AS (SELECT context_id, arg_min(g.gold, md5('0:' || context_id || ':' || g.location)) AS og FROM anc a JOIN gold g ON a.citing_id = g.citing_id AND a.location <> g.location GROUP BY context_id)",
   "oz AS (SELECT z.context_id, z.citing_id, z.is_gold, z.z, coalesce((SELECT sum(v) FROM ppmi WHERE ppmi.a = z.candidate AND list_contains(og, ppmi.b)), 0) / len(og) AS om FROM z JOIN picked USING (context_id))"))
@@ -761,10 +756,11 @@ def an_controls(s, d):
     """Base, own anchors, and those of another site of the paper."""
     c = Corpus(s, d)
     other = smp_other_location(s, d).join(c.ctx.select("context_id", "citing_id"), "context_id").join(sites.gold_sets(c.ctx).withColumnRenamed("location", "other"), ["citing_id", "other"]).select("context_id", F.col("gold").alias("used"))
-    base = stats.paper_mean(ranked(c.scored, "z"), "rr")
-    arms = [(n, x) for n, x in (("base", base), ("true", _controls(c, c.used)), ("other", _controls(c, other)))]
-    out = [x.select(F.lit(n).alias("arm"), R6("rr", "mrr")) for n, x in arms]
-    return out[0].unionByName(out[1]).unionByName(out[2])
+    own = c.scored.select("context_id", "citing_id", "candidate", "is_gold", "z", F.col("mean").alias("own"))
+    p = graph.anchor_scores(own, other, c.ppmi)
+    r = ranked_by(p, base=F.col("z"), true=F.col("z") + 3.0 * F.col("own"), other=F.col("z") + 3.0 * F.col("mean"))
+    m = stats.paper_mean(r, "base_rr", "true_rr", "other_rr")
+    return m.select(F.explode(F.array(*(F.struct(F.lit(n).alias("arm"), R6(f"{n}_rr", "mrr")) for n in ("base", "true", "other")))).alias("x")).select("x.arm", "x.mrr")
 
 
 # --- completion, first stage, reports
