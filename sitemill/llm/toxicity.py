@@ -42,7 +42,7 @@ def features(word: str) -> list[int]:
 
 
 def rationale(texts: list[str], y: list[int]) -> set[str]:
-    """Forms or beginnings of tokens that cover the documents of label 1, chosen greedily; one clean document with it costs as much as five covered ones gain."""
+    """Forms or beginnings of tokens that cover the documents of label 1, chosen greedily; one clean document with it costs as much as five covered ones gain. Forms that 5% of them, and no clean one, have are added."""
     toxic, clean = [], Counter()
     for t, v in zip(texts, y):
         found = {x for w in set(t.split()) if (k := token(w)) for x in parts(k)}
@@ -64,7 +64,9 @@ def rationale(texts: list[str], y: list[int]) -> set[str]:
             break
         chosen.add(best)
         left -= where.pop(best)
-    return chosen
+    # whole words that many toxic and no clean documents have, though others cover those documents too
+    often = max(8, len(toxic) // 20)
+    return chosen | {x for x, n in count.items() if x[0] == "=" and n >= often and not clean[x]}
 
 
 def passes(psi: list[np.ndarray], trans: np.ndarray):
