@@ -158,8 +158,8 @@ WITH t AS (
     UNION ALL SELECT doc_id, unnest(regexp_split_to_array(text, '\n\s*\n')) FROM documents
     UNION ALL SELECT doc_id, unnest(string_split(text, chr(10))) FROM documents)
 ), g AS (
-  SELECT doc_id, unit, list_distinct(list_transform(range(1, len(string_split(unit, ' '))), lambda i: string_split(unit, ' ')[i] || ' ' || string_split(unit, ' ')[i + 1])) AS b FROM u
-  WHERE len(string_split(unit, ' ')) BETWEEN 2 AND 2000
+  SELECT doc_id, unit, list_distinct(list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda p: p[1] || ' ' || p[2])) AS b
+  FROM (SELECT doc_id, unit, string_split(unit, ' ') AS w FROM u) WHERE len(w) >= 2
 ), m AS (
   SELECT doc_id, license, unit, max(2.0::DOUBLE * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b))) AS dice FROM g, t
   WHERE len(g.b) + len(t.b) > 0 GROUP BY ALL
