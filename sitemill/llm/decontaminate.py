@@ -162,4 +162,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the documents that overlap with a benchmark item. Rows with a null id are tested, and go or stay, together."""
     hit = contamination(docs, benchmark).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(F.col("hit_id")), "left_anti")
+    return docs.join(hit, docs["doc_id"].cast("long").eqNullSafe(hit["hit_id"]), "left_anti")

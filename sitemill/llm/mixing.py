@@ -81,10 +81,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
 
 
 def emit(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: int = 0) -> DataFrame:
-    """Rows of docs as often as the mix takes them, with copy (1, 2, ...)."""
-    chosen = mix(docs, weights, cap, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")))
-    return joined.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("copy"))
+    """Rows of docs as often as the mix takes them, with copy (1, 2, ...), which replaces a column of that name.
+
+    Rows that share an id, or have none, are emitted alike, as often as the one of them that is taken most."""
+    chosen = mix(docs, weights, cap, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    joined = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["doc_id"]))
+    own = [docs[f"`{c}`"] for c in docs.columns if c.lower() != "copy"]
+    return joined.select(*own, F.explode(F.sequence(F.lit(1), chosen["copies"])).alias("copy"))
 
 
 #: The same in DuckDB, from the definition: a rank over each whole source.

@@ -165,4 +165,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Rows with a null doc_id stay if their component has no document with an id."""
     keys = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["kept_id"]), "left_semi")

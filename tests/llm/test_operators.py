@@ -11,6 +11,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sitemill.llm import common, decontaminate, embeddings, labelled, language, licenses, likelihood, mixing, pii, quality, simhash, toxicity
 
@@ -75,6 +76,14 @@ def test_stages_keep_columns_and_handle_odd_rows(spark):
     bench = spark.createDataFrame([(1, " ".join(WORDS))], "item_id long, text string")
     assert decontaminate.decontaminate(docs, bench).count() == n
     assert set(docs.columns) < set(mixing.emit(docs).columns)
+    clash = docs
+    for name in ("hit_id", "kept_id", "_id", "copies", "Copy", "component_id", "a.b"):
+        clash = clash.withColumn(name, F.lit(-1))
+    assert simhash.deduplicate(clash).columns == clash.columns and simhash.deduplicate(clash).count() == kept.count()
+    assert decontaminate.decontaminate(clash, bench).columns == clash.columns and decontaminate.decontaminate(clash, bench).count() == n
+    mixed = mixing.emit(clash)
+    assert mixed.columns == [*(c for c in clash.columns if c != "Copy"), "copy"]
+    assert mixed.count() == mixing.emit(docs).count() and mixed.where("copy < 1").count() == 0
 
 
 # --- embeddings
