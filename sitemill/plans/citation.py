@@ -195,10 +195,10 @@ def jn_reuse_union(s, d):
     return keys.join(old, "key", "left_semi").withColumn("reused", F.lit(True)).unionByName(keys.join(old, "key", "left_anti").withColumn("reused", F.lit(False)))
 
 
-@query("jn_citing_lookup", sql("SELECT context_id, candidate, coalesce(o_totalprice, 0) AS score FROM pool LEFT JOIN (SELECT o_custkey::VARCHAR AS citing_id, max(o_totalprice) AS o_totalprice FROM orders WHERE o_custkey % 20 = 0 GROUP BY 1) USING (citing_id)"))
+@query("jn_citing_lookup", sql("SELECT context_id, candidate, coalesce(o_totalprice, 0) AS score FROM pool LEFT JOIN (SELECT o_custkey::VARCHAR AS citing_id, max(o_totalprice) AS o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) USING (citing_id)"))
 def jn_citing_lookup(s, d):
     c = Corpus(s, d)
-    node = c.table("orders").where("o_custkey % 20 = 0").groupBy(F.col("o_custkey").cast("string").alias("citing_id")).agg(F.max("o_totalprice").alias("score"))
+    node = c.table("orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").cast("string").alias("citing_id")).agg(F.max("o_totalprice").alias("score"))
     return c.pools.join(node, "citing_id", "left").select("context_id", "candidate", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

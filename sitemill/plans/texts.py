@@ -78,11 +78,11 @@ def str_is_easy(s, d):
     return _t(s, d, "part").select("p_partkey", T.is_easy(F.col("p_name"), F.col("p_type"), F.array("p_type"), 0.5).alias("easy"))
 
 
-_WIN = "window_ AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 + 1 AS a, l_suppkey % 1200 + 1 AS b, 'item [' || (l_partkey % 50 + 1) || '] and [' || (l_suppkey % 1200 + 1) || '] seen' AS raw, 'item TARGETCIT and OTHERCIT seen' AS masked, o_custkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_custkey % 10 = 0)"
+_WIN = "window_ AS (SELECT l_orderkey, l_linenumber, l_partkey % 50 + 1 AS a, l_suppkey % 1200 + 1 AS b, 'item [' || (l_partkey % 50 + 1) || '] and [' || (l_suppkey % 1200 + 1) || '] seen' AS raw, 'item TARGETCIT and OTHERCIT seen' AS masked, o_custkey, l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey)"
 
 
 def _windows(s, d):
-    l = _t(s, d, "lineitem").join(_t(s, d, "orders").where("o_custkey % 10 = 0"), F.col("o_orderkey") == F.col("l_orderkey"))
+    l = _t(s, d, "lineitem").join(_t(s, d, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     raw = F.concat(F.lit("item ["), (F.col("l_partkey") % 50 + 1).cast("string"), F.lit("] and ["), (F.col("l_suppkey") % 1200 + 1).cast("string"), F.lit("] seen"))
     return l.select("o_custkey", "l_orderkey", "l_linenumber", "l_partkey", raw.alias("raw"), F.lit("item TARGETCIT and OTHERCIT seen").alias("masked")).withColumn("m", T.markers_with_numbers(F.col("raw"), F.col("masked")))
 
@@ -239,14 +239,14 @@ def src_group_contiguous(s, d):
 
 # --- BM25, vectors, top-k
 
-_BM = """q AS (SELECT item_id AS query, token, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark WHERE item_id % 10 = 0) GROUP BY ALL),
+_BM = """q AS (SELECT item_id AS query, token, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM benchmark WHERE item_id % 20 = 0) GROUP BY ALL),
 tk AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), tf AS (SELECT id, len, token, count(*) AS f FROM (SELECT id, len(w) AS len, unnest(w) AS token FROM tk) GROUP BY ALL),
 df AS (SELECT token, ln(1 + ((SELECT count(*) FROM tk) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf GROUP BY token)"""
 
 
 @query("sc_bm25", f"WITH {_BM} SELECT query, id, round(sum(times * idf * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (SELECT avg(len(w)) FROM tk)))), 6) AS score FROM q JOIN tf USING (token) JOIN df USING (token) GROUP BY ALL")
 def sc_bm25(s, d):
-    q = _t(s, d, "benchmark").where("item_id % 10 = 0").select(F.col("item_id").alias("query"), "text")
+    q = _t(s, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query"), "text")
     return scorers.bm25(q, _t(s, d, "documents").select(F.col("doc_id").alias("id"), "text")).select("query", "id", R6("score"))
 
 
@@ -269,26 +269,26 @@ def _unit(s, d):
     return adapters.numbered_vectors(s, d).select("vec_id", scorers.normalised(F.col("x")).alias("x"))
 
 
-for _name, _lo in (("top_k_vectors", 50), ("top_k_merge", 25), ("jn_knn_cross", 100)):
+for _name in ("top_k_vectors", "top_k_merge", "jn_knn_cross"):
 
-    @query(_name, f"WITH {_VEC} SELECT query, id, round(sim, 6) AS sim, rank FROM (SELECT a.vec_id AS query, b.vec_id AS id, {_COS} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM v a, v b WHERE a.vec_id % {_lo} = 0) WHERE rank <= 10")
-    def _knn(s, d, lo=_lo):
+    @query(_name, f"WITH {_VEC} SELECT query, id, round(sim, 6) AS sim, rank FROM (SELECT a.vec_id AS query, b.vec_id AS id, {_COS} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM v a, v b WHERE a.vec_id % 20 = 0) WHERE rank <= 10")
+    def _knn(s, d):
         u = _unit(s, d)
-        return scorers.top_k(u.where(F.col("vec_id") % lo == 0).toDF("query", "x"), u.toDF("id", "y"), 10).select("query", "id", R6("sim"), F.col("rank").cast("long").alias("rank"))
+        return scorers.top_k(u.where(F.col("vec_id") % 20 == 0).toDF("query", "x"), u.toDF("id", "y"), 10).select("query", "id", R6("sim"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("agg_recall_cutoffs", f"WITH {_VEC}, r AS (SELECT a.vec_id AS query, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM v a, v b WHERE a.vec_id % 50 = 0) SELECT k, round(avg((rank <= k)::INT), 6) AS recall FROM (SELECT r.* FROM r JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = id WHERE a.label = b.label), (VALUES (1), (10), (100)) c(k) GROUP BY k")
+@query("agg_recall_cutoffs", f"WITH {_VEC}, r AS (SELECT a.vec_id AS query, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM v a, v b WHERE a.vec_id % 20 = 0) SELECT k, round(avg((rank <= k)::INT), 6) AS recall FROM (SELECT r.* FROM r JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = id WHERE a.label = b.label), (VALUES (1), (10), (100)) c(k) GROUP BY k")
 def agg_recall_cutoffs(s, d):
     u = _unit(s, d)
     lab = _t(s, d, "embeddings").select("vec_id", "label")
-    top = scorers.top_k(u.where("vec_id % 50 = 0").toDF("query", "x"), u.toDF("id", "y"), 100).select("query", "id", "rank")
-    gold = lab.where("vec_id % 50 = 0").toDF("query", "label").join(lab.toDF("id", "label"), "label").join(top, ["query", "id"], "left")
+    top = scorers.top_k(u.where("vec_id % 20 = 0").toDF("query", "x"), u.toDF("id", "y"), 100).select("query", "id", "rank")
+    gold = lab.where("vec_id % 20 = 0").toDF("query", "label").join(lab.toDF("id", "label"), "label").join(top, ["query", "id"], "left")
     return gold.withColumn("k", F.explode(F.array(*map(F.lit, (1, 10, 100))))).groupBy("k").agg(R6(F.avg(F.coalesce((F.col("rank") <= F.col("k")).cast("double"), F.lit(0.0))), "recall"))
 
 
-@query("an_retrieve", "SELECT count(*) FILTER (vec_id % 50 = 0) AS queries, count(*) AS corpus FROM embeddings")
+@query("an_retrieve", "SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, count(*) AS corpus FROM embeddings")
 def an_retrieve(s, d):
-    return _t(s, d, "embeddings").agg(F.count_if(F.col("vec_id") % 50 == 0).alias("queries"), F.count("*").alias("corpus"))
+    return _t(s, d, "embeddings").agg(F.count_if(F.col("vec_id") % 20 == 0).alias("queries"), F.count("*").alias("corpus"))
 
 
 @query("sc_dense", f"WITH {_VEC} SELECT a.vec_id AS context, b.vec_id AS candidate, round({_COS}, 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
