@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Labels are of whole documents, so tokens get theirs first: the fewest words or beginnings of words that, greedily, cover the toxic
-documents without occurring in clean ones mark the toxic tokens of those documents; all other tokens are
-clean. The field has features of a token (its form, beginnings, end and shape, hashed) and of pairs of neighbouring
+documents without occurring, or occurring as often, in clean ones mark the toxic tokens of those documents;
+all other tokens are clean. The field has features of a token (its form, beginnings, end and shape, hashed) and of pairs of neighbouring
 labels, and is trained by gradient steps on its exact marginals. A document's score is a calibrated function
 of the sum of its tokens' marginals from forward-backward over the whole text.
 """
@@ -24,12 +24,14 @@ from .labelled import PER_CLASS, crc_rest, held_out, logistic, sample, sigmoid
 BUCKETS = 1 << 16
 #: Cells (tokens times documents) of one forward-backward pass.
 CELLS = 1 << 20
+#: How often, at most, a document may be asked to have a form or beginning for it to count as toxic.
+OFTEN = 3
 _TOKEN = re.compile(r"\S+")
 
 
 def parts(t: str) -> list[str]:
     """A token's form and its beginnings (ended by "*")."""
-    return ["=" + t, *(t[:k] + "*" for k in range(4, min(8, len(t) + 1)))]
+    return ["=" + t, *(t[:k] + "*" for k in range(3, min(8, len(t) + 1)))]
 
 
 def features(word: str) -> list[int]:
@@ -41,11 +43,15 @@ def features(word: str) -> list[int]:
     return [crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in (*parts(t), "f" + t, "s" + t[-4:], "k" + kind + str(min(len(t), 12)))]
 
 
-def rationale(texts: list[str], y: list[int]) -> set[str]:
-    """Forms or beginnings of tokens that cover the documents of label 1, chosen greedily; one clean document with it costs as much as five covered ones gain. Forms that 5% of them, and no clean one, have are added."""
+def rationale(texts: list[str], y: list[int]) -> set[tuple[str, int]]:
+    """Forms or beginnings of tokens, each with how often a document must have it, that cover the documents of label 1.
+
+    They are chosen greedily; a share of the clean documents that has one costs as much as five times that share of the toxic ones gains.
+    Forms that 5% of the toxic, and no clean one, have are added."""
     toxic, clean = [], Counter()
     for t, v in zip(texts, y):
-        found = {x for w in set(t.split()) if (k := token(w)) for x in parts(k)}
+        count = Counter(x for w in t.split() if (k := token(w)) for x in parts(k))
+        found = {(x, m) for x, n in count.items() for m in range(1, min(n, OFTEN) + 1)}
         if v:
             toxic.append(found)
         else:
@@ -53,20 +59,20 @@ def rationale(texts: list[str], y: list[int]) -> set[str]:
     rate = 5 * len(toxic) / max(1, len(texts) - len(toxic))
     count = Counter(x for s in toxic for x in s)
     least = max(2, len(toxic) // 200)
-    where: dict[str, set[int]] = {x: set() for x, n in count.items() if n - rate * clean[x] >= least}
+    where: dict[tuple[str, int], set[int]] = {x: set() for x, n in count.items() if n - rate * clean[x] >= least}
     for k, s in enumerate(toxic):
         for x in s & where.keys():
             where[x].add(k)
     left, chosen = set(range(len(toxic))), set()
     while left and where:
-        gain, _, best = max((len(where[x] & left) - rate * clean[x], len(x), x) for x in where)
+        gain, _, _, best = max((len(where[x] & left) - rate * clean[x], len(x[0]), -x[1], x) for x in where)
         if gain < least:
             break
         chosen.add(best)
         left -= where.pop(best)
     # whole words that many toxic and no clean documents have, though others cover those documents too
     often = max(8, len(toxic) // 20)
-    return chosen | {x for x, n in count.items() if x[0] == "=" and n >= often and not clean[x]}
+    return chosen | {x for x, n in count.items() if x[0][0] == "=" and x[1] == 1 and n >= often and not clean[x]}
 
 
 def passes(psi: list[np.ndarray], trans: np.ndarray):
@@ -145,8 +151,13 @@ def train(texts: list[str], y: list[int], weight: list[float], steps: int = 90,
     ids = [np.array([types.setdefault(w, len(types)) for w in texts[k].split()], np.int64) for k in fit]
     forms = [features(w) for w in types]
     flat, owner = np.concatenate([np.array(f) for f in forms] or [np.empty(0, int)]).astype(np.int64), np.repeat(np.arange(len(forms)), [len(f) for f in forms])
-    marked = np.array([any(x in chosen for x in parts(token(w))) for w in types], bool)
-    goal = [marked[i] if y[k] else np.zeros(len(i), bool) for i, k in zip(ids, fit)]
+    of_type = [set(parts(token(w))) for w in types]
+    marks = [(np.array([x in s for s in of_type], bool), m) for x, m in sorted(chosen)]
+    goal = [np.zeros(len(i), bool) for i in ids]
+    for i, k, g in zip(ids, fit, goal):
+        for mark, m in marks if y[k] else ():
+            if (hit := mark[i]).sum() >= m:
+                g |= hit
     weights[crc32(b"none") % BUCKETS] = -1.0
     bias = np.log(max(1, sum(g.sum() for g in goal)) / max(1, sum(map(len, goal))))
     logt, g2w, g2t = np.log(trans), np.full(BUCKETS, 1e-8), np.full(5, 1e-8)

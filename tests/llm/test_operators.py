@@ -266,6 +266,13 @@ def test_toxicity_held_out_and_offsets(spark):
     assert sorted(r["doc_id"] for r in toxicity.keep_clean(docs, field).collect()) == [k for k, b in enumerate(bad) if not b]
 
 
+def test_rationale_asks_for_repeats_of_what_clean_documents_have_once():
+    fill = "one two three four five"
+    texts = [f"{fill} vile{k}a vile{k + 40}a" for k in range(20)] + [f"{fill} vile{k + 20}a" for k in range(20)] + [fill] * 60
+    chosen = toxicity.rationale(texts, [1] * 20 + [0] * 80)
+    assert chosen and all(x.startswith("vil") and m == 2 for x, m in chosen)
+
+
 def test_forward_backward_matches_enumeration():
     rng = np.random.default_rng(0)
     field = toxicity.Field(np.zeros(toxicity.BUCKETS), np.array([1.0, 0.3, 0.7, 1.9, 0.4]), np.zeros(5))
