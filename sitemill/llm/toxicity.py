@@ -10,7 +10,9 @@ of the sum of its tokens' marginals from forward-backward over the whole text.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -43,36 +45,38 @@ def features(word: str) -> list[int]:
     return [crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in (*parts(t), "f" + t, "s" + t[-4:], "k" + kind + str(min(len(t), 12)))]
 
 
+def repeats(text: str) -> Iterator[tuple[str, int]]:
+    """Each form or beginning of a text's tokens with 1, 2 and so on, up to how often it occurs or OFTEN."""
+    count = Counter(x for w in text.split() if (k := token(w)) for x in parts(k))
+    return ((x, m) for x, n in count.items() for m in range(1, min(n, OFTEN) + 1))
+
+
 def rationale(texts: list[str], y: list[int]) -> set[tuple[str, int]]:
     """Forms or beginnings of tokens, each with how often a document must have it, that cover the documents of label 1.
 
     They are chosen greedily; a share of the clean documents that has one costs as much as five times that share of the toxic ones gains.
     Forms that 5% of the toxic, and no clean one, have are added."""
-    toxic, clean = [], Counter()
-    for t, v in zip(texts, y):
-        count = Counter(x for w in t.split() if (k := token(w)) for x in parts(k))
-        found = {(x, m) for x, n in count.items() for m in range(1, min(n, OFTEN) + 1)}
-        if v:
-            toxic.append(found)
-        else:
-            clean.update(found)
-    rate = 5 * len(toxic) / max(1, len(texts) - len(toxic))
-    count = Counter(x for s in toxic for x in s)
-    least = max(2, len(toxic) // 200)
-    where: dict[tuple[str, int], set[int]] = {x: set() for x, n in count.items() if n - rate * clean[x] >= least}
-    for k, s in enumerate(toxic):
-        for x in s & where.keys():
-            where[x].add(k)
+    toxic, clean = [t for t, v in zip(texts, y) if v], [t for t, v in zip(texts, y) if not v]
+    rate = 5 * len(toxic) / max(1, len(clean))
+    least, often = max(2, len(toxic) // 200), max(8, len(toxic) // 20)
+    # only what enough toxic documents have is looked up in the others, so that little is held at a time
+    count = Counter(x for t in toxic for x in repeats(t))
+    count = {x: n for x, n in count.items() if n >= least}
+    in_clean = Counter(x for t in clean for x in repeats(t) if x in count)
+    where: dict[tuple[str, int], set[int]] = {x: set() for x, n in count.items() if n - rate * in_clean[x] >= least}
+    for k, t in enumerate(toxic):
+        for x in repeats(t):
+            if x in where:
+                where[x].add(k)
     left, chosen = set(range(len(toxic))), set()
     while left and where:
-        gain, _, _, best = max((len(where[x] & left) - rate * clean[x], len(x[0]), -x[1], x) for x in where)
+        gain, _, _, best = max((len(where[x] & left) - rate * in_clean[x], len(x[0]), -x[1], x) for x in where)
         if gain < least:
             break
         chosen.add(best)
         left -= where.pop(best)
     # whole words that many toxic and no clean documents have, though others cover those documents too
-    often = max(8, len(toxic) // 20)
-    return chosen | {x for x, n in count.items() if x[0][0] == "=" and x[1] == 1 and n >= often and not clean[x]}
+    return chosen | {x for x, n in count.items() if x[0][0] == "=" and x[1] == 1 and n >= often and not in_clean[x]}
 
 
 def passes(psi: list[np.ndarray], trans: np.ndarray):
@@ -149,10 +153,15 @@ def train(texts: list[str], y: list[int], weight: list[float], steps: int = 90,
     chosen = rationale([texts[k] for k in fit], [y[k] for k in fit])
     types: dict[str, int] = {}
     ids = [np.array([types.setdefault(w, len(types)) for w in texts[k].split()], np.int64) for k in fit]
-    forms = [features(w) for w in types]
-    flat, owner = np.concatenate([np.array(f) for f in forms] or [np.empty(0, int)]).astype(np.int64), np.repeat(np.arange(len(forms)), [len(f) for f in forms])
-    of_type = [set(parts(token(w))) for w in types]
-    marks = [(np.array([x in s for s in of_type], bool), m) for x, m in sorted(chosen)]
+    hashed, owner, marked = array("q"), array("q"), {x: np.zeros(len(types), bool) for x, _ in chosen}
+    for w, k in types.items():
+        hashed.extend(found := features(w))
+        owner.extend([k] * len(found))
+        for x in parts(token(w)):
+            if x in marked:
+                marked[x][k] = True
+    flat, owner = np.array(hashed, np.int64), np.array(owner, np.int64)
+    marks = [(marked[x], m) for x, m in sorted(chosen)]
     goal = [np.zeros(len(i), bool) for i in ids]
     for i, k, g in zip(ids, fit, goal):
         for mark, m in marks if y[k] else ():
@@ -166,16 +175,16 @@ def train(texts: list[str], y: list[int], weight: list[float], steps: int = 90,
     batches = max(1, len(fit) // 256)
     for _ in range(-(-steps // batches)):
         for part in np.array_split(rng.permutation(len(fit)), batches):
-            by_type = np.exp(np.clip(np.bincount(owner, weights[flat], len(forms)), -25, 25))
+            by_type = np.exp(np.clip(np.bincount(owner, weights[flat], len(types)), -25, 25))
             own = [ids[k] for k in part]
-            grad, gt, n = np.zeros(len(forms)), np.zeros(5), max(1, sum(map(len, own)))
+            grad, gt, n = np.zeros(len(types)), np.zeros(5), max(1, sum(map(len, own)))
             for at, lens, grid, fwd, bwd in passes([by_type[i] for i in own], np.exp(logt)):
                 odds = fwd * bwd
                 p = odds / (1 + odds)
                 a = np.exp(logt)
                 for j, k in enumerate(at):
                     i, want = own[k], goal[part[k]]
-                    grad += np.bincount(i, p[: lens[j], j] - want, len(forms))
+                    grad += np.bincount(i, p[: lens[j], j] - want, len(types))
                     gt[4] += p[0, j] - want[0]
                     if lens[j] > 1:
                         r, s = fwd[: lens[j] - 1, j], (grid * bwd)[1 : lens[j], j]
