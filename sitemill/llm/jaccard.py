@@ -1,0 +1,229 @@
+"""Near-duplicates by the Jaccard coefficient of word shingles, exact: no pair at or above the threshold is lost.
+
+Shingles of a text are put in one order for all texts, common ones last. Two texts of similarity at least t
+share at least the t-th part of either's shingles, so they meet in the first n - ceil(t n) + 1 of each. Of texts
+that meet at a shingle, each is first compared with the smallest; then only those that are still in different
+components are compared with each other, so a large group of copies costs a comparison or a few for each.
+Which shingles count as common comes from a sample and decides the work only, not the result.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window as W, functions as F
+
+from .common import Cached, Scratch, components, map_arrow, texts_of, words_of
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: Texts whose shingles are counted, in how many of them a shingle is common, and how many are told to the workers.
+SAMPLE, COMMON, TOLD = 8000, 4, 100_000
+#: Up to so many nodes are broadcast to pick their texts; more are joined.
+PICKED = 1 << 20
+#: Words of 64 cells.
+SIGNS = 8
+_EPS = 1e-9
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _hash() -> Cached:
+    return Cached(xxhash.xxh64_intdigest)
+
+
+def shingles(text: str, shingle: int, known: Cached) -> np.ndarray:
+    """Different hashes of the runs of so many words; a shorter text is one run, an empty one none."""
+    words = words_of(text)
+    if not words:
+        return np.empty(0, np.int64)
+    size = min(shingle, len(words))
+    h = np.fromiter((known[w] for w in words), np.uint64, len(words))
+    out = np.full(len(words) - size + 1, size, np.uint64)
+    for k in range(size):
+        out = _mixed(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(out)])
+    return np.unique(out.view(np.int64))
+
+
+def _node(text: str) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(b" ".join(words_of(text)))).view(np.int64))
+
+
+def _sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, s (its shingles)."""
+
+    def run(batches):
+        known = _hash()
+        for b in batches:
+            for lo in range(0, b.num_rows, 100):
+                part = b.slice(lo, 100)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingles(t, shingle, known) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))], names=["node", "s"])
+            known.trim()
+
+    return map_arrow(texts, run, "node long, s array<long>")
+
+
+def _signs(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, x0 to x7: the parities of its shingles in the cells."""
+
+    def run(batches):
+        known = _hash()
+        for b in batches:
+            out = np.empty((b.num_rows, 8 * SIGNS), np.uint8)
+            for k, t in enumerate(b.column("text").to_pylist()):
+                out[k] = np.packbits((np.bincount(shingles(t, shingle, known) & (64 * SIGNS - 1), minlength=64 * SIGNS) & 1).astype(np.uint8))
+            yield pa.RecordBatch.from_arrays([b.column("node"), *(pa.array(np.ascontiguousarray(x)) for x in out.view(np.int64).T)], names=["node", *(f"x{k}" for k in range(SIGNS))])
+            known.trim()
+
+    return map_arrow(texts, run, "node long, " + ", ".join(f"x{k} long" for k in range(SIGNS)))
+
+
+def _cells(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, z (the parities of its shingles in 8,192 cells), n (their number)."""
+
+    def run(batches):
+        known = _hash()
+        for b in batches:
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
+                sets = [shingles(t, shingle, known) for t in part.column("text").to_pylist()]
+                z = [np.packbits((np.bincount(s & 8191, minlength=8192) & 1).astype(np.uint8)).view(np.int64) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(z, pa.list_(pa.int64())), pa.array(map(len, sets), pa.int32())], names=["node", "z", "n"])
+            known.trim()
+
+    return map_arrow(texts, run, "node long, z array<long>, n int")
+
+
+def _named(signs: DataFrame, node: str, x: str) -> DataFrame:
+    return signs.toDF(node, *(f"{x}{k}" for k in range(SIGNS)))
+
+
+def _close(similarity: float, n: F.Column) -> F.Column:
+    """Whether signs x and y allow the similarity of texts with n shingles together."""
+    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(1, SIGNS)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
+    return apart * (1 + similarity) <= (1 - similarity) * n + _EPS
+
+
+def _beginnings(texts: DataFrame, shingle: int, similarity: float, common: dict[int, int]) -> DataFrame:
+    """s, node, n (shingles of the node), at (place of s among them), a row for each of the first n - ceil(similarity n) + 1."""
+    ids = np.array(sorted(common), np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast((ids, np.array([common[k] for k in ids.tolist()], np.int64)))
+
+    def run(batches):
+        ids, weight = shared.value
+        known = _hash()
+        for b in batches:
+            for lo in range(0, b.num_rows, 100):
+                out = []
+                for node, text in zip(b.column("node").to_pylist()[lo : lo + 100], b.column("text").to_pylist()[lo : lo + 100]):
+                    s = shingles(text, shingle, known)
+                    n = len(s)
+                    if not n:
+                        continue
+                    rank = np.zeros(n, np.int64)
+                    if len(ids):
+                        k = np.minimum(np.searchsorted(ids, s), len(ids) - 1)
+                        rank = np.where(ids[k] == s, weight[k], 0)
+                    first = s[np.lexsort((s, rank))][: n - math.ceil(similarity * n - _EPS) + 1]
+                    out.append((first, np.full(len(first), node), np.full(len(first), n), np.arange(len(first))))
+                if out:
+                    s, node, n, at = map(np.concatenate, zip(*out))
+                    yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(node), pa.array(n, pa.int32()), pa.array(at, pa.int32())], names=["s", "node", "n", "at"])
+            known.trim()
+
+    return map_arrow(texts, run, "s long, node long, n int, at int")
+
+
+def _possible(similarity: float, na: str, ata: str, nb: str, atb: str) -> F.Column:
+    """Whether texts that first meet at these places can share enough."""
+    na, ata, nb, atb = map(F.col, (na, ata, nb, atb))
+    return (F.least(na, nb) >= similarity * F.greatest(na, nb) - _EPS) & (F.least(na - ata, nb - atb) * (1 + similarity) >= similarity * (na + nb) - _EPS)
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """The pairs (a, b) of nodes whose coefficient is at least the similarity."""
+
+    def picked(pairs: DataFrame) -> DataFrame:
+        wanted = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        return texts.join(F.broadcast(wanted) if wanted.count() <= PICKED else wanted, "node")
+
+    # long texts need more cells
+    z = scratch.keep(_cells(picked(pairs), shingle))
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda p, q: p + q)
+    x, y = z.toDF("a", "x", "na"), z.toDF("b", "y", "nb")
+    pairs = scratch.keep(pairs.join(x, "a").join(y, "b").where(apart * (1 + similarity) <= (1 - similarity) * (F.col("na") + F.col("nb")) + _EPS).select("a", "b"))
+    sets = scratch.keep(_sets(picked(pairs), shingle))
+    x, y = sets.select(F.col("node").alias("a"), F.col("s").alias("x")), sets.select(F.col("node").alias("b"), F.col("s").alias("y"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("k"), (F.size("x") + F.size("y")).alias("n"))
+    return both.where(F.col("k") * (1 + similarity) >= similarity * F.col("n") - _EPS).select("a", "b")
+
+
+def _links(texts: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """a, b: pairs of nodes of texts (node, text) that are similar and join whatever is."""
+    part = max(1, -(-texts.count() // SAMPLE))
+    seen = _sets(texts.where(F.pmod(F.xxhash64("node"), F.lit(part)) == 0), shingle).select(F.explode("s").alias("s"))
+    common = {r["s"]: r["count"] for r in seen.groupBy("s").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(TOLD).collect()}
+    by = W.partitionBy("s")
+    met = _beginnings(texts, shingle, similarity, common).withColumn("least", F.min(F.struct("node", "n", "at")).over(by)).withColumn("most", F.max("node").over(by)).where(F.col("least.node") < F.col("most"))
+    met = scratch.keep(met.select("s", "node", "n", "at", F.col("least.node").alias("to"), F.col("least.n").alias("to_n"), F.col("least.at").alias("to_at")))
+    signs = scratch.keep(_signs(texts, shingle))
+    first = met.where((F.col("node") != F.col("to")) & _possible(similarity, "n", "at", "to_n", "to_at")).groupBy(F.col("to").alias("a"), F.col("node").alias("b")).agg(F.max(F.col("n") + F.col("to_n")).alias("n"))
+    first = scratch.keep(first.join(_named(signs, "a", "x"), "a").join(_named(signs, "b", "y"), "b").where(_close(similarity, F.col("n"))).select("a", "b"))
+    links = scratch.keep(_similar(first, texts, shingle, similarity, scratch))
+    label = components(links, scratch).toDF("own", "label")
+    met = scratch.keep(met.join(label, met["node"] == label["own"], "left").select("s", "node", "n", "at", F.coalesce("label", "node").alias("label")))
+    # of two nodes with different labels one, at least, has not the shingle's most frequent label
+    main = met.groupBy("s", "label").agg(F.count("*").alias("k")).groupBy("s").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("s", "main")
+    left = scratch.keep(met.join(main, "s").join(_named(signs, "node", "x"), "node"))
+    right = left.select("s", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("atb"), F.col("label").alias("lb"), *(F.col(f"x{k}").alias(f"y{k}") for k in range(SIGNS)))
+    pairs = left.where("label <> main").join(right, "s").where("label <> lb AND (lb = main OR node < b)").where(_possible(similarity, "n", "at", "nb", "atb") & _close(similarity, F.col("n") + F.col("nb")))
+    pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    pairs = scratch.keep(pairs)
+    # one pair of each node first: what that joins needs no more comparisons
+    one = scratch.keep(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    links = scratch.keep(links.union(_similar(one, texts, shingle, similarity, scratch)))
+    label = components(links, scratch)
+    la, lb = label.toDF("a", "la"), label.toDF("b", "lb")
+    rest = pairs.join(one, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+    return links.union(_similar(scratch.keep(rest), texts, shingle, similarity, scratch))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, component_id (smallest doc_id that links of at least the similarity lead to).
+
+    Texts of the same words in lower case are one node, null, empty and blank ones among them; a text shorter
+    than a shingle is similar to none but these. Repeated rows give a row each; null ids count for no
+    component's smallest id (null where there is no other). Columns besides doc_id and text are ignored."""
+    if not 0 < similarity <= 1 or shingle < 1:
+        raise ValueError("similarity must be above 0 and at most 1, shingle at least 1")
+    scratch = Scratch(docs.sparkSession, "jaccard")
+
+    def named(keep: str):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(keep), pa.array([_node(t) for t in b.column("text").to_pylist()], pa.int64())], names=[keep, "node"])
+
+        return run
+
+    prints = scratch.keep(map_arrow(texts_of(docs), named("doc_id"), "doc_id long, node long"))
+    texts = scratch.keep(map_arrow(texts_of(docs), named("text"), "text string, node long").dropDuplicates(["node"]))
+    label = components(_links(texts, shingle, similarity, scratch), scratch).toDF("own", "component")
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("least"))
+    own = scratch.keep(nodes.join(label, nodes["node"] == label["own"], "left").select("node", "least", F.coalesce("component", "node").alias("component")))
+    least = scratch.keep(own.groupBy("component").agg(F.min("least").alias("component_id")))
+    ids = scratch.keep(own.join(least, "component").select("node", "component_id"))
+    return prints.join(ids, "node").select("doc_id", "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """docs without the documents whose id isn't their component's smallest; repeated rows of that id are one document and stay.
+
+    Rows with a null doc_id stay if there is a component of none but such."""
+    keys = near_duplicates(docs, shingle, similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(keys, docs["doc_id"].cast("long").eqNullSafe(keys["kept_id"]), "left_semi")
