@@ -144,10 +144,12 @@ class Field:
 
 
 def train(texts: list[str], y: list[int], weight: list[float], steps: int = 90, rate: float = 0.5, ridge: float = 1e-6) -> Field:
-    """Four of five documents give the token labels and the field, the fifth the calibration."""
+    """Four of five documents give the token labels and the field, the fifth the calibration.
+
+    Without any document the field scores every text 0.25: where nothing was learnt, nothing is predicted as toxic."""
     trans, weights = np.array([1.0, 0.02, 0.5, 0.5, 0.02]), np.zeros(BUCKETS)
     if len(set(y)) < 2:  # nothing to tell apart: the share of the only class, drawn to one half
-        share = (sum(y) + 0.5) / (len(y) + 1)
+        share = (sum(y) + 0.5) / (len(y) + 1) if y else 0.25
         return Field(weights, trans, np.array([0.0, 0.0, 0.0, 0.0, np.log(share / (1 - share))]))
     fit = [k for k in range(len(texts)) if k % 5]
     chosen = rationale([texts[k] for k in fit], [y[k] for k in fit])
@@ -252,7 +254,7 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
-    """docs without those that the field predicts as toxic; nothing is shuffled."""
+    """docs without those that the field predicts as toxic, all of them where it was fitted to no document; nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
