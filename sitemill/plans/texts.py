@@ -60,13 +60,24 @@ def str_shingle_hash(s, d):
 @query("str_title_containment", f"""SELECT doc_id, item_id, round(len(list_intersect(a, b)) / len(b)::DOUBLE, 6) AS share FROM
   (SELECT doc_id, {_WORDS.format('text')} AS a FROM documents), (SELECT item_id, {_WORDS.format('text')} AS b FROM benchmark WHERE item_id < 8) WHERE len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / len(b)::DOUBLE >= 0.5""")
 def str_title_containment(s, d):
+    return _containment(s, d, _t(s, d, "benchmark").where("item_id < 8"))
+
+
+def _containment(s, d, items):
     """Pairs by the words they share, so only documents with a word of a title are met."""
-    b = _t(s, d, "benchmark").where("item_id < 8").select("item_id", T.content_words(F.col("text")).alias("w"))
+    b = items.select("item_id", T.content_words(F.col("text")).alias("w"))
     b = b.select("item_id", F.size("w").alias("size"), F.explode("w").alias("word"))
     a = _t(s, d, "documents").select("doc_id", F.explode(T.content_words(F.col("text"))).alias("word"))
     return a.join(b, "word").groupBy("doc_id", "item_id", "size").agg(F.count("*").alias("n")).where(F.col("n") / F.col("size") >= 0.5).select("doc_id", "item_id", R6(F.col("n") / F.col("size"), "share"))
 
 
+@query("str_title_containment_all", f"""SELECT doc_id, item_id, round(len(list_intersect(a, b)) / len(b)::DOUBLE, 6) AS share FROM
+  (SELECT doc_id, {_WORDS.format('text')} AS a FROM documents), (SELECT item_id, {_WORDS.format('text')} AS b FROM benchmark) WHERE len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / len(b)::DOUBLE >= 0.5""")
+def str_title_containment_all(s, d):
+    """str_title_containment with every item."""
+    return _containment(s, d, _t(s, d, "benchmark"))
+
+
 @query("str_surname", "SELECT c_custkey, lower(string_split(trim(c_name), '#')[1] || ' ' || c_mktsegment) AS full, lower(c_mktsegment) AS surname FROM customer")
 def str_surname(s, d):
     name = F.concat(F.element_at(F.split("c_name", "#"), 1), F.lit(" "), F.col("c_mktsegment"))
