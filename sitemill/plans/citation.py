@@ -806,6 +806,18 @@ def agg_graph_digest(s, d):
     return e.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "n"))), lambda x: F.concat_ws(":", x["a"], x["b"], x["n"])), ",").cast("binary"), 256).alias("digest"))
 
 
+@query("agg_graph_digest_all", sql("""SELECT sha256(string_agg(digest, ',' ORDER BY block)) AS digest FROM (SELECT block, sha256(string_agg(digest, ',' ORDER BY a)) AS digest
+  FROM (SELECT substr(sha256(a), 1, 3) AS block, a, sha256(a || '=' || string_agg(b || ':' || n, ',' ORDER BY b)) AS digest FROM edge GROUP BY a) GROUP BY block)"""))
+def agg_graph_digest_all(s, d):
+    """Of all edges: digests of nodes, of at most 4,096 blocks of nodes and of the blocks, so the last list is bounded."""
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    line = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ",")
+    e = Corpus(s, d).edges.select("a", "b", F.concat_ws(":", "b", "n").alias("edge"))
+    nodes = e.groupBy("a").agg(line("b", "edge").alias("edges")).select("a", sha(F.concat_ws("=", "a", "edges")).alias("digest"))
+    blocks = nodes.groupBy(F.substring(sha(F.col("a")), 1, 3).alias("block")).agg(sha(line("a", "digest")).alias("digest"))
+    return blocks.agg(sha(line("block", "digest")).alias("digest"))
+
+
 @query("sort_determinism", sql("SELECT citing_id, string_agg(context_id, ',' ORDER BY context_id) AS ids FROM anc GROUP BY citing_id"))
 def sort_determinism(s, d):
     return Corpus(s, d).ctx.groupBy("citing_id").agg(F.array_join(F.array_sort(F.collect_list("context_id")), ",").alias("ids"))

@@ -4,8 +4,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from sitemill.plans import registry
+from sitemill.plans.base import Corpus
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -24,3 +26,10 @@ def both(spark, name):
 def test_title_containment_has_every_item(spark):
     got = both(spark, "str_title_containment_all")
     assert {r[1] for r in got} - set(range(8))
+
+
+def test_graph_digest_is_of_every_edge(spark, monkeypatch):
+    whole = both(spark, "agg_graph_digest_all")
+    edges = Corpus.edges
+    monkeypatch.setattr(Corpus, "edges", property(lambda self: edges.__get__(self, Corpus).withColumn("n", F.col("n") + (F.col("a") == "9").cast("int"))))
+    assert registry.queries()["agg_graph_digest_all"](spark, ROOT).collect()[0][0] != whole[0][0]
