@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -11,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows and bytes of one Arrow batch: bounds what a Python worker holds, however long the texts are.
+#: Rows and bytes that a Python worker unpacks at a time.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 #: What separates words: space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,7 +23,7 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     global _own
     if _own is None:
@@ -34,43 +35,64 @@ _own: str | None = None
 
 
 class Scratch:
-    """Tables written in the shared folder to cut lineage; they go when the driver ends."""
+    """Tables written in the shared folder to cut lineage; they go when they are spent, at the latest when the driver ends."""
+
+    _made: list[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_folder(spark)}/sitemill-{name}-{uuid.uuid4().hex}"
-        self.n = 0
+        self.n, self.tables = 0, {}
         atexit.register(self.drop)
+        for made in self._made:
+            made.append(self)
+
+    @classmethod
+    @contextlib.contextmanager
+    def made(cls) -> Iterator[list[Scratch]]:
+        """Gathers the scratch tables that are made within, so that who has written the result can drop them."""
+        found: list[Scratch] = []
+        cls._made.append(found)
+        try:
+            yield found
+        finally:
+            cls._made.remove(found)
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        """df as a table that was written and is read again."""
+    def keep(self, df: DataFrame, *spent: DataFrame) -> DataFrame:
+        """df as a table that was written and is read again; tables kept before that only df needed are deleted."""
         path = f"{self.path}/{self.n}"
         self.n += 1
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(out)] = out, path
+        for old in spent:
+            if id(old) in self.tables:
+                self._delete(self.tables.pop(id(old))[1])
+        return out
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
     def drop(self) -> None:
+        atexit.unregister(self.drop)
+        self.tables.clear()
         try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(self.path)
         except Exception:  # the session, and with it a local folder's owner, may be gone
             pass
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches of the session, unless it has bounds of its own."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        try:
-            now = int(spark.conf.get(key))
-        except Exception:  # a release without the setting, or one that gives it with a unit
-            continue
-        if now <= 0 or now > most:
-            spark.conf.set(key, str(most))
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of at most BATCH_ROWS rows and, unless one row has more, about BATCH_BYTES bytes."""
+    for b in batches:
+        rows = max(1, min(BATCH_ROWS, b.num_rows * BATCH_BYTES // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    small_batches(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    """mapInArrow over slices of bounded size, whatever batches the session sends."""
+    return df.mapInArrow(lambda batches: f(sliced(batches)), schema)
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:
@@ -120,8 +142,8 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         to = scratch.keep(to)
         labels = to.select(F.col("at").alias("node"), F.col("to").alias("label")) if labels is None else labels.join(to, labels["label"] == to["at"], "left").select("node", F.coalesce("to", "label").alias("label"))
         x, y = to.select(F.col("at").alias("a"), F.col("to").alias("x")), to.select(F.col("at").alias("b"), F.col("to").alias("y"))
-        e = e.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        e, rounds = scratch.keep(e), rounds + 1
+        e = scratch.keep(e.join(x, "a").join(y, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), e)
+        rounds += 1
     if labels is None:
         return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     if rounds == 1:
