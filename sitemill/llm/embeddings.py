@@ -84,7 +84,8 @@ def components_of(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding).
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, nor do
-    vectors of different dimension. Equal vectors are one node, so copies cost nothing, and each row of them
+    vectors of different dimension. A vector is first scaled by a power of two to components of at most 1, which
+    changes no cosine, so none of its squares overflows or vanishes whatever its length. Equal vectors are one node, so copies cost nothing, and each row of them
     links with each other one. component_id is the smallest vec_id that links reach; rows with a null vec_id
     are linked, but name no component (they get null where there is no other id, and are not kept)."""
     if not 0 < threshold <= 1:
@@ -187,16 +188,21 @@ def components_of(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """x times the power of two that brings its largest component to between 1/2 and 1; exact but for what vanishes beside that."""
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max())[1]))
+
+
 def _packed(batches):
     for b in batches:
         x = b.column("x").to_pylist()
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", "g", "least", "copies")), pa.array([len(v) for v in x], pa.int32()), pa.array([np.array(v, np.float64).tobytes() for v in x], pa.binary())], names=["h", "g", "least", "copies", "dim", "v"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("h", "g", "least", "copies")), pa.array([len(v) for v in x], pa.int32()), pa.array([scaled(np.array(v, np.float64)).tobytes() for v in x], pa.binary())], names=["h", "g", "least", "copies", "dim", "v"])
 
 
 #: The same in DuckDB, from all pairs.
 SQL = """
 WITH RECURSIVE v AS (
-  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  SELECT vec_id, CASE WHEN m BETWEEN 1e-100 AND 1e100 THEN x ELSE list_transform(x, lambda c: c / m) END AS x FROM (SELECT vec_id, embedding, embedding::DOUBLE[] AS x, list_max(list_transform(embedding::DOUBLE[], lambda c: abs(c))) AS m FROM embeddings)
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0
 ), l AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)

@@ -93,7 +93,7 @@ def brute_links(x, ids, t=0.95):
     good = [k for k, v in enumerate(x) if v and all(c is not None and math.isfinite(c) for c in v) and any(v)]
     link = {k: [] for k in range(len(x))}
     for i, j in combinations(good, 2):
-        a, b = np.array(x[i], float), np.array(x[j], float)
+        a, b = (np.array(v, float) / max(map(abs, v)) for v in (x[i], x[j]))
         if len(a) == len(b) and a @ b / (np.sqrt(a @ a) * np.sqrt(b @ b)) >= t:
             link[i].append(j)
             link[j].append(i)
@@ -125,6 +125,18 @@ def test_embeddings_match_all_pairs(spark, monkeypatch, block, per_pivot):
     assert all(r["kept"] == (r["vec_id"] is not None and r["vec_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("per_pivot", [4096, 1])
+def test_embeddings_of_any_length(spark, monkeypatch, per_pivot):
+    """Very short and very long vectors link by direction alone, also where they are the pivots; dimensions of 1 and of 5,000 work."""
+    monkeypatch.setattr(embeddings, "PER_PIVOT", per_pivot)
+    base = [[1.0, 2.0, 3.0], [1.0, 2.0, 3.01], [1.0, 1.0, 1.0], [-3.0, 1.0, 0.5]]
+    x = [[c * f for c in v] for f in (1.0, 1e-320, 1e-200, 2e-200, 1e200, 5e307) for v in base]
+    x += [[7.0], [1e-320], [-1e300], np.ones(5000).tolist(), (np.ones(5000) * 1e200).tolist(), [1e308, 1e-308], [1.0, 0.0]]
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    got = embeddings.components_of(df).collect()
+    assert sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in got), key=str) == brute_links(x, range(len(x)))
+
+
 def test_embeddings_empty_and_all_bad(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.components_of(spark.createDataFrame([], schema)).collect() == []
