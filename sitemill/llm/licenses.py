@@ -1,14 +1,17 @@
 """License scans with DataFrame functions only: Dice coefficient over word bigrams against templates.
 
-A document's units are its whole text, its paragraphs and its lines. A unit matches a template if the Dice
-coefficient of their sets of word bigrams is at least the threshold t; then their sizes a, b satisfy
-t / (2 - t) <= a / b <= (2 - t) / t, which prunes templates before bigrams are compared, and more than
+A document's units are its whole text, its paragraphs and its lines, and, for licences inside other text, the
+windows of as many words as a template has that begin with a bigram of the template. A unit matches a template
+if the Dice coefficient of their sets of word bigrams is at least the threshold t; then their sizes a, b satisfy
+t / (2 - t) <= a / b <= (2 - t) / t, which prunes templates before bigrams are compared, and at least
 t / (2 - t) of the template's bigrams are shared. So each template has some words that no match can be
-without one of; texts that have none of any template's are left out before they are cut up.
+without one of; texts that have none of any template's are left out before they are cut up. A window is
+compared only where enough bigrams of the template follow its beginning closely enough.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame, functions as F
@@ -65,6 +68,19 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "SPDX-License-Identifier: MIT"),
+    ("ISC", "SPDX-License-Identifier: ISC"),
+    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("CC-BY-4.0", "SPDX-License-Identifier: CC-BY-4.0"),
+    ("CC-BY-SA-4.0", "SPDX-License-Identifier: CC-BY-SA-4.0"),
+    ("CC-BY-NC-4.0", "SPDX-License-Identifier: CC-BY-NC-4.0"),
+    ("CC0-1.0", "SPDX-License-Identifier: CC0-1.0"),
+    ("Unlicense", "SPDX-License-Identifier: Unlicense"),
 )
 
 
@@ -87,7 +103,7 @@ def anchors(templates, threshold: float = THRESHOLD) -> list[str]:
     wanted = []
     for _, text in templates:
         own = bigrams(text)
-        wanted.append([own, len(own) - int(-(-len(own) * threshold // (2 - threshold))) + 1])
+        wanted.append([own, len(own) - math.ceil(len(own) * threshold / (2 - threshold) - 1e-9) + 1])
     chosen: list[str] = []
     while any(n > 0 and own for own, n in wanted):
         gain: dict[str, int] = {}
@@ -114,16 +130,17 @@ def _normal(c: F.Column) -> F.Column:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, n_units (different units of the document whose best template is one of its), dice (the best), a row for each document and licence found in it.
+    """doc_id, license, n_units (different texts, paragraphs and lines of the document whose best template is one of its), dice (the best, windows included), a row for each document and licence found in it.
 
-    Of templates that match a unit equally well, the first licence by name counts. Null and empty texts, and units of fewer than two words, match nothing; an empty table gives no rows;
+    A licence that only windows show has no unit of its own, n_units 0. Of templates that match a unit, or windows
+    of one beginning, equally well, the first licence by name counts. Null and empty texts, and units of fewer than two words, match nothing; an empty table gives no rows;
     repeated rows are one document; columns besides doc_id and text are not read. Rows with a null id are
     one document. The templates are a constant of the plan, so nothing is broadcast or joined."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     names = sorted({name for name, _ in templates}, reverse=True)
-    known = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(names.index(name)).alias("rank"), F.lit(len(b)).alias("n"), F.array(*map(F.lit, b)).alias("bigrams")) for name, text in templates if (b := sorted(bigrams(text)))))
+    known = F.array(*(F.struct(F.lit(name).alias("license"), F.lit(names.index(name)).alias("rank"), F.lit(len(b)).alias("n"), F.lit(len(normal(text).split()) - 1).alias("long"), F.lit(math.ceil(low * len(b) - 1e-9)).alias("least"), F.array(*map(F.lit, b)).alias("bigrams")) for name, text in templates if (b := sorted(bigrams(text)))))
     text = F.col("text").cast("string")
     some = F.lit(False)
     for part in anchors(templates, threshold):
@@ -142,16 +159,35 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     best = F.array_max(F.transform(near, lambda t: F.struct((2.0 * F.size(F.array_intersect("b", t["bigrams"])) / (F.size("b") + t["n"])).alias("dice"), t["rank"].alias("rank"), t["license"].alias("license"))))
     found = u.select("doc_id", "w", F.explode(F.array(best)).alias("x")).where(F.col("x.dice") >= threshold)
     found = found.groupBy("doc_id", F.col("x.license").alias("license"), F.array_join("w", " ").alias("unit")).agg(F.max("x.dice").alias("dice"))
-    return found.groupBy("doc_id", "license").agg(F.count("*").alias("n_units"), F.max("dice").alias("dice"))
+    found = found.unionByName(_windows(d, known, threshold))
+    return found.groupBy("doc_id", "license").agg(F.count("unit").alias("n_units"), F.max("dice").alias("dice"))
+
+
+def _windows(d: DataFrame, known: F.Column, threshold: float) -> DataFrame:
+    """doc_id, license, unit (null), dice of the windows of texts (doc_id, text) that match, a row for each beginning and its best licence."""
+    w = d.select("doc_id", F.xxhash64("text").alias("h"), F.explode(F.array(F.split(_normal(F.col("text")), " "))).alias("w")).where(F.size("w") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.try_element_at("w", i), F.lit(" "), F.try_element_at("w", i + 1)))
+    w = w.select("doc_id", "h", F.explode(F.array(pairs)).alias("b"))
+    w = w.select("doc_id", "h", "b", F.explode(F.array(F.array_distinct("b"))).alias("own"))
+    w = w.select("doc_id", "h", "b", F.explode(F.filter(known, lambda t: F.size(F.array_intersect("own", t["bigrams"])) >= t["least"])).alias("t"))
+    hits = F.filter(F.sequence(F.lit(1), F.size("b")), lambda i: F.array_contains("t.bigrams", F.try_element_at("b", i)))
+    w = w.select("doc_id", "h", "b", "t", F.explode(F.array(hits)).alias("at"))
+    # the last of the bigrams that a match must have lies within the window
+    begins = F.filter("at", lambda p, k: F.try_element_at("at", k + F.col("t.least")) < p + F.col("t.long"))
+    w = w.select("doc_id", "h", "b", "t", F.explode(begins).alias("p"))
+    w = w.select("doc_id", "h", "t", "p", F.explode(F.array(F.array_distinct(F.slice("b", F.col("p"), F.col("t.long"))))).alias("b"))
+    w = w.withColumn("dice", 2.0 * F.size(F.array_intersect("b", "t.bigrams")) / (F.size("b") + F.col("t.n"))).where(F.col("dice") >= threshold)
+    best = w.groupBy("doc_id", "h", "p").agg(F.max(F.struct("dice", F.col("t.rank").alias("rank"), F.col("t.license").alias("license"))).alias("x"))
+    return best.select("doc_id", F.col("x.license").alias("license"), F.lit(None).cast("string").alias("unit"), F.col("x.dice").alias("dice"))
 
 
 def sql(templates=TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same in DuckDB, every unit against every template."""
+    """The same in DuckDB: every unit, and every window that begins with a bigram of a template, against the template."""
     rows = ", ".join(f"('{name}', '{normal(text)}')" for name, text in templates)
     return rf"""
 WITH t AS (
-  SELECT license, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
-  FROM (SELECT license, string_split(x, ' ') AS w FROM (VALUES {rows}) v(license, x))
+  SELECT k, license, len(w) - 1 AS long, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
+  FROM (SELECT row_number() OVER () AS k, license, string_split(x, ' ') AS w FROM (VALUES {rows}) v(license, x)) WHERE len(w) > 1
 ), u AS (
   SELECT DISTINCT doc_id, trim(regexp_replace(translate(unit, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS unit FROM (
     SELECT doc_id, text AS unit FROM documents WHERE text IS NOT NULL
@@ -163,6 +199,18 @@ WITH t AS (
 ), m AS (
   SELECT doc_id, license, unit, max(2.0::DOUBLE * len(list_intersect(g.b, t.b)) / (len(g.b) + len(t.b))) AS dice FROM g, t
   WHERE len(g.b) + len(t.b) > 0 GROUP BY ALL
+), f AS (
+  SELECT text_id, doc_id, list_transform(list_zip(w[1:len(w) - 1], w[2:]), lambda p: p[1] || ' ' || p[2]) AS b FROM (
+    SELECT row_number() OVER () AS text_id, doc_id, string_split(trim(regexp_replace(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents WHERE text IS NOT NULL)
+  WHERE len(w) >= 2
+), hit AS (
+  SELECT text_id, p, t.k FROM (SELECT text_id, unnest(b) AS x, generate_subscripts(b, 1) AS p FROM f) o JOIN (SELECT k, unnest(b) AS x FROM t) t USING (x)
+), win AS (
+  SELECT text_id, f.doc_id, p, license, 2.0::DOUBLE * len(list_intersect(list_distinct(f.b[p:p + long - 1]), t.b)) / (len(list_distinct(f.b[p:p + long - 1])) + len(t.b)) AS dice
+  FROM hit JOIN f USING (text_id) JOIN t USING (k)
+), every AS (
+  SELECT doc_id, license, unit, dice FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) = 1
+  UNION ALL SELECT doc_id, license, NULL, dice FROM (SELECT * FROM win QUALIFY row_number() OVER (PARTITION BY text_id, p ORDER BY dice DESC, license) = 1)
 )
-SELECT doc_id, license, count(*)::BIGINT AS n_units, max(dice) AS dice FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) = 1) WHERE dice >= {threshold} GROUP BY ALL
+SELECT doc_id, license, count(unit)::BIGINT AS n_units, max(dice) AS dice FROM every WHERE dice >= {threshold} GROUP BY ALL
 """

@@ -410,22 +410,51 @@ def test_lattice_sums_all_segmentations():
 # --- licences
 
 
+def brute_licenses(texts):
+    """(text number, licence): [units, best Dice]; every unit, and every window that begins with a bigram of the template, against every template."""
+    templates = [(n, licenses.bigrams(x), len(licenses.normal(x).split()) - 1) for n, x in licenses.TEMPLATES]
+    dice = lambda b, g: 2 * len(b & g) / (len(b) + len(g))
+    best = lambda some: max(((v, [-ord(c) for c in n], n) for v, n in some), default=(0,))
+    want = {}
+
+    def found(k, x, units):
+        if x[0] >= licenses.THRESHOLD:
+            own = want.setdefault((k, x[2]), [0, 0.0])
+            own[0], own[1] = own[0] + units, max(own[1], x[0])
+
+    for k, t in enumerate(texts):
+        for u in {licenses.normal(x) for x in [t, *re.split(r"\n\s*\n", t), *t.split("\n")]}:
+            if b := licenses.bigrams(u):
+                found(k, best((dice(b, g), n) for n, g, _ in templates), 1)
+        w = licenses.normal(t).split()
+        line = [f"{a} {b}" for a, b in zip(w, w[1:])]
+        for p, x in enumerate(line):
+            found(k, best((dice(set(line[p : p + size]), g), n) for n, g, size in templates if x in g), 0)
+    return want
+
+
 def test_licenses_match_all_templates(spark):
     texts = [t for _, t in licenses.TEMPLATES] + [f"intro line\n{t}\n\nmore text" for _, t in licenses.TEMPLATES] + ["thunder and lightning", "Licensed under nothing at all"]
     rng = random.Random(0)
     for _, t in licenses.TEMPLATES:
         w = t.split()
         texts.append(" ".join(x for x in w if rng.random() > 0.08))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = Counter()
-    for k, t in enumerate(texts):
-        for u in {licenses.normal(x) for x in [t, *re.split(r"\n\s*\n", t), *t.split("\n")]}:
-            b = licenses.bigrams(u)
-            best = max(((2 * len(b & g) / (len(b) + len(g)), [-ord(c) for c in n], n) for n, x in licenses.TEMPLATES if (g := licenses.bigrams(x))), default=(0,))
-            if b and best[0] >= licenses.THRESHOLD:
-                want[k, best[2]] += 1
-    got = {(r["doc_id"], r["license"]): r["n_units"] for r in licenses.scan(df).collect()}
-    assert got == dict(want)
+        # within a long line, and hard-wrapped with paragraph breaks between other text
+        other = [rng.choice(WORDS) for _ in range(150)]
+        texts.append(" ".join([*other[:90], *w, *other[90:]]))
+        texts.append("\n".join([*other[:5], *(" ".join(w[k : k + 9]) + "\n" * (k % 27 == 18) for k in range(0, len(w), 9)), *other[5:10]]))
+    got = {(r["doc_id"], r["license"]): [r["n_units"], r["dice"]] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = brute_licenses(texts)
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1]) for k in want)
+    first = 2 * len(licenses.TEMPLATES) + 2
+    for k, (name, _) in enumerate(licenses.TEMPLATES):
+        assert want[first + 3 * k + 1, name][1] > 0.99 and want[first + 3 * k + 2, name][1] > 0.99
+
+
+@pytest.mark.parametrize("text, name", [("Copyright 2020 Jane Roe. Released under the MIT License.", "MIT"), ("This code is free to use. Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("# SPDX-License-Identifier: BSD-3-Clause\nimport os", "BSD-3-Clause"), ("A licence of our own, see the file", None)])
+def test_licenses_within_a_line(spark, text, name):
+    got = licenses.scan(spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")).collect()
+    assert [(r["license"], r["dice"]) for r in got] == ([(name, 1.0)] if name else [])
 
 
 # --- simhash
