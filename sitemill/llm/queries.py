@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_near_dedup": embeddings.SQL, "op3_source_mixing": mixing.SQL, "op7_license_scan": licenses.sql()}
+    return {"op1_embedding_near_dedup": embeddings.SQL, "op3_source_mixing": mixing.SQL, "op5_decontamination": decontaminate.SQL, "op7_license_scan": licenses.sql()}
