@@ -2,8 +2,9 @@
 
 Words are scored with the pieces of an existing vocabulary: a word's probability is the sum, over all its
 segmentations, of the product of its pieces' probabilities (forward recursion in log space), a text's the
-product over its words and an end. The vocabulary's own scores weight the segmentations at first; one
-expectation step over the counts of all training words turns them into piece probabilities of the corpus.
+product over its words and an end. The vocabulary's own scores weight the segmentations. Beside that, one
+expectation step over the counts of all training words turns them into piece probabilities of the corpus, of
+which the learned score is made.
 
 Counts of words are a distributed table. Words that hold at least 1 / HEAD of all training tokens, at most
 HEAD many, are broadcast and looked up where texts are read; the others, none of them hot by definition, are
@@ -29,9 +30,12 @@ _WORD_START = "▁"
 class Lattice:
     """Log probabilities of pieces; scores many words of one length at a time."""
 
-    def __init__(self, pieces: list[str], logp: np.ndarray, bytes_at: dict[int, int]):
-        self.pieces, self.logp, self.bytes_at = pieces, logp, bytes_at
+    def __init__(self, pieces: list[str], logp: np.ndarray, bytes_at: dict[int, int], end: float = 0.0):
+        self.pieces, self.logp, self.bytes_at, self.end = pieces, logp, bytes_at, end
         self.longest = max(map(len, pieces), default=1)
+        self.sizes, self.codes = np.array([len(p) for p in pieces], np.int64), np.zeros((self.longest, len(pieces)), np.uint64)
+        for k, p in enumerate(pieces):
+            self.codes[: len(p), k] = [ord(c) for c in p]
         h = np.array([self._hash(p) for p in pieces], np.uint64)
         self.order = np.argsort(h)
         self.sorted = h[self.order]
@@ -40,7 +44,7 @@ class Lattice:
 
     @staticmethod
     def load(path: str = VOCABULARY) -> Lattice:
-        """The vocabulary with its own scores: a piece of rank r (its score is -r) weighs as 1 / (r + 2)."""
+        """The vocabulary with its own scores: a piece of rank r (its score is -r) weighs as 1 / (r + 2), and so does its mark of an end, whose score is 0."""
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -48,7 +52,9 @@ class Lattice:
         plain = [i for i in ids if not sp.is_byte(i)]
         raw = [i for i in ids if sp.is_byte(i)]
         weight = np.array([1 / (2 - min(0.0, sp.get_score(i))) for i in plain] + [1 / (2 + len(plain))] * len(raw))
-        return Lattice([sp.id_to_piece(i) for i in plain], np.log(weight / weight.sum()), {int(sp.id_to_piece(i)[3:5], 16): len(plain) + k for k, i in enumerate(raw)})
+        end = 1 / (2 - min(0.0, sp.get_score(sp.eos_id()))) if sp.eos_id() >= 0 else weight.min()
+        total = weight.sum() + end
+        return Lattice([sp.id_to_piece(i) for i in plain], np.log(weight / total), {int(sp.id_to_piece(i)[3:5], 16): len(plain) + k for k, i in enumerate(raw)}, float(np.log(end / total)))
 
     def _hash(self, piece: str) -> int:
         h = 0
@@ -68,6 +74,12 @@ class Lattice:
                 at = np.minimum(np.searchsorted(self.sorted, h[rows]), len(self.sorted) - 1)
                 ok = self.sorted[at] == h[rows]
                 rows, piece = rows[ok], self.order[at[ok]]
+                if len(rows):  # the hash alone could be that of another piece
+                    ok = self.sizes[piece] == j - i
+                    for k in range(j - i):
+                        ok &= codes[rows, i + k] == self.codes[k, piece]
+                    if not ok.all():
+                        rows, piece = rows[ok], piece[ok]
                 if len(rows):
                     out.append((i, j, rows, piece, self.logp[piece]))
                 if j == i + 1 and len(rows) < n:
@@ -112,16 +124,16 @@ class Lattice:
             out[own] = self._forward(*codes.shape, self.edges(codes))[-1]
         return out
 
-    def expected(self, words: list[str], count: np.ndarray) -> np.ndarray:
-        """Expected occurrences of every piece in words that occur so often."""
-        total = np.zeros(len(self.logp))
+    def expected(self, words: list[str], count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Expected occurrences of every piece in words that occur so often; the natural logarithm of each word's probability."""
+        total, lp_of = np.zeros(len(self.logp)), np.zeros(len(words))
         for own, codes in self.groups(words):
             n, length = codes.shape
             edges = self.edges(codes)
             alpha = self._forward(n, length, edges)
             beta = np.full((length + 1, n), -np.inf)
             beta[-1] = 0
-            c = count[own]
+            c, lp_of[own] = count[own], alpha[-1]
             for i, j, rows, piece, lp, *raw in reversed(edges):
                 beta[i, rows] = np.logaddexp(beta[i, rows], beta[j, rows] + lp)
                 share = np.exp(alpha[i, rows] + lp + beta[j, rows] - alpha[-1, rows]) * c[rows]
@@ -130,13 +142,13 @@ class Lattice:
                 else:
                     for b in raw[0]:
                         total[b] += share.sum()
-        return total
+        return total, lp_of
 
-    def estimated(self, expected: np.ndarray, ends: float, prior: float = 1000.0) -> tuple[Lattice, float]:
-        """Pieces as expected, smoothed by the vocabulary's own scores, and the log probability of an end."""
+    def estimated(self, expected: np.ndarray, ends: float, prior: float = 1000.0) -> Lattice:
+        """Pieces and ends as expected, smoothed by the vocabulary's own scores."""
         weight = expected + prior * np.exp(self.logp)
         total = weight.sum() + ends + 1
-        return Lattice(self.pieces, np.log(weight / total), self.bytes_at), float(np.log((ends + 1) / total))
+        return Lattice(self.pieces, np.log(weight / total), self.bytes_at, float(np.log((ends + 1) / total)))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -166,72 +178,79 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, learned_score of every document.
 
     Words of the text after A-Z are lower-cased, and an end. base_score: log10 likelihood under the smoothed
     word counts of the training documents; score: log10 of the lattice's marginal probability of the words
-    and the end. Null and empty texts have the end alone. Repeated rows count, and are returned, each; an
-    empty table gives no rows; columns besides doc_id and text are not read. Words of any length are scored
-    whole, in time linear in them."""
+    and the end, under the vocabulary's own scores; learned_score: the same under the piece probabilities that
+    training documents give. Null and empty texts have the end alone. Repeated rows count, and are returned,
+    each; a null id counts as empty text where rows are held out; an empty table gives no rows; columns besides
+    doc_id and text are not read. Words of any length are scored whole, in time linear in them."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "likelihood")
     counts = scratch.keep(word_counts(docs))
     total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("ends")).first()
     n, v, ends = total["n"] or 0, total["v"] or 0, total["ends"] or 0
-    first = spark.sparkContext.broadcast(Lattice.load(vocabulary))
+    own = Lattice.load(vocabulary)
+    first = spark.sparkContext.broadcast(own)
 
     def expect(batches):
+        """The words with their probability, then, without a word, the expected occurrences of pieces (numbered in c)."""
         lattice = first.value
         sums = np.zeros(len(lattice.logp))
         for b in batches:
-            sums += lattice.expected(b.column("word").to_pylist(), b.column("c").to_numpy(zero_copy_only=False).astype(float))
+            more, lp = lattice.expected(b.column("word").to_pylist(), b.column("c").to_numpy(zero_copy_only=False).astype(float))
+            sums += more
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(lp / np.log(10))], names=["word", "c", "lp"])
         at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.rint(sums[at] * 65536).astype(np.int64))], names=["piece", "x"])
+        # sums of 1/65536, so that they don't depend on the order of addition
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at), pa.array(np.rint(sums[at] * 65536))], names=["word", "c", "lp"])
 
-    words = counts.where("word IS NOT NULL")
-    sums = np.zeros(len(first.value.logp))
-    for r in map_arrow(words.where("c > 0"), expect, "piece long, x long").groupBy("piece").agg(F.sum("x").alias("x")).collect():
-        sums[r["piece"]] = r["x"] / 65536
-    lattice, end = first.value.estimated(sums, ends)
-    model = spark.sparkContext.broadcast(lattice)
+    words = scratch.keep(map_arrow(counts.where("word IS NOT NULL"), expect, "word string, c long, lp double"), counts)
+    sums = np.zeros(len(own.logp))
+    for r in words.where("word IS NULL").groupBy("c").agg(F.sum(F.col("lp").cast("long")).alias("x")).collect():
+        sums[r["c"]] = r["x"] / 65536
+    learned = own.estimated(sums, ends)
+    model = spark.sparkContext.broadcast(learned)
 
     def marginal(batches):
         for b in batches:
-            lp = model.value.scores(b.column("word").to_pylist()) / np.log(10)
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(lp)], names=["word", "c", "lp"])
+            more = model.value.scores(b.column("word").to_pylist()) / np.log(10)
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), b.column("lp"), pa.array(more)], names=["word", "c", "lp", "more"])
 
-    table = scratch.keep(map_arrow(words, marginal, "word string, c long, lp double"))
+    table = scratch.keep(map_arrow(words.where("word IS NOT NULL"), marginal, "word string, c long, lp double, more double"), words)
     floor = 0.1 * (v + 1) + n
     least = max(1.0, n / HEAD)
-    head = spark.sparkContext.broadcast({r["word"].encode(): (np.log10((r["c"] + 0.1) / floor), r["lp"]) for r in table.where(F.col("c") >= least).collect()})
-    end_base = float(np.log10((ends + 0.1) / floor)) if floor else 0.0
-    end_score, end_known = end / np.log(10), int(ends > 0)
+    head = spark.sparkContext.broadcast({r["word"].encode(): (np.log10((r["c"] + 0.1) / floor), r["lp"], r["more"]) for r in table.where(F.col("c") >= least).collect()})
+    ends_at = (float(np.log10((ends + 0.1) / floor)) if floor else 0.0, own.end / np.log(10), learned.end / np.log(10))
+    names, end_known = ("base_score", "score", "learned_score"), int(ends > 0)
 
     def read(batches):
         known = head.value
         for b in batches:
-            size, seen, base, own, rare = [], [], [], [], []
+            size, seen, sums, rare = [], [], [[], [], []], []
             for text in b.column("text").to_pylist():
                 c = Counter(words_of(text))
-                found = [(k, known.get(w)) for w, k in c.items()]
+                found = [(k, x) for w, k in c.items() if (x := known.get(w))]
                 size.append(sum(c.values()) + 1)
-                seen.append(sum(k for k, x in found if x) + end_known)
-                base.append(sum(k * x[0] for k, x in found if x) + end_base)
-                own.append(sum(k * x[1] for k, x in found if x) + end_score)
+                seen.append(sum(k for k, _ in found) + end_known)
+                for j in range(3):
+                    sums[j].append(sum([k * x[j] for k, x in found]) + ends_at[j])
                 rare.append([{"word": w.decode("utf-8", "surrogatepass"), "k": k} for w, k in c.items() if w not in known])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(size, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64()), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())])))],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+                [b.column("doc_id"), b.column("held_out"), pa.array(size, pa.int64()), pa.array(seen, pa.int64()), *(pa.array(x, pa.float64()) for x in sums), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())])))],
+                names=["doc_id", "held_out", "n_tokens", "n_known", *names, "rare"],
             )
 
     base = texts_of(docs.withColumn("held_out", crc_rest(10) == 0), "held_out")
-    rows = map_arrow(base, read, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: string, k: bigint>>")
+    rows = map_arrow(base, read, f"doc_id long, held_out boolean, n_tokens long, n_known long, {', '.join(f'{x} double' for x in names)}, rare array<struct<word: string, k: bigint>>")
     rows = scratch.keep(rows.withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k").join(table.where(F.col("c") < least), "word")
     rare = rare.groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k"))).alias("more_known"),
         F.sum(F.col("k") * F.log10((F.col("c") + 0.1) / F.lit(float(floor)))).alias("more_base"),
         F.sum(F.col("k") * F.col("lp")).alias("more_score"),
+        F.sum(F.col("k") * F.col("more")).alias("more_learned"),
     )
     plus = lambda a, b: (F.col(a) + F.coalesce(F.col(b), F.lit(0))).alias(a)
-    return rows.drop("rare").join(rare, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base_score", "more_base"), plus("score", "more_score"))
+    return rows.drop("rare").join(rare, "row", "left").select("doc_id", "held_out", "n_tokens", plus("n_known", "more_known"), F.lit(n).cast("long").alias("train_tokens"), plus("base_score", "more_base"), plus("score", "more_score"), plus("learned_score", "more_learned"))

@@ -435,13 +435,41 @@ def test_lattice_sums_all_segmentations():
 
     words = ["ab", "aba", "", "bbaab", "a"]
     assert np.allclose(np.exp(lattice.scores(words)), [total("▁" + w) for w in words])
-    e = lattice.expected(["ab"], np.array([1.0]))
+    e, lp = lattice.expected(["ab", "ba"], np.array([1.0, 0.0]))
+    assert np.allclose(np.exp(lp), [total("▁ab"), total("▁ba")])
     ways = {("▁", "a", "b"): 0, ("▁", "ab"): 0, ("▁a", "b"): 0, ("▁ab",): 0}
     ways = {w: np.prod([p[x] for x in w]) for w in ways}
     for k, x in enumerate(pieces):
         assert np.isclose(e[k], sum(v * w.count(x) for w, v in ways.items()) / sum(ways.values()))
 
 
+def test_scores_of_the_query_match_all_segmentations(spark):
+    """Of whole documents under the vocabulary's own scores, by enumeration of every way to cut every word."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=likelihood.VOCABULARY)
+    weight, raw = {}, {}
+    for i in range(sp.get_piece_size()):
+        if sp.is_byte(i):
+            raw[int(sp.id_to_piece(i)[3:5], 16)] = i
+        elif not sp.is_control(i) and not sp.is_unknown(i):
+            weight[sp.id_to_piece(i)] = 1 / (2 - sp.get_score(i))
+    rarest = 1 / (2 + len(weight))
+    total = sum(weight.values()) + rarest * len(raw) + 1 / 2
+
+    def word(s):
+        if not s:
+            return 1.0
+        p = sum(weight[s[:k]] / total * word(s[k:]) for k in range(1, len(s) + 1) if s[:k] in weight)
+        # a character that is no piece is its bytes
+        return p if s[0] in weight else p + (rarest / total) ** len(s[0].encode()) * word(s[1:])
+
+    texts = ["the river", "Zebra, zebra", "\u1234x \U0001f600 an", "", None, "unbelievably!", "a" * 12, "The the THE"]
+    got = likelihood.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = {k: math.log10(1 / 2 / total) + sum(math.log10(word("▁" + w.lower())) for w in (t or "").split()) for k, t in enumerate(texts)}
+    assert all(np.isclose(r["score"], want[r["doc_id"]]) for r in got) and len(got) == len(texts)
+
+
 # --- licences
 
 
