@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sitemill.llm import decontaminate, jaccard, mixing, pii, toxicity
+from sitemill.llm import decontaminate, mixing, pii, simhash, toxicity
 from sitemill.llm.common import Scratch
 
 
@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group that links of five-word Jaccard at least 0.8 join."""
-    return jaccard.deduplicate(docs, shingle=5, similarity=0.8)
+    """The document of the smallest id of each group that links of five-word Jaccard at least 0.8 join; anchors find a link with probability 0.998 or more."""
+    return simhash.deduplicate(docs, shingle=5, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
