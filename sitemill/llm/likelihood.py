@@ -14,6 +14,7 @@ joined by word.
 from __future__ import annotations
 
 from collections import Counter
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -221,24 +222,28 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     table = scratch.keep(map_arrow(words.where("word IS NOT NULL"), marginal, "word string, c long, lp double, more double"), words)
     floor = 0.1 * (v + 1) + n
     least = max(1.0, n / HEAD)
-    head = spark.sparkContext.broadcast({r["word"].encode(): (np.log10((r["c"] + 0.1) / floor), r["lp"], r["more"]) for r in table.where(F.col("c") >= least).collect()})
+    common = table.where(F.col("c") >= least).collect()
+    values = np.array([(np.log10((r["c"] + 0.1) / floor), r["lp"], r["more"]) for r in common]).reshape(-1, 3)
+    head = spark.sparkContext.broadcast(({r["word"].encode(): k for k, r in enumerate(common)}, values))
     ends_at = (float(np.log10((ends + 0.1) / floor)) if floor else 0.0, own.end / np.log(10), learned.end / np.log(10))
     names, end_known = ("base_score", "score", "learned_score"), int(ends > 0)
 
     def read(batches):
-        known = head.value
+        known, values = head.value
         for b in batches:
-            size, seen, sums, rare = [], [], [[], [], []], []
-            for text in b.column("text").to_pylist():
+            n = b.num_rows
+            size, seen, sums, words, times, ends = np.empty(n, np.int64), np.empty(n, np.int64), np.empty((n, 3)), [], [], np.zeros(n + 1, np.int32)
+            for j, text in enumerate(b.column("text").to_pylist()):
                 c = Counter(words_of(text))
-                found = [(k, x) for w, k in c.items() if (x := known.get(w))]
-                size.append(sum(c.values()) + 1)
-                seen.append(sum(k for k, _ in found) + end_known)
-                for j in range(3):
-                    sums[j].append(sum([k * x[j] for k, x in found]) + ends_at[j])
-                rare.append([{"word": w.decode("utf-8", "surrogatepass"), "k": k} for w, k in c.items() if w not in known])
+                at, k = np.fromiter(map(known.get, c, repeat(-1)), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))
+                own = at >= 0
+                size[j], seen[j], sums[j] = k.sum() + 1, k[own].sum() + end_known, k[own] @ values[at[own]] + ends_at
+                words += compress(c, ~own)
+                times.append(k[~own])
+                ends[j + 1] = len(words)
+            rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(np.concatenate(times) if times else [], pa.int64())], names=["word", "k"])
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array(size, pa.int64()), pa.array(seen, pa.int64()), *(pa.array(x, pa.float64()) for x in sums), pa.array(rare, pa.list_(pa.struct([("word", pa.string()), ("k", pa.int64())])))],
+                [b.column("doc_id"), b.column("held_out"), pa.array(size), pa.array(seen), *(pa.array(np.ascontiguousarray(x)) for x in sums.T), pa.ListArray.from_arrays(pa.array(ends), rare)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", *names, "rare"],
             )
 
