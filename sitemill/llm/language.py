@@ -9,6 +9,7 @@ found below which a prediction is rejected.
 
 from __future__ import annotations
 
+from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -21,6 +22,8 @@ from .decontaminate import token
 BUCKETS, WIDTH = 1 << 16, 16
 #: Documents of each language, about, that the model is trained on; the largest share of errors left after rejection.
 PER_LANGUAGE, MAX_ERROR = 500, 0.01
+#: Documents of all languages that the model is trained on, about.
+SAMPLE = 20_000
 UNKNOWN = "und"
 
 
@@ -59,6 +62,7 @@ class Reader:
         return k
 
     def logits(self, text: str) -> np.ndarray:
+        """Class scores of the mean of the text's subwords."""
         words = text.split()
         at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))  # may enlarge rows
         x = self.rows[at].sum(0, dtype=np.float64)
@@ -73,17 +77,22 @@ class Reader:
         return p.argmax(1), p.max(1)
 
 
-def train(texts: list[str], names: list[str], epochs: int = 8, rate: float = 0.5, batch: int = 32, seed: int = 0) -> Model:
+def counted(text: str, known: Cached) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the embedding table that a text's subwords have, and how often; at most BUCKETS, however long the text is."""
+    words = Counter(text.split())
+    ids = [s for w in words for s in known[w]]
+    times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), [len(known[w]) for w in words])
+    n = np.bincount(np.array(ids, np.int64), times, BUCKETS) if ids else np.zeros(0)
+    k = np.flatnonzero(n)
+    return k, n[k]
+
+
+def train(counts: list[tuple[np.ndarray, np.ndarray]], names: list[str], epochs: int = 8, rate: float = 0.5, batch: int = 32, seed: int = 0) -> Model:
     languages = sorted(set(names))
     if len(languages) < 2:
         return Model(languages or [UNKNOWN], np.zeros((BUCKETS, 1)), np.zeros(1))
     y = np.array([languages.index(n) for n in names])
-    cache = Cached(subwords, 1 << 30)
-    docs = []
-    for t in texts:
-        ids = [s for w in t.split() for s in cache[w]]
-        k, n = np.unique(np.array(ids, np.int64), return_counts=True)
-        docs.append((k, (n / max(1, len(ids))).astype(np.float32)))
+    docs = [(k, (n / max(1.0, n.sum())).astype(np.float32)) for k, n in counts]
     rng = np.random.default_rng(seed)
     e, w, b = (rng.standard_normal((BUCKETS, WIDTH)) / WIDTH).astype(np.float32), np.zeros((WIDTH, len(languages)), np.float32), np.zeros(len(languages))
     w += rng.standard_normal(w.shape).astype(np.float32) * 0.1
@@ -108,9 +117,8 @@ def train(texts: list[str], names: list[str], epochs: int = 8, rate: float = 0.5
             np.subtract.at(e, idx, (lr * 100 / len(part)) * val[:, None] * gh[row])
             step += 1
     model = Model(languages, e @ w, b)
-    reader = model.reader()
     held = np.flatnonzero(back)
-    z = np.array([reader.logits(texts[k]) for k in held])
+    z = np.array([docs[k][1].astype(float) @ model.table[docs[k][0]] + model.bias for k in held]).reshape(len(held), -1)
     best = (np.inf, 1.0)
     for t in np.exp(np.linspace(np.log(0.05), np.log(5), 80)):
         s = z / t
@@ -128,25 +136,39 @@ def train(texts: list[str], names: list[str], epochs: int = 8, rate: float = 0.5
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """From about per_language documents of each language (those of the smallest hashes of doc_id) whose crc32(doc_id as text) mod 4 isn't 2.
+    """From about per_language documents of each language (those of the smallest hashes of doc_id), or fewer where SAMPLE for all is less, whose crc32(doc_id as text) mod 4 isn't 2.
 
-    There is a row for each language, few of them; the documents of all are at most twice the number asked for."""
-    own = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(crc_rest(4) != 2)
+    The documents of all are at most twice the number asked for. Only counts of their subwords come to the driver,
+    which are at most BUCKETS for a document of any length."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL").where(crc_rest(4) != 2)
     count = own.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not count:
         return train([], [])
-    share = F.create_map(*(x for r in count for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["n"])))))
+    most = max(2, min(per_language, SAMPLE // len(count)))
+    share = F.create_map(*(x for r in count for x in (F.lit(r["lang"]), F.lit(min(1.0, most / r["n"])))))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    rows = own.where(place < share[F.col("lang")]).orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("doc_id", "lang", "text").limit(2 * per_language * len(count)).collect()
-    rows.sort(key=lambda r: (crc32(str(r["doc_id"]).encode()), r["text"]))
-    return train([r["text"] for r in rows], [r["lang"] for r in rows])
+    some = own.where(place < share[F.col("lang")])
+
+    def run(batches):
+        known = Cached(subwords)
+        for b in batches:
+            found = [counted(t, known) for t in b.column("text").to_pylist()]
+            known.trim()
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([k.astype(np.int32).tobytes() for k, _ in found], pa.binary()), pa.array([n.astype(np.float32).tobytes() for _, n in found], pa.binary())], names=["doc_id", "lang", "k", "n"])
+
+    rows = map_arrow(some, run, "doc_id long, lang string, k binary, n binary").orderBy(F.xxhash64("doc_id"), "doc_id", "k", "n").limit(2 * most * len(count)).collect()
+    rows.sort(key=lambda r: (crc32(str(r["doc_id"]).encode()), r["k"], r["n"]))
+    return train([(np.frombuffer(r["k"], np.int32), np.frombuffer(r["n"], np.float32)) for r in rows], [r["lang"] for r in rows])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_best, confidence, lang (lang_best, or "und" where it is rejected or there is no letter) of every document.
 
-    A text that is null or has no letter has "und" for both and confidence 0. Repeated rows give a row each;
-    an empty table gives none; columns besides doc_id and text are not read."""
+    A text that is null or has no letter has "und" for both and confidence 0. Of equally likely languages the
+    first by name is taken; equal texts have equal results. Texts of any length are read whole. Repeated rows, and
+    those with a null id, give a row each, a null id counting as empty text where rows are held out; an empty
+    table gives none; columns besides doc_id and text are not read. With one language to learn from, all texts
+    with a letter are of it; with none, all are "und"."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
