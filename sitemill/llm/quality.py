@@ -1,88 +1,138 @@
 """Quality: random-indexing word vectors, pooled by document, under a two-layer network.
 
-Every word falls into one of 4,096 cells by its written form (case, what follows it) and a hash of its
-letters. A cell has a sparse ternary index vector; its context vector is the sum, over all documents, of the
-index vectors of the words within two places of its words. These sums are integers, so they don't depend on
-the order of addition. A document is the mean of its words' unit vectors, and a network with one hidden
-layer, fitted in numpy to a bounded sample of labelled documents, gives its probability, calibrated by a
-temperature on held-back documents.
+A word is a run of what isn't white space, case and marks included. Every word has a sparse ternary index vector
+of its own, made from its hash. The HEAD most frequent words each have a context vector: the sum, over all
+documents, of the index vectors of the words within two places of it. All rarer words share context vectors by
+their written form (case, what follows, length), and keep their own index vectors. Sums are of integers, so they
+don't depend on the order of addition. A document is the mean of its words' vectors (context, scaled to length
+one, and index), and a network with one hidden layer, fitted in numpy to a bounded sample of labelled documents,
+gives its probability, calibrated by a temperature on held-back documents.
 """
 
 from __future__ import annotations
 
-from zlib import crc32
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Cached, map_arrow, texts_of
 from .labelled import PER_CLASS, held_out, sample, sigmoid
 
-CELLS, WIDTH, NONZERO, REACH, HIDDEN = 4096, 32, 4, 2, 16
-_HASHED = CELLS // 16
+#: Words with a context vector of their own at most, which bounds what is broadcast (8 MB of vectors).
+HEAD = 1 << 16
+WIDTH, NONZERO, REACH, HIDDEN = 32, 4, 2, 16
+#: Words that a worker counts before it sends them on.
+FLUSH = 200_000
 
 
-def cell(word: str) -> int:
-    """By case (lower, first letter, all, other) and what follows (nothing, one mark of a sentence, several, other signs), 16 by 256 cells."""
+def form(word: str) -> int:
+    """0 to 255: by case (lower, first letter, all, other, none), what follows (nothing, one mark of a sentence, several, other signs) and length."""
     end = len(word)
     while end and not word[end - 1].isalnum():
         end -= 1
     body, tail = word[:end], word[end:]
+    long = min(15, len(word))
     if not body:
-        return 15 * _HASHED + crc32(word[:4].encode("utf-8", "surrogatepass")) % _HASHED
+        return 240 + long
     case = 0 if body.islower() else 2 if len(body) > 1 and body.isupper() else 1 if body[0].isupper() and (len(body) == 1 or body[1:].islower()) else 3
     after = 0 if not tail else 3 if tail.strip(".,;:!?)\"'") else 1 if len(tail) == 1 else 2
-    return min(14, case * 4 + after) * _HASHED + crc32(body.lower().encode("utf-8", "surrogatepass")) % _HASHED
-
-
-def index_vectors(seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of the nonzero components of each cell."""
-    rng = np.random.default_rng(seed)
-    return np.argsort(rng.random((CELLS, WIDTH)), 1)[:, :NONZERO].copy(), rng.choice([-1, 1], (CELLS, NONZERO))
+    return min(14, case * 4 + after) * 16 + long
+
+
+FORMS = 256
+
+
+class Words:
+    """Numbers words as they are met; keeps their index vectors, as places and signs, and the row of their context vector."""
+
+    def __init__(self, head: dict[str, int]):
+        self.head, self.known = head, Cached(self.add)
+        self.rows, self.places, self.signs = np.zeros(4096, np.int64), np.zeros((4096, NONZERO), np.int64), np.zeros((4096, NONZERO), np.int8)
+
+    def add(self, word: str) -> int:
+        k = len(self.known)
+        if k >= len(self.rows):
+            self.rows, self.places, self.signs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.places, self.signs))
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        self.rows[k] = r if (r := self.head.get(word)) is not None else len(self.head) + form(word)
+        self.places[k] = [(h >> 8 * j) % WIDTH for j in range(NONZERO)]
+        self.signs[k] = [1 - 2 * (h >> 40 + j & 1) for j in range(NONZERO)]
+        return k
+
+    def read(self, texts: list[str]) -> list[np.ndarray]:
+        self.known.trim()
+        get = self.known.__getitem__
+        return [np.fromiter(map(get, w), np.int64, len(w)) for w in map(str.split, texts)]
+
+    def contexts(self, lines: list[np.ndarray], n: int) -> np.ndarray:
+        """Sums, for each of n rows, of index vectors around its words."""
+        total = np.zeros(n * WIDTH)
+        gap = np.full(REACH, -1)
+        flat = np.concatenate([x for line in lines for x in (line, gap)] or [gap])
+        for step in range(1, REACH + 1):
+            a, b = flat[:-step], flat[step:]
+            ok = (a >= 0) & (b >= 0)
+            a, b = a[ok], b[ok]
+            for x, y in ((a, b), (b, a)):
+                for lo in range(0, len(x), 1 << 19):
+                    i, j = x[lo : lo + (1 << 19)], y[lo : lo + (1 << 19)]
+                    total += np.bincount((self.rows[i, None] * WIDTH + self.places[j]).ravel(), self.signs[j].ravel(), n * WIDTH)
+        return total.reshape(n, WIDTH)
+
+    def vectors(self, contexts: np.ndarray) -> np.ndarray:
+        """Vectors of all words met."""
+        k = len(self.known)
+        out = contexts[self.rows[:k]].astype(np.float64)
+        for j in range(NONZERO):
+            np.add.at(out, (np.arange(k), self.places[:k, j]), self.signs[:k, j] / np.sqrt(NONZERO))
+        return out
+
+
+def most_frequent(docs: DataFrame, most: int = HEAD) -> dict[str, int]:
+    """The most frequent words of all texts, numbered in order; of equally frequent ones, the first by code point.
+
+    Words are counted where they are read, then by word; none is frequent enough in sums of partial counts to be a hot key."""
 
+    def run(batches):
+        c: Counter = Counter()
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                c.update(text.split())
+                if len(c) > FLUSH:
+                    yield _counted(c)
+                    c = Counter()
+        yield _counted(c)
 
-def contexts(lines: list[np.ndarray], place: np.ndarray, sign: np.ndarray) -> np.ndarray:
-    """Sums of index vectors around the cells of texts."""
-    total = np.zeros(CELLS * WIDTH)
-    gap = np.full(REACH, -1)
-    flat = np.concatenate([x for line in lines for x in (line, gap)] or [gap])
-    for step in range(1, REACH + 1):
-        a, b = flat[:-step], flat[step:]
-        ok = (a >= 0) & (b >= 0)
-        a, b = a[ok], b[ok]
-        for x, y in ((a, b), (b, a)):
-            for k in range(NONZERO):
-                total += np.bincount(x * WIDTH + place[y, k], sign[y, k], CELLS * WIDTH)
-    return total.reshape(CELLS, WIDTH)
+    counts = map_arrow(texts_of(docs).select("text"), run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return {w: k for k, w in enumerate(counts.orderBy(F.desc("c"), "word").limit(most).select("word").toArrow().column("word").to_pylist())}
 
 
-def _cells(texts: list[str], known: Cached) -> list[np.ndarray]:
-    known.trim()
-    get = known.__getitem__
-    return [np.fromiter(map(get, w), np.int64, len(w)) for w in map(str.split, texts)]
+def _counted(c: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "c"])
 
 
-def word_vectors(docs: DataFrame) -> np.ndarray:
-    """Unit context vectors of the cells, from all texts; a cell's own index vector is added to them."""
-    place, sign = index_vectors()
+def word_vectors(docs: DataFrame, head: dict[str, int]) -> np.ndarray:
+    """Context vectors of length one (or zero) of the frequent words, then of the forms, from all texts."""
+    n = len(head) + FORMS
+    shared = docs.sparkSession.sparkContext.broadcast(head)
 
     def run(batches):
-        total, known = np.zeros((CELLS, WIDTH)), Cached(cell)
+        total, words = np.zeros((n, WIDTH)), Words(shared.value)
         for b in batches:
-            total += contexts(_cells(b.column("text").to_pylist(), known), place, sign)
+            total += words.contexts(words.read(b.column("text").to_pylist()), n)
         used = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(total[used, d].astype(np.int64)) for d in range(WIDTH))], names=["cell", *(f"v{d}" for d in range(WIDTH))])
+        for lo in range(0, len(used), 1 << 14):
+            part = used[lo : lo + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *(pa.array(total[part, d].astype(np.int64)) for d in range(WIDTH))], names=["row", *names])
 
     names = [f"v{d}" for d in range(WIDTH)]
-    rows = map_arrow(texts_of(docs).select("text"), run, "cell long, " + ", ".join(f"{n} long" for n in names)).groupBy("cell").agg(*(F.sum(n).alias(n) for n in names)).collect()
-    own = np.zeros((CELLS, WIDTH))
-    np.put_along_axis(own, place, sign, 1)
-    c = np.zeros((CELLS, WIDTH))
-    for r in rows:
-        c[r[0]] = r[1:]
-    c /= np.maximum(1e-9, np.linalg.norm(c, axis=1, keepdims=True))
-    return c + own / np.sqrt(NONZERO)
+    sums = map_arrow(texts_of(docs).select("text"), run, "row int, " + ", ".join(f"{x} long" for x in names)).groupBy("row").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+    c = np.zeros((n, WIDTH))
+    c[sums.column("row").to_numpy()] = np.stack([sums.column(x).to_numpy() for x in names], 1)
+    return (c / np.maximum(1e-9, np.linalg.norm(c, axis=1, keepdims=True))).astype(np.float32)
 
 
 def pooled(lines: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
@@ -95,6 +145,20 @@ def pooled(lines: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
     return out
 
 
+class Reader:
+    """Texts to pooled vectors; vectors of words are made once."""
+
+    def __init__(self, head: dict[str, int], contexts: np.ndarray):
+        self.words, self.contexts, self.made = Words(head), contexts, np.zeros((0, WIDTH))
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        lines = self.words.read(texts)
+        k = len(self.words.known)
+        if k != len(self.made):
+            self.made = self.words.vectors(self.contexts)
+        return pooled(lines, self.made)
+
+
 class Net:
     """x -> sigmoid((tanh(x A + a) B + b) / temperature) after x is standardised."""
 
@@ -130,27 +194,38 @@ class Net:
         return (h @ self.p[2] + self.p[3]) / self.temperature
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[np.ndarray, Net]:
-    """Word vectors and the network; labels only of documents outside the held-out fold."""
-    vectors = word_vectors(docs)
-    rows = sample(docs, labels, "quality", per_class)
-    x = pooled(_cells([r[3] for r in rows], Cached(cell)), vectors)
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[dict[str, int], np.ndarray, Net]:
+    """Frequent words, context vectors and the network; labels only of documents outside the held-out fold.
+
+    Of the labelled sample only pooled vectors, 33 numbers a document, come to the driver."""
+    head = most_frequent(docs)
+    vectors = word_vectors(docs, head)
+    shared = docs.sparkSession.sparkContext.broadcast((head, vectors))
+
+    def reduce():
+        read = Reader(*shared.value)
+        return lambda texts: [x.tobytes() for x in read(texts)]
+
+    rows = sample(docs, labels, "quality", reduce, per_class)
+    x = np.array([np.frombuffer(r[3]) for r in rows]).reshape(len(rows), WIDTH + 1)
     y, w = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
-    return vectors, Net(x, y, w, np.arange(len(rows)) % 5 == 0)
+    return head, vectors, Net(x, y, w, np.arange(len(rows)) % 5 == 0)
 
 
-def rate(docs: DataFrame, model: tuple[np.ndarray, Net]) -> DataFrame:
+def rate(docs: DataFrame, model: tuple[dict[str, int], np.ndarray, Net]) -> DataFrame:
     """doc_id, held_out, score (0 to 1) of every document.
 
-    Null and empty texts are the zero vector and get the network's score of it; repeated rows give a row
-    each; an empty table gives none; columns besides doc_id and text are not read."""
+    Null and empty texts are the zero vector and get the network's score of it; texts of any length are read
+    whole; repeated rows, and those with a null id, give a row each, a null id counting as empty text where rows
+    are held out; an empty table gives none; columns besides doc_id and text are not read. Equal texts have equal
+    scores; where nothing was learnt all have the same."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        vectors, net = shared.value
-        known = Cached(cell)
+        head, vectors, net = shared.value
+        read = Reader(head, vectors)
         for b in batches:
-            x = pooled(_cells(b.column("text").to_pylist(), known), vectors)
+            x = read(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(sigmoid(net.logit(x)))], names=["doc_id", "held_out", "score"])
 
     return map_arrow(texts_of(docs.withColumn("held_out", held_out()), "held_out"), run, "doc_id long, held_out boolean, score double")

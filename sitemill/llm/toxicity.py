@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Cached, map_arrow, texts_of
 from .decontaminate import token
-from .labelled import PER_CLASS, crc_rest, held_out, logistic, sample, sigmoid
+from .labelled import PER_CLASS, held_out, logistic, sampled_texts, sigmoid
 
 BUCKETS = 1 << 16
 #: Cells (tokens times documents) of one forward-backward pass.
@@ -208,7 +208,8 @@ def train(texts: list[str], y: list[int], weight: list[float], steps: int = 90,
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Field:
-    rows = sample(docs, labels, "toxic", per_class)
+    """From a sample of labelled documents outside the held-out fold: at most per_class of either label and labelled.SAMPLE_CHARS characters of each."""
+    rows = sampled_texts(docs, labels, "toxic", per_class)
     return train([r[3] for r in rows], [r[1] for r in rows], [r[2] for r in rows])
 
 
@@ -237,8 +238,10 @@ def offsets(text: str, p: np.ndarray) -> str:
 def tag(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, held_out, score (0 to 1), predicted (1 from 0.5 on), spans (toxic ones, start:end) of every document.
 
-    Null and empty texts have the score of a text without toxic tokens; repeated rows give a row each; an
-    empty table gives none; columns besides doc_id and text are not read."""
+    Null and empty texts have the score of a text without toxic tokens; texts of any length are read whole;
+    repeated rows, and those with a null id, give a row each, a null id counting as empty text where rows are held
+    out; an empty table gives none; columns besides doc_id and text are not read. Equal texts have equal scores; a
+    token that is as likely toxic as not counts as toxic."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
@@ -254,7 +257,11 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
-    """docs without those that the field predicts as toxic, all of them where it was fitted to no document; nothing is shuffled."""
+    """docs without those that the field predicts as toxic; all of them stay where it was fitted to no document.
+
+    Null and empty texts are scored as in tag, and stay null; texts of any length are read whole; repeated rows go
+    or stay alike, rows with a null id by their text; an empty table gives none. All columns are kept, whatever
+    their names. Nothing is shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches):
@@ -266,6 +273,3 @@ def keep_clean(docs: DataFrame, field: Field) -> DataFrame:
 
     own = docs.withColumn("text", F.col("text").cast("string"))
     return map_arrow(own, run, own.schema)
-
-
-__all__ = ["Field", "crc_rest", "fit", "keep_clean", "tag", "train"]

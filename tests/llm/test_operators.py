@@ -60,6 +60,23 @@ def test_odd_rows_and_empty_tables(spark, name):
     if name not in ("decontaminate", "licenses"):
         assert Counter(r["doc_id"] for r in out) == Counter(r["doc_id"] for r in docs.collect())
     assert run(none(spark)).collect() == []
+    # null and empty texts have the defined values, repeated rows and null ids those of their text
+    by = {}
+    for r in out:
+        by.setdefault(r["doc_id"], []).append(r)
+    if name == "pii":
+        assert all((*by[k][0][1:5], by[k][0]["spans"], by[k][0]["base_sha256"]) == (0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest()) for k in (0, 1, 2)) and by[28][0]["spans"].startswith("email:")
+    elif name == "mix":
+        assert [by[k][0]["size"] for k in (0, 1, 2, 3, 5, 6)] == [0, 0, 0, 1, 1, 20000] and sorted(r["size"] for r in by[None]) == [0, 3]
+    elif name == "language":
+        assert all((by[k][0]["lang_best"], by[k][0]["lang"], by[k][0]["confidence"]) == ("und", "und", 0.0) for k in (0, 1, 2)) and by[3][0]["lang_best"] == "en"
+    elif name == "likelihood":
+        assert all(by[k][0]["n_tokens"] == 1 and by[k][0]["score"] == by[0][0]["score"] for k in (0, 1, 2)) and {r["n_tokens"] for r in by[None]} == {1, 4} and by[6][0]["n_tokens"] == 20001
+    elif name == "simhash":
+        assert all((by[k][0]["fingerprint"], by[k][0]["component_id"]) == ("0" * 16, 0) for k in (0, 1, 2)) and {r["component_id"] for r in by[27]} == {7}
+    elif name in ("toxicity", "quality"):
+        assert len({by[k][0]["score"] for k in (0, 1, 2)}) == 1 and by[0][0]["score"] in {r["score"] for r in by[None]} and all(0 <= r["score"] <= 1 for r in out)
+    assert all(len(set(map(tuple, by[3]))) == 1 and len(by[3]) == 3 for _ in (0,) if name not in ("decontaminate", "licenses", "mix"))
 
 
 def test_stages_keep_columns_and_handle_odd_rows(spark):
@@ -262,6 +279,24 @@ def test_language_held_out(spark):
     assert got[1000]["lang_best"] == got[1001]["lang_best"] == "und" and got[1000]["confidence"] == 0
 
 
+def test_language_scores_match_the_definition(spark):
+    """Softmax of the mean of all subwords' class scores, added up one by one."""
+    docs = odd(spark)
+    rng = random.Random(2)
+    data = [(k, " ".join(rng.choice(x) for _ in range(12)), lang) for k in range(200) for lang, x in [rng.choice([("aa", ["oka", "lomi", "Mi!"]), ("bb", ["sch", "ungver", "ver,"])])]]
+    model = language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    assert model.languages == ["aa", "bb"]
+    texts = {(r["doc_id"], r["text"]) for r in docs.collect()}
+    want = set()
+    for k, t in texts:
+        ids = [x for w in (t or "").split() for x in language.subwords(w)]
+        z = (sum(model.table[x].astype(float) for x in ids) / max(1, len(ids)) if ids else np.zeros(2)) + model.bias
+        p = np.exp(z / model.temperature - np.logaddexp.reduce(z / model.temperature))
+        some = any(c.isalpha() for c in t or "")
+        want.add((k, model.languages[int(p.argmax())] if some else "und", round(float(p.max()), 3) if some else 0.0))
+    assert {(r["doc_id"], r["lang_best"], round(r["confidence"], 3)) for r in language.identify(docs, model).collect()} == want
+
+
 def test_toxicity_held_out_and_offsets(spark):
     rng = random.Random(0)
     texts = [" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(500)]
@@ -298,6 +333,32 @@ def test_forward_backward_matches_enumeration():
         assert np.allclose(field.marginals([psi])[0], want / z)
 
 
+def test_toxicity_scores_match_enumeration(spark):
+    """The score of a document from its tokens' marginals, which are summed over all labellings."""
+    rng = np.random.default_rng(1)
+    weights = np.zeros(toxicity.BUCKETS)
+    words = ["the", "vile", "Vile!", "wretch", "...", "green"]
+    for w in words:
+        for k in toxicity.features(w):
+            weights[k] = rng.standard_normal()
+    field = toxicity.Field(weights, np.array([1.0, 0.3, 0.7, 1.9, 0.4]), np.array([0.8, -0.2, 0.5, 1.1, -0.7]))
+    texts = [None, "", "vile", "the Vile! green", "wretch ... vile the vile wretch", "green green"]
+    a = field.trans[:4].reshape(2, 2)
+    want = []
+    for t in texts:
+        tokens = (t or "").split()
+        psi = [math.exp(sum(weights[k] for k in toxicity.features(w))) for w in tokens]
+        p, z = np.zeros(len(psi)), 0.0
+        for y in np.ndindex(*(2,) * len(psi)) if psi else ():
+            v = (field.trans[4] if y[0] else 1) * np.prod([x if b else 1 for x, b in zip(psi, y)]) * np.prod([a[i, j] for i, j in zip(y, y[1:])])
+            z, p = z + v, p + v * np.array(y)
+        p = p / z if psi else p
+        x = np.array([math.log(p.sum() + 1e-3), math.log1p(p.sum()), math.log((p.sum() + 0.05) / (len(p) + 10)), p.max(initial=0.0)])
+        want.append(1 / (1 + math.exp(-(x @ field.scale[:4] + field.scale[4]))))
+    got = {r["doc_id"]: r for r in toxicity.tag(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), field).collect()}
+    assert np.allclose([got[k]["score"] for k in range(len(texts))], want) and all(got[k]["predicted"] == (want[k] >= 0.5) for k in got)
+
+
 def test_quality_held_out(spark):
     rng = random.Random(0)
     data = [(k, " ".join(rng.choice(WORDS) + ("%%%" if k % 5 == 0 else "") for _ in range(50))) for k in range(500)]
@@ -308,16 +369,53 @@ def test_quality_held_out(spark):
     assert held and np.mean([(r["score"] >= 0.3) == (r["doc_id"] % 5 != 0) for r in held]) > 0.97
 
 
-def test_context_sums_do_not_depend_on_partitions(spark):
+def brute_vectors(texts, head):
+    """Context vectors by counting every neighbour of every word."""
+    def index(w):
+        h, x = xxhash.xxh64_intdigest(w.encode()), np.zeros(quality.WIDTH)
+        for j in range(quality.NONZERO):
+            x[(h >> 8 * j) % quality.WIDTH] += 1 - 2 * (h >> 40 + j & 1)
+        return x
+
+    c = np.zeros((len(head) + quality.FORMS, quality.WIDTH))
+    row = lambda w: head[w] if w in head else len(head) + quality.form(w)
+    for t in texts:
+        w = (t or "").split()
+        for i, x in enumerate(w):
+            for j in range(max(0, i - 2), min(len(w), i + 3)):
+                if j != i:
+                    c[row(x)] += index(w[j])
+    c /= np.maximum(1e-9, np.linalg.norm(c, axis=1, keepdims=True))
+    return c, lambda w: c[row(w)] + index(w) / math.sqrt(quality.NONZERO)
+
+
+@pytest.mark.parametrize("most", [4, 1 << 16])
+def test_quality_matches_the_definition(spark, most):
+    """Frequent words, context vectors and pooled documents, each by its definition, whatever the partitions."""
     docs = odd(spark)
-    assert np.array_equal(quality.word_vectors(docs), quality.word_vectors(docs.repartition(5)))
+    texts = [r["text"] for r in docs.collect()]
+    head = quality.most_frequent(docs, most)
+    count = Counter(w for t in texts for w in (t or "").split())
+    assert list(head) == sorted(count, key=lambda w: (-count[w], w.encode()))[:most]
+    c, vector = brute_vectors(texts, head)
+    got = quality.word_vectors(docs, head)
+    assert np.allclose(got, c, atol=1e-6) and np.array_equal(got, quality.word_vectors(docs.repartition(5), head))
+    x = np.array([[*(np.mean([vector(w) for w in t.split()], axis=0) if (t or "").split() else np.zeros(quality.WIDTH)), math.log1p(len((t or "").split())) / 10] for t in texts])
+    y = np.arange(len(x)) % 2
+    net = quality.Net(x, y, np.ones(len(x)), np.arange(len(x)) % 5 == 0, steps=50)
+    want = 1 / (1 + np.exp(-((np.tanh((x - net.mean) / net.sd @ net.p[0] + net.p[1]) @ net.p[2] + net.p[3]) / net.temperature)))
+    out = quality.rate(docs, (head, got, net)).collect()
+    assert sorted((str(r["doc_id"]), round(r["score"], 4)) for r in out) == sorted((str(r["doc_id"]), round(v, 4)) for r, v in zip(docs.collect(), want.tolist()))
 
 
 def test_samples_are_bounded_and_leave_the_fold_out(spark):
-    docs = spark.createDataFrame([(k, f"t{k}") for k in range(400)], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, f"t{k}" * (1 + k % 7)) for k in range(400)], "doc_id long, text string")
     lab = spark.createDataFrame([(k, k % 2) for k in range(400)] + [(3, 0)], "doc_id long, quality int")
-    got = labelled.sample(docs, lab, "quality", per_class=30)
+    got = labelled.sample(docs, lab, "quality", lambda: lambda texts: [t.encode() for t in texts], per_class=30)
     assert len(got) == 60 and all(zlib.crc32(str(k).encode()) % 5 for k, *_ in got)
+    assert [(k, y, w, x.decode()) for k, y, w, x in got] == labelled.sampled_texts(docs, lab, "quality", per_class=30)
+    few = labelled.sampled_texts(docs, lab, "quality", per_class=30, most=150)
+    assert set(few[0]) and {k for k, *_ in few} < {k for k, *_ in got} and all(sum(len(x) for _, v, _, x in few if v == y) <= 150 for y in (0, 1))
 
 
 # --- decontamination
