@@ -54,3 +54,47 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     pairs = docs.crossJoin(F.broadcast(queries)).select("query", "id", dot(F.col("x"), F.col("y")).alias("sim"))
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim"), "id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def top_k_blocks(queries: DataFrame, docs: DataFrame, k: int, most: int = 64 << 20) -> DataFrame:
+    """query, id, sim, rank: the same for many queries: each task keeps the best k of its documents by matrix products, then these are merged.
+
+    Similarities are compared at 9 decimals, ties by id as text. Queries are broadcast where their vectors take at
+    most `most` bytes; more are taken in parts, each a pass over the documents."""
+    import numpy as np
+    import pandas as pd
+
+    n, dim = queries.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("d")).first()
+    parts, merged = max(1, -(-(n or 0) * 8 * (dim or 0) // most)), None
+    for part in range(parts):
+        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part).collect()
+        shared = docs.sparkSession.sparkContext.broadcast(([r["query"] for r in rows], np.array([r["x"] for r in rows], np.float64).reshape(len(rows), -1)))
+
+        def best(batches, shared=shared):
+            names, x = shared.value
+            held: list[pd.DataFrame] = []
+
+            def cut(frames: list[pd.DataFrame]) -> pd.DataFrame:
+                d = pd.concat(frames, ignore_index=True).sort_values(["q", "sim", "id"], ascending=[True, False, True], kind="stable")
+                return d[d.groupby("q").cumcount() < k]
+
+            for pdf in batches:
+                if not len(names) or not len(pdf):
+                    continue
+                y, ids = np.stack(pdf["y"].to_numpy()), pdf["id"].astype(str).to_numpy()
+                for lo in range(0, len(names), 256):
+                    sim = np.round(x[lo : lo + 256] @ y.T, 9)
+                    if sim.shape[1] > k:  # what is below the k-th best is in no result; equals stay for the ties
+                        keep = sim >= -np.partition(-sim, k - 1, axis=1)[:, k - 1 : k]
+                    else:
+                        keep = np.ones(sim.shape, bool)
+                    i, j = np.nonzero(keep)
+                    held.append(pd.DataFrame({"q": i + lo, "id": ids[j], "sim": sim[i, j]}))
+                held = [cut(held)]
+            for d in held:
+                yield pd.DataFrame({"query": [names[q] for q in d["q"]], "id": d["id"].to_numpy(), "sim": d["sim"].to_numpy()})
+
+        found = docs.mapInPandas(best, f"query {queries.schema['query'].dataType.simpleString()}, id string, sim double")
+        merged = found if merged is None else merged.unionByName(found)
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("sim"), "id"))
+    return merged.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -26,7 +26,7 @@ def cluster_ci(means: np.ndarray, draws: int = 1000, seed: int = 0, level: float
     return float(lo), float(hi)
 
 
-def hash_bootstrap(rows: DataFrame, value: str, draws: int = 50, seed: int = 0) -> DataFrame:
+def hash_bootstrap(rows: DataFrame, value: str, draws: int = 1000, seed: int = 0) -> DataFrame:
     """lo, hi: the same distributed; draw d's i-th paper is number md5(seed:d:i) modulo the count."""
     from pyspark.sql import Window as W
 
@@ -40,6 +40,43 @@ def hash_bootstrap(rows: DataFrame, value: str, draws: int = 50, seed: int = 0)
     return means.agg(F.expr("percentile(mean, 0.025D)").alias("lo"), F.expr("percentile(mean, 0.975D)").alias("hi"))
 
 
+def paired(rows: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """name, n, papers, a, b, delta, lo, hi, excludes_zero, pool_a, pool_b, pool_delta of rows (name, citing_id, a, b), each name a comparison.
+
+    a, b and delta = a - b are means over papers of their means; lo and hi bound 95% of the mean delta of resampled
+    papers, draw d's i-th paper being number md5(seed:d:i) modulo their count; pool_* average all rows alike. Per
+    paper and name there is one row from here on; the resampling joins these with themselves."""
+    from pyspark.sql import Window as W
+
+    per = rows.groupBy("name", "citing_id").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.avg(F.col("a") - F.col("b")).alias("d"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.count("*").alias("n"))
+    per = per.withColumn("k", F.row_number().over(W.partitionBy("name").orderBy("citing_id")) - 1).withColumn("papers", F.count("*").over(W.partitionBy("name")))
+    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "draw", "i").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("papers")
+    drawn = per.select("name", F.col("k").alias("i"), "papers", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("name", "draw", place.alias("k"))
+    means = drawn.join(per.select("name", F.col("k").cast("long").alias("k"), "d"), ["name", "k"]).groupBy("name", "draw").agg(F.round(F.avg("d"), 9).alias("m"))
+    ci = means.groupBy("name").agg(F.expr("percentile(m, 0.025D)").alias("lo"), F.expr("percentile(m, 0.975D)").alias("hi"))
+    six = lambda c, name: F.round(c, 6).alias(name)
+    all_ = per.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("papers"), six(F.avg("a"), "a"), six(F.avg("b"), "b"), six(F.avg("d"), "delta"), six(F.sum("sa") / F.sum("n"), "pool_a"), six(F.sum("sb") / F.sum("n"), "pool_b"), six((F.sum("sa") - F.sum("sb")) / F.sum("n"), "pool_delta"))
+    return all_.join(ci, "name").select("name", "n", "papers", "a", "b", "delta", six(F.col("lo"), "lo"), six(F.col("hi"), "hi"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("excludes_zero"), "pool_a", "pool_b", "pool_delta")
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with number: 0, 1, ... in that order, which must tell all rows apart.
+
+    Rows are dealt out by ranges and written; their places are counted within a range and moved by the sizes of
+    those before, so no task has them all."""
+    from pyspark.sql import Window as W
+
+    from ..session import scratch_path
+
+    spark, at = rows.sparkSession, scratch_path(rows.sparkSession)
+    rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(at)
+    kept = spark.read.parquet(at)
+    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_first", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).select("_part", "_first")  # a row a range
+    n = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return kept.withColumn("number", n).join(F.broadcast(before), "_part").withColumn("number", F.col("number") + F.col("_first")).drop("_part", "_first")
+
+
 def kappa(labels: DataFrame, a: str, b: str) -> DataFrame:
     """n, raw, kappa of two readers' labels; null where chance agreement is 1."""
     n = labels.agg(F.count("*").alias("n"), F.avg((F.col(a) == F.col(b)).cast("double")).alias("raw"))
@@ -50,8 +87,11 @@ def kappa(labels: DataFrame, a: str, b: str) -> DataFrame:
     return n.crossJoin(pe).select("n", "raw", F.when(chance != 1, (F.col("raw") - chance) / (1 - chance)).alias("kappa"))
 
 
+QUANTILES = (("p01", 0.01), ("p05", 0.05), ("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95), ("p99", 0.99))
+
+
 def quantiles(rows: DataFrame, value: str) -> DataFrame:
-    """n, mean, p10, median, p90 (element floor(p n) of the sorted values) and shares above, at and below 0.
+    """n, mean, p01, p05, p10, p25, median, p75, p90, p95, p99 (element floor(p n) of the sorted values) and shares above, at and below 0.
 
     Ranks come from counts of equal values, so no task gathers all values."""
     from pyspark.sql import Window as W
@@ -59,4 +99,4 @@ def quantiles(rows: DataFrame, value: str) -> DataFrame:
     n = rows.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), *(F.avg(c.cast("double")).alias(k) for k, c in (("frac_positive", F.col(value) > 0), ("frac_zero", F.col(value) == 0), ("frac_negative", F.col(value) < 0))))
     c = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k")).withColumn("hi", F.sum("k").over(W.orderBy("v")))
     at = lambda p: F.min(F.when(F.col("hi") > F.least(F.col("n") - 1, F.floor(F.lit(p) * F.col("n"))), F.col("v")))
-    return c.crossJoin(F.broadcast(n)).groupBy("n", "mean", "frac_positive", "frac_zero", "frac_negative").agg(at(0.1).alias("p10"), at(0.5).alias("median"), at(0.9).alias("p90"))
+    return c.crossJoin(F.broadcast(n)).groupBy("n", "mean", "frac_positive", "frac_zero", "frac_negative").agg(*(at(p).alias(name) for name, p in QUANTILES))

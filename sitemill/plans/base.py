@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import graph, pools, sites, stats
@@ -63,6 +65,24 @@ def sql(select: str, *more: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{_CTES.strip()}{''.join(', ' + m for m in more)}\n{select}"
 
 
+def split_sql(split: str, *more: str) -> str:
+    """The common table expressions that depend on the split, and more ones, for another split; their names, and columns named like them, end in it."""
+    head, tail = _CTES[_CTES.index("mark AS (") : _CTES.index("edge AS (")], _CTES[_CTES.index("elig AS (") :]
+    text = ", ".join([head.strip().rstrip(","), tail.strip(), *more]).replace("'test'", f"'{split}'")
+    names = set(re.findall(r"(?:^|[ ,(])(\w+) AS \(", text))
+    return re.sub(rf"\b({'|'.join(sorted(names, key=len, reverse=True))})\b", rf"\1_{split}", text)
+
+
+#: Means and intervals of the differences between a and b of a table cmp (name, citing_id, a, b), in SQL.
+PAIRED = (
+    "per AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY citing_id) - 1 AS k, count(*) OVER (PARTITION BY name) AS papers FROM (SELECT name, citing_id, avg(a) AS a, avg(b) AS b, avg(a - b) AS d, sum(a) AS sa, sum(b) AS sb, count(*) AS n FROM cmp GROUP BY ALL))",
+    "boot AS (SELECT x.name, draw, round(avg(y.d), 9) AS m FROM (SELECT name, k, papers, unnest(range(1000)) AS draw FROM per) x JOIN per y ON y.name = x.name AND y.k = ('0x' || substr(md5('0:' || draw || ':' || x.k), 1, 8))::BIGINT % x.papers GROUP BY ALL)",
+    "ci AS (SELECT name, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM boot GROUP BY name)",
+    """paired AS (SELECT name, sum(n)::BIGINT AS n, count(*) AS papers, round(avg(a), 6) AS a, round(avg(b), 6) AS b, round(avg(d), 6) AS delta, round(any_value(lo), 6) AS lo, round(any_value(hi), 6) AS hi,
+  any_value(lo) > 0 OR any_value(hi) < 0 AS excludes_zero, round(sum(sa) / sum(n), 6) AS pool_a, round(sum(sb) / sum(n), 6) AS pool_b, round((sum(sa) - sum(sb)) / sum(n), 6) AS pool_delta FROM per JOIN ci USING (name) GROUP BY name)""",
+)
+
+
 def rr(score: str, table: str = "z") -> str:
     """Mean over candidates of 1 / rank among the ties, by context, in SQL."""
     return f"""(SELECT context_id, any_value(citing_id) AS citing_id, above, tied,
@@ -72,10 +92,10 @@ def rr(score: str, table: str = "z") -> str:
 
 
 class Corpus:
-    """The test split of a folder's tables with what is derived from it, each part made when it is asked for."""
+    """A split of a folder's tables with what is derived from it, each part made when it is asked for."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+    def __init__(self, spark: SparkSession, folder: str, split: str = "test"):
+        self.spark, self.folder, self.split = spark, folder, split
         self._made: dict[str, DataFrame] = {}
 
     def _once(self, name: str, make) -> DataFrame:
@@ -92,7 +112,7 @@ class Corpus:
 
     @property
     def ctx(self) -> DataFrame:
-        return self._once("ctx", lambda: adapters.contexts(self.spark, self.folder, "test"))
+        return self._once("ctx", lambda: adapters.contexts(self.spark, self.folder, self.split))
 
     @property
     def train(self) -> DataFrame:
@@ -145,22 +165,22 @@ class Corpus:
         return self._once("scored", make)
 
 
-def ranked_by(pools_: DataFrame, **scores: F.Column) -> DataFrame:
-    """context_id, citing_id and, for each named score, <name>_above, <name>_tied, <name>_rr, <name>_hit1, in one pass.
+def ranked_by(pools_: DataFrame, *keep: str, **scores: F.Column) -> DataFrame:
+    """context_id, citing_id, the columns to keep (each of one value in a pool) and, for each named score, <name>_above, <name>_tied, <name>_rr, <name>_hit1, in one pass.
 
     Scores are compared at 9 decimals: sums in another order differ by less. NaN is refused."""
     from pyspark.sql import Window as W
 
     from ..functions.probes import expected_hit1, expected_rr
 
-    w, d = W.partitionBy("context_id"), pools_.select("context_id", "citing_id", "is_gold", *(F.round(c, 9).alias(f"s_{n}") for n, c in scores.items()))
+    w, d = W.partitionBy("context_id"), pools_.select("context_id", "citing_id", *keep, "is_gold", *(F.round(c, 9).alias(f"s_{n}") for n, c in scores.items()))
     for n in scores:
         s = F.when(F.isnan(f"s_{n}"), F.raise_error(F.lit("a score is NaN"))).otherwise(F.col(f"s_{n}"))
         d = d.withColumn(f"s_{n}", s)
     d = d.select("*", *(F.max(F.when(F.col("is_gold"), F.col(f"s_{n}"))).over(w).alias(f"g_{n}") for n in scores))
     counts = [x for n in scores for x in (F.count_if(F.col(f"s_{n}") > F.col(f"g_{n}")).alias(f"{n}_above"), F.count_if(F.col(f"s_{n}") == F.col(f"g_{n}")).alias(f"{n}_tied"))]
     # keyed by the window's key alone, so the rows that it dealt out aren't dealt out again
-    b = d.groupBy("context_id").agg(F.first("citing_id").alias("citing_id"), *counts)
+    b = d.groupBy("context_id").agg(*(F.first(c).alias(c) for c in ("citing_id", *keep)), *counts)
     return b.select("*", *(x for n in scores for x in (expected_rr(F.col(f"{n}_above"), F.col(f"{n}_tied")).alias(f"{n}_rr"), expected_hit1(F.col(f"{n}_above"), F.col(f"{n}_tied")).alias(f"{n}_hit1"))))
 
 
@@ -170,4 +190,4 @@ def ranked(pools_: DataFrame, score: str | F.Column) -> DataFrame:
     return r.select("context_id", "citing_id", *(F.col(f"x_{n}").alias(n) for n in ("above", "tied", "rr", "hit1")))
 
 
-__all__ = ["Corpus", "ranked", "ranked_by", "rr", "sql", "stats"]
+__all__ = ["PAIRED", "Corpus", "ranked", "ranked_by", "rr", "split_sql", "sql", "stats"]

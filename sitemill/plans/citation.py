@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from ..functions import probes as P, text as T
-from ..operators import graph, pools, scorers, sites, stats
+from ..operators import annotation, graph, pools, scorers, sites, stats
 from .base import Corpus, ranked, ranked_by, rr, sql
 from .registry import query
 
@@ -195,10 +195,10 @@ def jn_reuse_union(s, d):
     return keys.join(old, "key", "left_semi").withColumn("reused", F.lit(True)).unionByName(keys.join(old, "key", "left_anti").withColumn("reused", F.lit(False)))
 
 
-@query("jn_citing_lookup", sql("SELECT context_id, candidate, coalesce(o_totalprice, 0) AS score FROM pool LEFT JOIN (SELECT o_custkey::VARCHAR AS citing_id, max(o_totalprice) AS o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) USING (citing_id)"))
+@query("jn_citing_lookup", sql("SELECT context_id, candidate, coalesce(o_totalprice, 0) AS score FROM pool LEFT JOIN (SELECT o_custkey::VARCHAR AS citing_id, max(o_totalprice) AS o_totalprice FROM orders GROUP BY 1) USING (citing_id)"))
 def jn_citing_lookup(s, d):
     c = Corpus(s, d)
-    node = c.table("orders").where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").cast("string").alias("citing_id")).agg(F.max("o_totalprice").alias("score"))
+    node = c.table("orders").groupBy(F.col("o_custkey").cast("string").alias("citing_id")).agg(F.max("o_totalprice").alias("score"))
     return c.pools.join(node, "citing_id", "left").select("context_id", "candidate", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
@@ -309,17 +309,6 @@ def agg_assoc_mean(s, d):
     return Corpus(s, d).scored.select("context_id", "candidate", R6("mean"), R6("masked_mean"), R6("most"))
 
 
-@query("agg_coverage_strata", sql(f"""SELECT stratum, count(*) AS n, round(avg(a.rr), 6) AS base, round(avg(b.rr), 6) AS rescored FROM (
-  SELECT context_id, CASE WHEN max(CASE WHEN is_gold THEN mean END) > 0 THEN 'target' WHEN max(mean) > 0 THEN 'distractor' ELSE 'none' END AS stratum FROM z GROUP BY context_id)
-  JOIN {rr('z')} a USING (context_id) JOIN {rr('z + 3.0::DOUBLE * mean')} b USING (context_id) GROUP BY stratum"""))
-def agg_coverage_strata(s, d):
-    p = Corpus(s, d).scored
-    own = p.groupBy("context_id").agg(F.max(F.when(F.col("is_gold"), F.col("mean"))).alias("g"), F.max("mean").alias("m"))
-    own = own.select("context_id", F.when(F.col("g") > 0, "target").when(F.col("m") > 0, "distractor").otherwise("none").alias("stratum"))
-    r = ranked_by(p, a=F.col("z"), b=F.col("z") + 3.0 * F.col("mean"))
-    return own.join(r, "context_id").groupBy("stratum").agg(F.count("*").alias("n"), R6(F.avg("a_rr"), "base"), R6(F.avg("b_rr"), "rescored"))
-
-
 @query("agg_reach", sql("SELECT citing_id, location, len(list_intersect(any_value(g.gold), list(DISTINCT candidate)))::BIGINT AS reached, len(any_value(g.gold))::BIGINT AS n FROM pool JOIN anc USING (context_id) JOIN gold g ON anc.citing_id = g.citing_id AND anc.location = g.location GROUP BY anc.citing_id AS citing_id, anc.location AS location".replace("GROUP BY anc.citing_id AS citing_id, anc.location AS location", "GROUP BY ALL").replace("SELECT citing_id, location,", "SELECT anc.citing_id AS citing_id, anc.location AS location,")))
 def agg_reach(s, d):
     c = Corpus(s, d)
@@ -412,46 +401,6 @@ def agg_pool_mean(s, d):
     return ranked(Corpus(s, d).scored, "base").agg(R6(F.avg("rr"), "rr"), F.count("*").alias("n"))
 
 
-_PAIRED = sql(f"SELECT round(avg(a), 6) AS a, round(avg(b), 6) AS b, round(avg(b - a), 6) AS delta, count(*) AS papers, sum(n)::BIGINT AS n FROM (SELECT x.citing_id, avg(x.rr) AS a, avg(y.rr) AS b, count(*) AS n FROM {rr('z')} x JOIN {rr('z + 3.0::DOUBLE * mean')} y USING (context_id) GROUP BY x.citing_id)")
-
-
-@query("agg_paired", _PAIRED)
-@query("an_primary_result", _PAIRED)
-def an_primary_result(s, d):
-    """Mean reciprocal rank of the base and of base with the co-citation term."""
-    r = ranked_by(Corpus(s, d).scored, a=F.col("z"), b=F.col("z") + 3.0 * F.col("mean"))
-    both = r.select("citing_id", F.col("a_rr").alias("a"), F.col("b_rr").alias("b"))
-    m = stats.paper_mean(both.withColumn("delta", F.col("b") - F.col("a")), "a", "b", "delta")
-    return m.select(R6("a"), R6("b"), R6("delta"), "papers", "n")
-
-
-@query("an_rank_gates", sql(f"SELECT round(avg(b) - avg(a), 6) AS gain, avg(b) > avg(a) AS gate1 FROM (SELECT x.citing_id, avg(x.rr) AS a, avg(y.rr) AS b FROM {rr('z')} x JOIN {rr('z + 3.0::DOUBLE * mean')} y USING (context_id) GROUP BY x.citing_id)"))
-def an_rank_gates(s, d):
-    m = an_primary_result(s, d)
-    return m.select(F.col("delta").alias("gain"), (F.col("b") > F.col("a")).alias("gate1"))
-
-
-_LAMBDAS = (0.0, 0.5, 1.0, 3.0)
-
-
-@query("sc_sweep", sql(" UNION ALL ".join(f"SELECT {x}::DOUBLE AS lam, round(avg(rr), 6) AS mrr FROM (SELECT citing_id, avg(rr) AS rr FROM {rr(f'z + {x}::DOUBLE * mean')} GROUP BY citing_id)" for x in _LAMBDAS)))
-def sc_sweep(s, d):
-    """One pass: scores of all settings from the same rows."""
-    p = Corpus(s, d).scored.select("context_id", "citing_id", "is_gold", "z", "mean")
-    grid = p.withColumn("lam", F.explode(F.array(*map(F.lit, _LAMBDAS)))).withColumn("score", F.round(F.col("z") + F.col("lam") * F.col("mean"), 9))
-    g = F.max(F.when(F.col("is_gold"), F.col("score"))).over(W.partitionBy("lam", "context_id"))
-    b = grid.withColumn("g", g).groupBy("lam", "citing_id", "context_id").agg(F.count_if(F.col("score") > F.col("g")).alias("above"), F.count_if(F.col("score") == F.col("g")).alias("tied"))
-    return stats.paper_mean(b.withColumn("mrr", P.expected_rr(F.col("above"), F.col("tied"))), "mrr", by=("lam",)).select("lam", R6("mrr"))
-
-
-@query("argmax_grid", sql("SELECT arg_max(lam, mrr - lam / 1e9) AS lam FROM (" + " UNION ALL ".join(f"SELECT {x}::DOUBLE AS lam, round(avg(rr), 6) AS mrr FROM (SELECT citing_id, avg(rr) AS rr FROM {rr(f'z + {x}::DOUBLE * mean')} GROUP BY citing_id)" for x in _LAMBDAS) + ")"))
-def argmax_grid(s, d):
-    return sc_sweep(s, d).agg(F.max_by("lam", F.struct("mrr", -F.col("lam"))).alias("lam"))
-
-
-_SIM = "ln(1 + coalesce(p.cited, 0)) * ((s.ctx::INT + g::INT) % 7)"
-
-
 def _swap_scores(c: Corpus):
     """Pairs with four association sums: of each context's anchors with each gold."""
     p = pools.swap_pairs(c.anchored)
@@ -464,7 +413,6 @@ def _swap_scores(c: Corpus):
     return rows.groupBy("citing_id", "ctx_a", "ctx_b").pivot("cell", ["aa", "bb", "ab", "ba"]).agg(F.first(value))
 
 
-_CELL = "round(coalesce((SELECT sum(v) FROM ppmi, anc WHERE anc.context_id = {c} AND ppmi.a = {g} AND list_contains(anc.anchors, ppmi.b)), 0) / greatest((SELECT len(anchors) FROM anc WHERE context_id = {c}), 1), 9)"
 _SWAP4 = """cells AS (
   SELECT citing_id, ctx_a, ctx_b, unnest(['aa', 'bb', 'ab', 'ba']) AS cell, unnest([ctx_a, ctx_b, ctx_a, ctx_b]) AS context_id, unnest([gold_a, gold_b, gold_b, gold_a]) AS candidate FROM swap
 ), valued AS (
@@ -479,18 +427,6 @@ def win_swap_outcome(s, d):
     return _swap_scores(Corpus(s, d)).select("ctx_a", "ctx_b", P.swap_outcome(*map(F.col, ("aa", "bb", "ab", "ba"))).alias("outcome"))
 
 
-_SWAP_ACC = sql("SELECT round(avg(o), 6) AS cocite, 0.5::DOUBLE AS base, count(*) AS papers FROM (SELECT citing_id, avg(CASE WHEN (aa + bb) - (ab + ba) > 0 THEN 1.0 WHEN (aa + bb) - (ab + ba) = 0 THEN 0.5 ELSE 0.0 END::DOUBLE) AS o FROM four GROUP BY citing_id)", _SWAPS, _SWAP4)
-
-
-@query("sc_swap_accuracy", _SWAP_ACC)
-@query("sc_swap_arms", _SWAP_ACC)
-@query("an_swap", _SWAP_ACC)
-def sc_swap_arms(s, d):
-    """Popularity can't tell the two directions apart, so its arm is 0.5 exactly."""
-    o = _swap_scores(Corpus(s, d)).withColumn("cocite", P.swap_outcome(*map(F.col, ("aa", "bb", "ab", "ba")))).withColumn("base", P.swap_outcome(F.lit(1.0), F.lit(2.0), F.lit(2.0), F.lit(1.0)))
-    return stats.paper_mean(o, "cocite", "base").select(R6("cocite"), "base", "papers")
-
-
 @query("agg_global_stats", sql("SELECT round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd FROM valued", _SWAPS, _SWAP4))
 def agg_global_stats(s, d):
     x = _swap_scores(Corpus(s, d)).select(F.explode(F.array("aa", "bb", "ab", "ba")).alias("v"))
@@ -597,12 +533,9 @@ def smp_revelation(s, d):
     return r.groupBy("citing_id", "location").agg(F.min_by("refid", pools.keyed(0, "citing_id", "location", "refid")).alias("seed"))
 
 
-@query("smp_reservoir", sql("SELECT cell, context_id, population FROM (SELECT location % 3 AS cell, context_id, count(*) OVER (PARTITION BY location % 3) AS population, row_number() OVER (PARTITION BY location % 3 ORDER BY md5('0:' || context_id)) AS n FROM anc) WHERE n <= 20"))
+@query("smp_reservoir", sql("SELECT cell, context_id, population FROM (SELECT location % 3 AS cell, context_id, count(*) OVER (PARTITION BY location % 3) AS population, row_number() OVER (PARTITION BY location % 3 ORDER BY md5('0:' || context_id)) AS n FROM anc) WHERE n <= 20000"))
 def smp_reservoir(s, d):
-    a = Corpus(s, d).ctx.select((F.col("location") % 3).cast("long").alias("cell"), "context_id")
-    size = a.groupBy("cell").agg(F.count("*").alias("population"))
-    n = F.row_number().over(W.partitionBy("cell").orderBy(pools.keyed(0, "context_id")))
-    return a.withColumn("n", n).where("n <= 20").join(F.broadcast(size), "cell").select("cell", "context_id", "population")
+    return annotation.reservoir(Corpus(s, d).ctx.select((F.col("location") % 3).cast("long").alias("cell"), "citing_id", "context_id")).select("cell", "context_id", "population")
 
 
 @query("smp_orders", sql("SELECT reader, context_id, row_number() OVER (PARTITION BY reader ORDER BY md5('0:' || reader || ':' || context_id)) AS place FROM anc, (VALUES ('A'), ('B')) v(reader)"))
@@ -618,7 +551,7 @@ def smp_nonzero_check(s, d):
 
 
 _BOOT = f"""per AS (SELECT avg(rr) AS v, row_number() OVER (ORDER BY citing_id) - 1 AS k FROM {rr('base', 'score')} GROUP BY citing_id),
-drawn AS (SELECT d, avg(v) AS mean FROM (SELECT d, i FROM range(50) x(d), range((SELECT count(*) FROM per)) y(i)) JOIN per ON k = {_HASH.format("'0:' || d || ':' || i")} % (SELECT count(*) FROM per) GROUP BY d)"""
+drawn AS (SELECT d, avg(v) AS mean FROM (SELECT d, i FROM range(1000) x(d), range((SELECT count(*) FROM per)) y(i)) JOIN per ON k = {_HASH.format("'0:' || d || ':' || i")} % (SELECT count(*) FROM per) GROUP BY d)"""
 
 
 @query("bs_cluster_ci", sql("SELECT round(quantile_cont(mean, 0.025), 6) AS lo, round(quantile_cont(mean, 0.975), 6) AS hi FROM drawn", _BOOT))
@@ -642,12 +575,13 @@ _INFL = """loo AS (
     count(*) FILTER (s1 > g1) AS a1, count(*) FILTER (s1 = g1) AS t1, count(*) FILTER (s0 > g0) AS a0, count(*) FILTER (s0 = g0) AS t0 FROM (
     SELECT *, max(CASE WHEN is_gold THEN s1 END) OVER w AS g1, max(CASE WHEN is_gold THEN s0 END) OVER w AS g0 FROM (SELECT *, round(z + 3.0::DOUBLE * mean, 9) AS s1, round(z + 3.0::DOUBLE * without, 9) AS s0 FROM loo) WINDOW w AS (PARTITION BY context_id, anchor)) GROUP BY context_id, anchor
 ), infl AS (
-  SELECT context_id, citing_id, gold, anchor, ppmi, d_mean, list_sum(list_transform(range(a1 + 1, a1 + t1 + 1), lambda i: 1.0::DOUBLE / i)) / t1 - list_sum(list_transform(range(a0 + 1, a0 + t0 + 1), lambda i: 1.0::DOUBLE / i)) / t0 AS d_rr FROM banded
+  SELECT context_id, citing_id, gold, anchor, ppmi, d_mean, list_sum(list_transform(range(a1 + 1, a1 + t1 + 1), lambda i: 1.0::DOUBLE / i)) / t1 - list_sum(list_transform(range(a0 + 1, a0 + t0 + 1), lambda i: 1.0::DOUBLE / i)) / t0 AS d_rr,
+    CASE WHEN a1 > 0 THEN 0.0 ELSE 1.0::DOUBLE / t1 END - CASE WHEN a0 > 0 THEN 0.0 ELSE 1.0::DOUBLE / t0 END AS d_hit FROM banded
 )"""
 
 
 def influence(c: Corpus):
-    """context_id, citing_id, gold, anchor, ppmi, d_mean, d_rr: what each anchor's removal takes from the gold.
+    """context_id, citing_id, gold, anchor, ppmi, d_mean, d_rr, d_hit: what each anchor's removal takes from the gold.
 
     The mean without an anchor is (S - v) / (n - 1), so nothing is aggregated again."""
     p = c.scored.select("context_id", "citing_id", "gold", "candidate", "is_gold", "n_anchors", "z", "mean")
@@ -660,32 +594,34 @@ def influence(c: Corpus):
     count = lambda k, op: F.count_if(op(F.col("s" + k), F.col("g" + k)))
     above, tied = (lambda a, b: a > b), (lambda a, b: a == b)
     g = rows.groupBy("context_id", "citing_id", "gold", "anchor").agg(F.max(F.when(F.col("is_gold"), F.col("v"))).alias("ppmi"), F.max(F.when(F.col("is_gold"), F.col("mean") - F.col("without"))).alias("d_mean"), count("1", above).alias("a1"), count("1", tied).alias("t1"), count("0", above).alias("a0"), count("0", tied).alias("t0"))
-    return g.select("context_id", "citing_id", "gold", "anchor", "ppmi", "d_mean", (P.expected_rr(F.col("a1"), F.col("t1")) - P.expected_rr(F.col("a0"), F.col("t0"))).alias("d_rr"))
+    return g.select("context_id", "citing_id", "gold", "anchor", "ppmi", "d_mean", (P.expected_rr(F.col("a1"), F.col("t1")) - P.expected_rr(F.col("a0"), F.col("t0"))).alias("d_rr"), (P.expected_hit1(F.col("a1"), F.col("t1")) - P.expected_hit1(F.col("a0"), F.col("t0"))).alias("d_hit"))
 
 
-_LOO = sql("SELECT context_id, anchor, round(ppmi, 6) AS ppmi, round(d_mean, 6) AS d_mean, round(d_rr, 6) AS d_rr FROM infl", _INFL)
+_LOO = sql("SELECT context_id, anchor, round(ppmi, 6) AS ppmi, round(d_mean, 6) AS d_mean, round(d_rr, 6) AS d_rr, round(d_hit, 6) AS d_hit FROM infl", _INFL)
 
 
 @query("win_leave_one_out", _LOO)
-@query("an_influence", _LOO)
 def win_leave_one_out(s, d):
-    return influence(Corpus(s, d)).select("context_id", "anchor", R6("ppmi"), R6("d_mean"), R6("d_rr"))
+    return influence(Corpus(s, d)).select("context_id", "anchor", R6("ppmi"), R6("d_mean"), R6("d_rr"), R6("d_hit"))
 
 
 _CAT = sql("SELECT CASE WHEN ppmi <= 0 THEN 'non_cocited' WHEN d_rr > 0 THEN 'informative' ELSE 'redundant' END AS category, count(*) AS n, round(avg(d_rr), 6) AS mean_d_rr FROM (SELECT * REPLACE (round(d_rr, 9) AS d_rr) FROM infl) GROUP BY 1", _INFL)
 
 
 @query("agg_categorise", _CAT)
-@query("an_anchor_analysis", _CAT)
 def agg_categorise(s, d):
     r = influence(Corpus(s, d)).withColumn("d_rr", F.round("d_rr", 9))
     name = F.when(F.col("ppmi") <= 0, "non_cocited").when(F.col("d_rr") > 0, "informative").otherwise("redundant")
     return r.groupBy(name.alias("category")).agg(F.count("*").alias("n"), R6(F.avg("d_rr"), "mean_d_rr"))
 
 
-@query("agg_quantile_summary", sql("SELECT count(*) AS n, round(avg(d_rr), 6) AS mean, round(list_sort(list(d_rr))[least(count(*) - 1, floor(0.5::DOUBLE * count(*))::BIGINT) + 1], 6) AS median, round(list_sort(list(d_rr))[least(count(*) - 1, floor(0.9::DOUBLE * count(*))::BIGINT) + 1], 6) AS p90, round(avg((d_rr = 0)::INT), 6) AS frac_zero FROM (SELECT round(d_rr, 9) AS d_rr FROM infl)", _INFL))
+_QUANTILE = ", ".join(f"round(xs[least(n - 1, floor({q}::DOUBLE * n)::BIGINT) + 1], 6) AS {name}" for name, q in stats.QUANTILES)
+
+
+@query("agg_quantile_summary", sql(f"SELECT n, mean, frac_positive, frac_zero, frac_negative, {_QUANTILE} FROM (SELECT count(*) AS n, round(avg(d_rr), 6) AS mean, list_sort(list(d_rr)) AS xs, round(avg((d_rr > 0)::INT), 6) AS frac_positive, round(avg((d_rr = 0)::INT), 6) AS frac_zero, round(avg((d_rr < 0)::INT), 6) AS frac_negative FROM (SELECT round(d_rr, 9) AS d_rr FROM infl))", _INFL))
 def agg_quantile_summary(s, d):
-    return stats.quantiles(influence(Corpus(s, d)).withColumn("d_rr", F.round("d_rr", 9)), "d_rr").select("n", R6("mean"), R6("median"), R6("p90"), R6("frac_zero"))
+    q = stats.quantiles(influence(Corpus(s, d)).withColumn("d_rr", F.round("d_rr", 9)), "d_rr")
+    return q.select("n", *(R6(c) for c in ("mean", "frac_positive", "frac_zero", "frac_negative", *(name for name, _ in stats.QUANTILES))))
 
 
 @query("win_sibling_cover", sql("SELECT context_id, anchor, coalesce((SELECT max(y.ppmi) FROM (SELECT round(ppmi, 9) AS ppmi, context_id, anchor FROM infl) y WHERE y.context_id = x.context_id AND y.anchor <> x.anchor) >= x.ppmi, false) AS covered FROM (SELECT context_id, anchor, round(ppmi, 9) AS ppmi FROM infl) x", _INFL))
@@ -715,9 +651,9 @@ def jn_reciprocal(s, d):
     return g.where("fwd IS NOT NULL AND rev IS NOT NULL").select("citing_id", "lo", "hi", R6("fwd"), R6("rev"))
 
 
-@query("agg_asymmetry", sql("SELECT count(*) AS pairs, round(avg(abs(fwd - rev)), 6) AS mean_abs_difference, round(avg(((fwd > 0) = (rev > 0))::INT), 6) AS frac_same_sign, round(corr(fwd, rev), 6) AS correlation FROM (SELECT round(fwd, 6) AS fwd, round(rev, 6) AS rev FROM both_ways WHERE fwd IS NOT NULL AND rev IS NOT NULL)", _INFL, _ASYM))
+@query("agg_asymmetry", sql("SELECT count(*) AS pairs, round(avg(abs(fwd - rev)), 6) AS mean_abs_difference, round(avg(((fwd > 0) = (rev > 0))::INT), 6) AS frac_same_sign, round(corr(fwd, rev), 6) AS correlation, round(quantile_cont(abs(fwd - rev), 0.5), 6) AS median_abs_difference FROM (SELECT round(fwd, 6) AS fwd, round(rev, 6) AS rev FROM both_ways WHERE fwd IS NOT NULL AND rev IS NOT NULL)", _INFL, _ASYM))
 def agg_asymmetry(s, d):
-    return jn_reciprocal(s, d).agg(F.count("*").alias("pairs"), R6(F.avg(F.abs(F.col("fwd") - F.col("rev"))), "mean_abs_difference"), R6(F.avg(((F.col("fwd") > 0) == (F.col("rev") > 0)).cast("double")), "frac_same_sign"), R6(F.corr("fwd", "rev"), "correlation"))
+    return jn_reciprocal(s, d).agg(F.count("*").alias("pairs"), R6(F.avg(F.abs(F.col("fwd") - F.col("rev"))), "mean_abs_difference"), R6(F.avg(((F.col("fwd") > 0) == (F.col("rev") > 0)).cast("double")), "frac_same_sign"), R6(F.corr("fwd", "rev"), "correlation"), R6(F.expr("percentile(abs(fwd - rev), 0.5D)"), "median_abs_difference"))
 
 
 @query("jn_enrich_influence", sql("SELECT context_id, anchor, len(clustering)::BIGINT AS n_clustered, m::BIGINT AS degree FROM anc, (SELECT context_id AS c, unnest(anchors) AS anchor FROM anc) x LEFT JOIN marg ON id = anchor WHERE c = context_id"))
@@ -728,11 +664,14 @@ def jn_enrich_influence(s, d):
 
 @query("win_decile_bins", sql("SELECT bin, count(*) AS n, round(avg(d_rr), 6) AS mean_d_rr FROM (SELECT floor((row_number() OVER (ORDER BY round(ppmi, 9), context_id, anchor) - 1) / greatest(1, (SELECT count(*) // 10 FROM infl)))::BIGINT AS bin, d_rr FROM infl) GROUP BY bin HAVING count(*) >= 100", _INFL))
 def win_decile_bins(s, d):
-    r = influence(Corpus(s, d)).withColumn("ppmi", F.round("ppmi", 9))
+    return deciles(influence(Corpus(s, d))).groupBy("bin").agg(F.count("*").alias("n"), R6(F.avg("d_rr"), "mean_d_rr")).where("n >= 100")
+
+
+def deciles(rows):
+    """rows of influence with bin: their place in order of ppmi, context and anchor by tenths of the rows; a last bin has what is left over."""
+    r = stats.numbered(rows.withColumn("ppmi", F.round("ppmi", 9)), "ppmi", "context_id", "anchor")
     n = r.agg(F.count("*").alias("all"))
-    k = F.row_number().over(W.orderBy("ppmi", "context_id", "anchor")) - 1
-    r = r.crossJoin(F.broadcast(n)).withColumn("bin", F.floor(k / F.greatest(F.lit(1), F.floor(F.col("all") / 10))))
-    return r.groupBy("bin").agg(F.count("*").alias("n"), R6(F.avg("d_rr"), "mean_d_rr")).where("n >= 100")
+    return r.crossJoin(F.broadcast(n)).withColumn("bin", F.floor(F.col("number") / F.greatest(F.lit(1), F.floor(F.col("all") / 10)))).drop("number", "all")
 
 
 @query("agg_grouped_min", sql("SELECT n_anchors::BIGINT AS n_anchors, count(*) AS n, round(avg(rr), 6) AS mean_rr FROM " + rr("z") + " JOIN (SELECT context_id, len(anchors) AS n_anchors FROM anc) USING (context_id) GROUP BY 1 HAVING count(*) >= 100"))
@@ -749,20 +688,6 @@ def agg_set_size(s, d):
     return stats.paper_mean(r, "rr", by=("size",)).select("size", R6("rr", "mrr"))
 
 
-@query("an_controls", sql("SELECT arm, round(avg(rr), 6) AS mrr FROM (SELECT 'base' AS arm, citing_id, avg(rr) AS rr FROM " + rr("z") + " GROUP BY ALL UNION ALL SELECT 'true', citing_id, avg(rr) FROM " + rr("z + 3.0::DOUBLE * mean") + " GROUP BY ALL UNION ALL SELECT 'other', citing_id, avg(rr) FROM " + rr("z + 3.0::DOUBLE * om", "oz") + " GROUP BY ALL) GROUP BY arm",
-  "picked AS (SELECT context_id, arg_min(g.gold, md5('0:' || context_id || ':' || g.location)) AS og FROM anc a JOIN gold g ON a.citing_id = g.citing_id AND a.location <> g.location GROUP BY context_id)",
-  "oz AS (SELECT z.context_id, z.citing_id, z.is_gold, z.z, coalesce((SELECT sum(v) FROM ppmi WHERE ppmi.a = z.candidate AND list_contains(og, ppmi.b)), 0) / len(og) AS om FROM z JOIN picked USING (context_id))"))
-def an_controls(s, d):
-    """Base, own anchors, and those of another site of the paper."""
-    c = Corpus(s, d)
-    other = smp_other_location(s, d).join(c.ctx.select("context_id", "citing_id"), "context_id").join(sites.gold_sets(c.ctx).withColumnRenamed("location", "other"), ["citing_id", "other"]).select("context_id", F.col("gold").alias("used"))
-    own = c.scored.select("context_id", "citing_id", "candidate", "is_gold", "z", F.col("mean").alias("own"))
-    p = graph.anchor_scores(own, other, c.ppmi)
-    r = ranked_by(p, base=F.col("z"), true=F.col("z") + 3.0 * F.col("own"), other=F.col("z") + 3.0 * F.col("mean"))
-    m = stats.paper_mean(r, "base_rr", "true_rr", "other_rr")
-    return m.select(F.explode(F.array(*(F.struct(F.lit(n).alias("arm"), R6(f"{n}_rr", "mrr")) for n in ("base", "true", "other")))).alias("x")).select("x.arm", "x.mrr")
-
-
 # --- completion, first stage, reports
 
 
@@ -800,15 +725,9 @@ def an_embed_inputs(s, d):
     return prj_embed_keys(s, d).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("agg_graph_digest", sql("SELECT sha256(string_agg(a || ':' || b || ':' || n, ',' ORDER BY a, b)) AS digest FROM edge WHERE a < '2'"))
-def agg_graph_digest(s, d):
-    e = Corpus(s, d).edges.where("a < '2'")
-    return e.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a", "b", "n"))), lambda x: F.concat_ws(":", x["a"], x["b"], x["n"])), ",").cast("binary"), 256).alias("digest"))
-
-
-@query("agg_graph_digest_all", sql("""SELECT sha256(string_agg(digest, ',' ORDER BY block)) AS digest FROM (SELECT block, sha256(string_agg(digest, ',' ORDER BY a)) AS digest
+@query("agg_graph_digest", sql("""SELECT sha256(string_agg(digest, ',' ORDER BY block)) AS digest FROM (SELECT block, sha256(string_agg(digest, ',' ORDER BY a)) AS digest
   FROM (SELECT substr(sha256(a), 1, 3) AS block, a, sha256(a || '=' || string_agg(b || ':' || n, ',' ORDER BY b)) AS digest FROM edge GROUP BY a) GROUP BY block)"""))
-def agg_graph_digest_all(s, d):
+def agg_graph_digest(s, d):
     """Of all edges: digests of nodes, of at most 4,096 blocks of nodes and of the blocks, so the last list is bounded."""
     sha = lambda c: F.sha2(c.cast("binary"), 256)
     line = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value]), ",")

@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    for name in ("citation", "texts"):
+    for name in ("citation", "texts", "analyses"):
         import_module(f"{__package__}.{name}")
 
 

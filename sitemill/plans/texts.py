@@ -288,20 +288,6 @@ for _name in ("top_k_vectors", "top_k_merge", "jn_knn_cross"):
         return scorers.top_k(u.where(F.col("vec_id") % 20 == 0).toDF("query", "x"), u.toDF("id", "y"), 10).select("query", "id", R6("sim"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("agg_recall_cutoffs", f"WITH {_VEC}, r AS (SELECT a.vec_id AS query, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM v a, v b WHERE a.vec_id % 20 = 0) SELECT k, round(avg((rank <= k)::INT), 6) AS recall FROM (SELECT r.* FROM r JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = id WHERE a.label = b.label), (VALUES (1), (10), (100)) c(k) GROUP BY k")
-def agg_recall_cutoffs(s, d):
-    u = _unit(s, d)
-    lab = _t(s, d, "embeddings").select("vec_id", "label")
-    top = scorers.top_k(u.where("vec_id % 20 = 0").toDF("query", "x"), u.toDF("id", "y"), 100).select("query", "id", "rank")
-    gold = lab.where("vec_id % 20 = 0").toDF("query", "label").join(lab.toDF("id", "label"), "label").join(top, ["query", "id"], "left")
-    return gold.withColumn("k", F.explode(F.array(*map(F.lit, (1, 10, 100))))).groupBy("k").agg(R6(F.avg(F.coalesce((F.col("rank") <= F.col("k")).cast("double"), F.lit(0.0))), "recall"))
-
-
-@query("an_retrieve", "SELECT count(*) FILTER (vec_id % 20 = 0) AS queries, count(*) AS corpus FROM embeddings")
-def an_retrieve(s, d):
-    return _t(s, d, "embeddings").agg(F.count_if(F.col("vec_id") % 20 == 0).alias("queries"), F.count("*").alias("corpus"))
-
-
 @query("sc_dense", f"WITH {_VEC} SELECT a.vec_id AS context, b.vec_id AS candidate, round({_COS}, 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
 @query("sc_mmap_dense", f"WITH {_VEC} SELECT a.vec_id AS context, b.vec_id AS candidate, round({_COS}, 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
 def sc_dense(s, d):
@@ -525,50 +511,12 @@ def math_bands(s, d):
     return v.crossJoin(F.broadcast(_terciles(v.select("v")))).select("event_id", F.when(F.col("v") < F.col("lo"), "low").when(F.col("v") >= F.col("hi"), "high").otherwise("mid").alias("band"))
 
 
-@query("agg_grid", f"SELECT p AS ppmi, c AS cosine, count(event_id) AS n FROM (VALUES ('zero'), ('low'), ('high')) x(p), (VALUES ('low'), ('mid'), ('high')) y(c) LEFT JOIN (SELECT event_id, band, CASE event_id % 4 WHEN 0 THEN 'zero' WHEN 1 THEN 'low' ELSE 'high' END AS pb FROM ({_BAND})) ON band = c AND pb = p GROUP BY ALL")
-def agg_grid(s, d):
-    """All nine cells, those without rows too."""
-    k = F.col("event_id") % 4
-    rows = math_bands(s, d).select(F.when(k == 0, "zero").when(k == 1, "low").otherwise("high").alias("ppmi"), F.col("band").alias("cosine")).groupBy("ppmi", "cosine").agg(F.count("*").alias("n"))
-    cells = s.createDataFrame([(p, c) for p in ("zero", "low", "high") for c in ("low", "mid", "high")], "ppmi string, cosine string")
-    return cells.join(rows, ["ppmi", "cosine"], "left").select("ppmi", "cosine", F.coalesce("n", F.lit(0)).alias("n"))
-
-
 @query("agg_topical_split", f"WITH {_VAL}, {_EDGES} SELECT v >= hi AS topical, count(*) AS n, round(avg(v), 6) AS mean FROM val, edges GROUP BY 1")
 def agg_topical_split(s, d):
     v = _t(s, d, "events").where("value IS NOT NULL").select(F.col("value").alias("v"))
     return v.crossJoin(F.broadcast(_terciles(v))).groupBy((F.col("v") >= F.col("hi")).alias("topical")).agg(F.count("*").alias("n"), R6(F.avg("v"), "mean"))
 
 
-@query("agg_anchor_map", f"WITH {_VAL}, o AS (SELECT quantile_cont(v, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]) AS e FROM val) SELECT event_id % 8 AS row, len(list_filter(e, lambda x: v >= x))::BIGINT AS octile, count(*) AS n FROM val, o GROUP BY ALL")
-def agg_anchor_map(s, d):
-    v = _t(s, d, "events").where("value IS NOT NULL").select("event_id", F.col("value").alias("v"))
-    e = v.agg(F.expr("percentile(v, array(0.125D, 0.25D, 0.375D, 0.5D, 0.625D, 0.75D, 0.875D))").alias("e"))
-    return v.crossJoin(F.broadcast(e)).groupBy((F.col("event_id") % 8).alias("row"), F.size(F.filter("e", lambda x: F.col("v") >= x)).cast("long").alias("octile")).agg(F.count("*").alias("n"))
-
-
-@query("agg_headroom", "SELECT round(avg(h), 6) AS hard, round(avg(e), 6) AS easy, round(avg(h) - avg(e), 6) AS difference, count(*) AS papers FROM (SELECT user_id, avg(value) FILTER (event_id % 3 > 0) AS h, avg(value) FILTER (event_id % 3 = 0) AS e FROM events GROUP BY user_id)")
-@query("an_hard_easy", "SELECT round(avg(h), 6) AS hard, round(avg(e), 6) AS easy, round(avg(h) - avg(e), 6) AS difference, count(*) AS papers FROM (SELECT user_id, avg(value) FILTER (event_id % 3 > 0) AS h, avg(value) FILTER (event_id % 3 = 0) AS e FROM events GROUP BY user_id)")
-def agg_headroom(s, d):
-    hard = F.col("event_id") % 3 > 0
-    p = _t(s, d, "events").groupBy("user_id").agg(F.avg(F.when(hard, F.col("value"))).alias("h"), F.avg(F.when(~hard, F.col("value"))).alias("e"))
-    return p.agg(R6(F.avg("h"), "hard"), R6(F.avg("e"), "easy"), R6(F.avg("h") - F.avg("e"), "difference"), F.count("*").alias("papers"))
-
-
-@query("bs_joint")
-def bs_joint(s, d):
-    """lo, hi of the difference between two slices over one resample of papers."""
-    import numpy as np
-
-    hard = F.col("event_id") % 3 > 0
-    rows = _t(s, d, "events").groupBy("user_id").agg(F.avg(F.when(hard, F.col("value"))).alias("h"), F.avg(F.when(~hard, F.col("value"))).alias("e")).orderBy("user_id").collect()
-    x = np.array([[r["h"] if r["h"] is not None else np.nan, r["e"] if r["e"] is not None else np.nan] for r in rows])
-    at = np.random.default_rng(0).integers(0, len(x), (1000, len(x)))
-    m = np.nanmean(x[at], axis=1)
-    lo, hi = np.quantile(m[:, 0] - m[:, 1], [0.025, 0.975])
-    return s.createDataFrame([(float(lo), float(hi))], "lo double, hi double")
-
-
 @query("bs_pool_cluster_ci")
 def bs_pool_cluster_ci(s, d):
     """lo, hi of sum / count over resampled papers."""
@@ -583,24 +531,6 @@ def bs_pool_cluster_ci(s, d):
 
 # --- cohorts over thresholds
 
-_THETAS = (0.003, 0.005, 0.01)
-_COHORT = f"WITH {_TURNS}, m AS (SELECT t, grp, count(*) AS n FROM link, (VALUES (0.003), (0.005), (0.01)) v(t) WHERE jaccard >= t GROUP BY ALL)"
-
-
-@query("jn_cohort", f"{_COHORT} SELECT grp FROM m GROUP BY grp HAVING count(*) = 3")
-@query("jn_swap_cohort", f"{_COHORT} SELECT grp FROM m GROUP BY grp HAVING count(*) = 3")
-def jn_cohort(s, d):
-    """Groups with a link at every threshold, from one join at the lowest."""
-    p = sites.window_pairs(_lines(s, d), 2, min(_THETAS)).withColumn("t", F.explode(F.array(*map(F.lit, _THETAS)))).where(F.col("jaccard") >= F.col("t"))
-    return p.groupBy("grp").agg(F.count_distinct("t").alias("n")).where(F.col("n") == len(_THETAS)).select("grp")
-
-
-@query("agg_theta_composition", f"{_COHORT} SELECT t::DOUBLE AS theta, sum(n)::BIGINT AS links, count(*) AS papers FROM m GROUP BY t")
-@query("an_theta", f"{_COHORT} SELECT t::DOUBLE AS theta, sum(n)::BIGINT AS links, count(*) AS papers FROM m GROUP BY t")
-def agg_theta_composition(s, d):
-    p = sites.window_pairs(_lines(s, d), 2, min(_THETAS)).withColumn("theta", F.explode(F.array(*map(F.lit, _THETAS)))).where(F.col("jaccard") >= F.col("theta"))
-    return p.groupBy("theta").agg(F.count("*").alias("links"), F.count_distinct("grp").alias("papers"))
-
 
 # --- sources and sinks; files go to a folder of the driver's that ends with it
 
@@ -817,17 +747,6 @@ def smp_substitute(s, d):
     return c.used.select("context_id", F.explode("used").alias("anchor")).crossJoin(F.broadcast(size)).withColumn("k", k).join(members, "k").select("context_id", "anchor", F.col("id").alias("stand_in"))
 
 
-@query("an_proximity", sql("SELECT tier, count(*) AS n, round(avg(a.rr), 6) AS base FROM (SELECT context_id, CASE WHEN location % 3 = 0 THEN 'group' WHEN location % 3 = 1 THEN 'sentence' ELSE 'beyond' END AS tier FROM anc) JOIN (SELECT context_id, list_sum(list_transform(range(above + 1, above + tied + 1), lambda i: 1.0::DOUBLE / i)) / tied AS rr FROM (SELECT context_id, count(*) FILTER (s > g) AS above, count(*) FILTER (s = g) AS tied FROM (SELECT context_id, round(base, 9) AS s, max(CASE WHEN is_gold THEN round(base, 9) END) OVER (PARTITION BY context_id) AS g FROM score) GROUP BY context_id)) a USING (context_id) GROUP BY tier"))
-def an_proximity(s, d):
-    """Mean reciprocal rank by the tier of a context's nearest anchor (here by its site's number)."""
-    from .base import ranked
-
-    c = Corpus(s, d)
-    k = F.col("location") % 3
-    tier = c.ctx.select("context_id", F.when(k == 0, "group").when(k == 1, "sentence").otherwise("beyond").alias("tier"))
-    return ranked(c.scored, "base").join(tier, "context_id").groupBy("tier").agg(F.count("*").alias("n"), R6(F.avg("rr"), "base"))
-
-
 @query("an_provenance")
 def an_provenance(s, d):
     """Printed numbers against the report's, at the decimals printed."""
