@@ -29,15 +29,33 @@ def reservoir(rows: DataFrame, size: int = RESERVOIR, seed: int = 0) -> DataFram
     return best.join(F.broadcast(rows.groupBy("cell").agg(F.count("*").alias("population"))), "cell")
 
 
-def draw(rows: DataFrame, want: dict[int, int], per_paper: int = 2, seed: int = 0) -> DataFrame:
-    """cell, citing_id, context_id, population: items in hash order, at most per_paper of a paper over all cells, cells in order.
-
-    The choice depends on all before it, so it is made on the driver, over reservoirs of bounded size."""
+def draw(rows: DataFrame, want: dict[int, int], per_paper: int = 2, seed: int = 0, shares: dict[str, float] | None = None, exclude: DataFrame | None = None) -> DataFrame:
+    """cell, tier, citing_id, context_id, population: items in hash order, at most per_paper of a paper over all cells, cells in order.
+
+    shares split a cell's quota by the rows' tier; exclude (context_id) names items that are taken elsewhere. A cell
+    that has too few items stays short. The choice depends on all before it, so it is made on the driver, over
+    reservoirs of bounded size."""
+    if "tier" not in rows.columns:
+        rows = rows.withColumn("tier", F.lit("all"))
+    if exclude is not None:
+        rows = rows.join(exclude.select("context_id"), "context_id", "left_anti")
+    names = list(shares or {"all": 1.0})
+    left = {(c, t): q for c, n in want.items() for t, q in zip(names, quotas(n, list((shares or {"all": 1.0}).values())))}
     seen: Counter = Counter()
-    left, out = dict(want), []
+    out = []
     for r in reservoir(rows, seed=seed).orderBy("cell", "h").toLocalIterator():
-        if left.get(r["cell"], 0) > 0 and seen[r["citing_id"]] < per_paper:
+        key = r["cell"], r["tier"] if shares else "all"
+        if left.get(key, 0) > 0 and seen[r["citing_id"]] < per_paper:
             seen[r["citing_id"]] += 1
-            left[r["cell"]] -= 1
-            out.append((r["cell"], r["citing_id"], r["context_id"], r["population"]))
-    return rows.sparkSession.createDataFrame(out, "cell long, citing_id string, context_id string, population long")
+            left[key] -= 1
+            out.append((r["cell"], r["tier"], r["citing_id"], r["context_id"], r["population"]))
+    return rows.sparkSession.createDataFrame(out, "cell long, tier string, citing_id string, context_id string, population long")
+
+
+def sheets(drawn: DataFrame, readers: tuple[str, ...], seed: int = 0) -> DataFrame:
+    """reader, place, item_id, context_id, cell, tier, cell_population, cell_drawn: every reader has every item, under a label that tells nothing, in an order of their own."""
+    label = F.row_number().over(W.orderBy(keyed(seed, F.lit("item"), "context_id")))  # as many rows as are drawn
+    key = drawn.withColumn("item_id", F.format_string("item-%04d", label)).withColumn("cell_drawn", F.count("*").over(W.partitionBy("cell")))
+    key = key.withColumn("reader", F.explode(F.array(*map(F.lit, readers))))
+    place = F.row_number().over(W.partitionBy("reader").orderBy(keyed(seed, "reader", "context_id")))
+    return key.select("reader", place.cast("long").alias("place"), "item_id", "context_id", "cell", "tier", F.col("population").alias("cell_population"), "cell_drawn")

@@ -37,6 +37,10 @@ def association(edges: DataFrame, name: str = "ppmi", alpha: float = 1.0, min_co
         return ppmi(edges, alpha, min_count)
     if name == "count":
         return edges.where(F.col("n") >= min_count).select("a", "b", F.col("n").cast("double").alias("v"))
+    if name == "node2vec":
+        # among linked nodes; node_values gives it for any pairs
+        v = node2vec(edges).toDF("id", "x")
+        return node_values(edges.select(F.col("a").alias("candidate"), F.col("b").alias("anchor")), v).where("v > 0").select(F.col("candidate").alias("a"), F.col("anchor").alias("b"), "v")
     raise ValueError(f"unknown association {name!r}")
 
 
@@ -92,17 +96,43 @@ def degree_bins(vocab: DataFrame, marg: DataFrame) -> DataFrame:
     return d.select("id", (F.length(F.bin(F.greatest(F.coalesce("m", F.lit(0)), F.lit(1)))) - 1).cast("long").alias("bin"))
 
 
-def walks(edges: DataFrame, length: int = 5, per_node: int = 2, seed: int = 0) -> DataFrame:
-    """start, walk_no, step, node: walks from every node, each step drawn in proportion to the counts by a hash of (seed, walk, step).
+def walks(edges: DataFrame, length: int = 5, per_node: int = 2, seed: int = 0, p: float = 1.0, q: float = 1.0) -> DataFrame:
+    """start, walk_no, step, node: second-order walks from every node.
 
-    A step is a join with cumulative counts, so no task holds the graph. The second-order bias is left out
-    (return and in-out parameters of 1)."""
-    w = W.partitionBy("a").orderBy("b")
-    step = edges.select("a", "b", F.sum("n").over(w).alias("hi"), F.sum("n").over(W.partitionBy("a")).alias("all")).join(edges, ["a", "b"]).select("a", "b", (F.col("hi") - F.col("n")).alias("lo"), "hi", "all")
-    now = edges.select(F.col("a").alias("start")).distinct().crossJoin(edges.sparkSession.range(per_node).select(F.col("id").alias("walk_no"))).withColumn("node", F.col("start"))
+    An edge weighs its count, divided by p where it leads back, and by q where it leads to a node that isn't linked
+    to the one before. Of a node's edges the one with the smallest -ln(u) / weight is taken, u a hash of (seed, step,
+    start, walk, end): that draws in proportion to the weights in one pass, without rejecting any. A step is a join
+    with the edges, so no task holds the graph."""
+    now = edges.select(F.col("a").alias("start")).distinct().crossJoin(edges.sparkSession.range(per_node).select(F.col("id").alias("walk_no"))).withColumn("node", F.col("start")).withColumn("prev", F.lit(None).cast("string"))
     out = now.withColumn("step", F.lit(0))
+    linked = edges.select(F.col("a").alias("prev"), "b", F.lit(True).alias("linked"))
     for k in range(1, length):
-        place = F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "start", "walk_no"), F.col("all"))
-        now = now.join(step, now["node"] == step["a"]).where((place >= F.col("lo")) & (place < F.col("hi"))).select("start", "walk_no", F.col("b").alias("node"))
+        ways = now.join(edges, now["node"] == edges["a"]).select("start", "walk_no", "prev", F.col("node").alias("at"), "b", "n")
+        weight = F.col("n").cast("double")
+        if k > 1 and (p != 1.0 or q != 1.0):
+            ways = ways.join(linked, ["prev", "b"], "left")
+            weight = weight * F.when(F.col("b") == F.col("prev"), 1 / p).when(F.col("linked"), 1.0).otherwise(1 / q)
+        u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), "start", "walk_no", "b").cast("binary")), 1, 8), 16, 10).cast("double") + 1) / float(1 << 32)
+        now = ways.groupBy("start", "walk_no").agg(F.min_by(F.struct("b", "at"), F.struct(-F.ln(u) / weight, "b")).alias("x")).select("start", "walk_no", F.col("x.b").alias("node"), F.col("x.at").alias("prev"))
         out = out.unionByName(now.withColumn("step", F.lit(k)))
     return out.select("start", "walk_no", "step", "node")
+
+
+def node2vec(edges: DataFrame, size: int = 8, length: int = 5, per_node: int = 1, seed: int = 0, p: float = 1.0, q: float = 0.5, partitions: int = 8) -> DataFrame:
+    """word, vector: vectors of length one of the nodes, by skip-gram over walks."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    from .scorers import normalised
+
+    w = walks(edges, length, per_node, seed, p, q).groupBy("start", "walk_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda x: x["node"]).alias("walk"))
+    model = Word2Vec(vectorSize=size, minCount=0, maxIter=1, seed=seed, inputCol="walk", outputCol="v", numPartitions=partitions).fit(w)
+    return model.getVectors().select("word", normalised(vector_to_array("vector")).alias("vector"))
+
+
+def node_values(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pairs (candidate, anchor, ...) with v: the cosine of their nodes (id, x, of length one), 0 where negative or where either is unknown."""
+    from .scorers import dot
+
+    d = pairs.join(nodes.toDF("candidate", "_x"), "candidate", "left").join(nodes.toDF("anchor", "_y"), "anchor", "left")
+    return d.withColumn("v", F.coalesce(F.greatest(F.round(dot(F.col("_x"), F.col("_y")), 9), F.lit(0.0)), F.lit(0.0))).drop("_x", "_y")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import text as T
@@ -19,6 +21,73 @@ def popularity(pools: DataFrame, counts: DataFrame) -> DataFrame:
     return pools.join(counts, "candidate", "left").withColumn("base", F.log1p(F.coalesce("cited", F.lit(0)))).drop("cited")
 
 
+class HashingEncoder:
+    """An encoder for tests: words hashed into so many dimensions, of length one."""
+
+    def __init__(self, size: int = 16):
+        self.size = size
+
+    def __call__(self, texts: list[str]):
+        import numpy as np
+
+        out = np.zeros((len(texts), self.size))
+        for k, t in enumerate(texts):
+            ids = [crc32(w.encode("utf-8", "surrogatepass")) % self.size for w in t.lower().split()]
+            out[k] = np.bincount(np.array(ids, np.int64), minlength=self.size)
+        return out / np.maximum(1e-12, np.linalg.norm(out, axis=1, keepdims=True))
+
+
+def embed(texts: DataFrame, encoder, batch: int = 32) -> DataFrame:
+    """key, embedding of texts (key, text) by an encoder of a list of texts.
+
+    Texts of an Arrow batch go to the encoder longest first, so that those of a batch are of like length, and come
+    back in their own order. A vector that holds what isn't a number is an error; a null text counts as empty."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            t = pdf["text"].fillna("").tolist()
+            order = sorted(range(len(t)), key=lambda k: -len(t[k]))
+            out: list = [None] * len(t)
+            for lo in range(0, len(order), batch):
+                own = order[lo : lo + batch]
+                for k, v in zip(own, np.asarray(encoder([t[k] for k in own]), np.float64)):
+                    if not np.isfinite(v).all():
+                        raise ValueError(f"the vector of {pdf['key'].iloc[k]!r} isn't finite")
+                    out[k] = v.tolist()
+            yield pd.DataFrame({"key": pdf["key"], "embedding": out})
+
+    return texts.select("key", "text").mapInPandas(run, "key string, embedding array<double>")
+
+
+def base_factory(embeddings: DataFrame | None = None, texts: DataFrame | None = None):
+    """A scorer of pools (context_id, candidate) from exactly one of embeddings (key, x), cosines, or texts (key, text), BM25 of the pool's pairs."""
+    if (embeddings is None) == (texts is None):
+        raise ValueError("exactly one of embeddings and texts")
+    return (lambda pools: dense(pools, embeddings)) if embeddings is not None else (lambda pools: bm25_pairs(pools, texts))
+
+
+def dense(pools: DataFrame, vectors: DataFrame) -> DataFrame:
+    """pools with base, the cosine of the context's and the candidate's vector; a missing one is an error."""
+    v = vectors.select("key", normalised(F.col("x")).alias("x"))
+    d = pools.join(v.toDF("context_id", "_x"), "context_id", "left").join(v.toDF("candidate", "_y"), "candidate", "left")
+    there = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    return d.withColumn("base", F.when(there, dot(F.col("_x"), F.col("_y"))).otherwise(F.raise_error(F.lit("a vector is missing")).cast("double"))).drop("_x", "_y")
+
+
+def bm25_pairs(pools: DataFrame, texts: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """pools with base, BM25 of the context's text for the candidate's, 0 where they share nothing.
+
+    Statistics are of the candidates' texts. Only tokens of a pool's own pairs meet, not all texts with a token."""
+    papers = texts.join(pools.select(F.col("candidate").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("id"), "text")
+    tf, idf = bm25_stats(papers)
+    q = texts.join(pools.select(F.col("context_id").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("context_id"), F.explode(T.tokens_alnum(F.col("text"))).alias("token")).groupBy("context_id", "token").agg(F.count("*").alias("times"))
+    part = F.col("times") * F.col("idf") * F.col("f") * (k1 + 1) / (F.col("f") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
+    found = pools.select("context_id", "candidate").join(tf.withColumnRenamed("id", "candidate"), "candidate").join(q, ["context_id", "token"]).join(idf, "token").groupBy("context_id", "candidate").agg(F.sum(part).alias("base"))
+    return pools.join(found, ["context_id", "candidate"], "left").withColumn("base", F.coalesce("base", F.lit(0.0)))
+
+
 def bm25_stats(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, token, f, len) of texts (id, text), and (token, idf, avgdl)."""
     tok = docs.select("id", T.tokens_alnum(F.col("text")).alias("w"))

@@ -59,6 +59,36 @@ def paired(rows: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
     return all_.join(ci, "name").select("name", "n", "papers", "a", "b", "delta", six(F.col("lo"), "lo"), six(F.col("hi"), "hi"), ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("excludes_zero"), "pool_a", "pool_b", "pool_delta")
 
 
+def poststratified(rows: DataFrame, draws: int = 1000, seed: int = 0) -> dict[str, tuple[float, float, float]]:
+    """value, lo, hi of precision, recall and f1 of rows (paper, cell, pop, clustering, good), cells weighing as their population.
+
+    Papers are resampled; a cell that a resample leaves empty has the shares of all rows. Only counts by paper and
+    cell, a row for each, come to the driver; all draws are one array product."""
+    kinds = {"tp": F.col("clustering") & F.col("good"), "fp": F.col("clustering") & ~F.col("good"), "fn": ~F.col("clustering") & F.col("good")}
+    got = rows.groupBy("paper", "cell").agg(F.max("pop").alias("pop"), F.count("*").alias("n"), *(F.count_if(c).alias(k) for k, c in kinds.items())).collect()
+    papers, cells = sorted({r["paper"] for r in got}), sorted({r["cell"] for r in got})
+    if not got:
+        return {n: (float("nan"),) * 3 for n in ("precision", "recall", "f1")}
+    count, pop = np.zeros((len(papers), len(cells), 4)), np.zeros(len(cells))
+    for r in got:
+        k = cells.index(r["cell"])
+        count[papers.index(r["paper"]), k] = [r["n"], r["tp"], r["fp"], r["fn"]]
+        pop[k] = max(pop[k], r["pop"])
+    times = np.stack([np.bincount(x, minlength=len(papers)) for x in np.random.default_rng(seed).integers(0, len(papers), (draws, len(papers)))])
+    whole = count.sum(0)
+    total = np.concatenate([whole[None], np.tensordot(times, count, 1)])
+    n = total[:, :, :1]
+    share = np.where(n > 0, total[:, :, 1:] / np.maximum(n, 1), whole[None, :, 1:] / np.maximum(whole[None, :, :1], 1))
+    tp, fp, fn = (share * pop[None, :, None]).sum(1).T
+    with np.errstate(invalid="ignore", divide="ignore"):
+        all_ = {"precision": tp / (tp + fp), "recall": tp / (tp + fn), "f1": 2 * tp / (2 * tp + fp + fn)}
+    out = {}
+    for name, x in all_.items():
+        v = np.sort(x[1:])
+        out[name] = float(x[0]), float(v[int(0.025 * (draws - 1))]), float(v[round(0.975 * (draws - 1))])
+    return out
+
+
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
     """rows with number: 0, 1, ... in that order, which must tell all rows apart.
 

@@ -272,9 +272,24 @@ def gr_association_factory(s, d):
     return one("count").unionByName(one("ppmi"))
 
 
-@query("gr_walks")
+def _walk_sql(length: int, p: float, q: float) -> tuple[str, ...]:
+    """w0, w1, ...: a table for each step, with the node and the one before."""
+    out = ["w0 AS (SELECT a AS start, w AS walk_no, a AS node, NULL::VARCHAR AS prev FROM (SELECT DISTINCT a FROM edge), range(2) r(w))"]
+    for k in range(1, length):
+        bias = "1" if k == 1 else f"CASE WHEN e.b = prev THEN {1 / p} WHEN l.n IS NOT NULL THEN 1 ELSE {1 / q} END"
+        key = f"-ln((('0x' || substr(md5('0:{k}:' || start || ':' || walk_no || ':' || e.b), 1, 8))::BIGINT + 1) / 4294967296.0::DOUBLE) / (e.n * ({bias}))"
+        out.append(f"w{k} AS (SELECT start, walk_no, e.b AS node, node AS prev FROM w{k - 1} JOIN edge e ON e.a = node{'' if k == 1 else ' LEFT JOIN edge l ON l.a = prev AND l.b = e.b'} QUALIFY row_number() OVER (PARTITION BY start, walk_no ORDER BY {key}, e.b) = 1)")
+    return tuple(out)
+
+
+_WALKS = sql(" UNION ALL ".join(f"SELECT start, walk_no, {k} AS step, node FROM w{k}" for k in range(4)), *_walk_sql(4, 0.5, 2.0))
+
+
+@query("gr_walks", _WALKS)
+@query("smp_walk_rejection", _WALKS)
 def gr_walks(s, d):
-    return graph.walks(Corpus(s, d).edges)
+    """Walks that return half as likely again and wander off half as likely."""
+    return graph.walks(Corpus(s, d).edges, 4, 2, p=0.5, q=2.0)
 
 
 @query("agg_popularity", sql("SELECT candidate, cited FROM pop"))

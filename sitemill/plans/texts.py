@@ -2,19 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import json
-import shutil
-import tempfile
-from pathlib import Path
+import hashlib
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import text as T
+from ..functions import probes as P, text as T
 from ..operators import graph, pools, scorers, sites, stats
 from ..sources import adapters, files, validate
-from .base import Corpus, sql
-from .citation import R6, joined
+from .base import Corpus, ranked, rr, sql
+from .citation import _SWAPS, R6, joined
 from .registry import query
 
 _TOK = "regexp_extract_all(lower({}), '[a-z]+')"
@@ -57,12 +53,6 @@ def str_shingle_hash(s, d):
     return _t(s, d, "benchmark").select("item_id", F.size(F.array_distinct(F.transform(T.shingles(F.col("text"), 8), lambda x: F.xxhash64(x)))).cast("long").alias("n"))
 
 
-@query("str_title_containment", f"""SELECT doc_id, item_id, round(len(list_intersect(a, b)) / len(b)::DOUBLE, 6) AS share FROM
-  (SELECT doc_id, {_WORDS.format('text')} AS a FROM documents), (SELECT item_id, {_WORDS.format('text')} AS b FROM benchmark WHERE item_id < 8) WHERE len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / len(b)::DOUBLE >= 0.5""")
-def str_title_containment(s, d):
-    return _containment(s, d, _t(s, d, "benchmark").where("item_id < 8"))
-
-
 def _containment(s, d, items):
     """Pairs by the words they share, so only documents with a word of a title are met."""
     b = items.select("item_id", T.content_words(F.col("text")).alias("w"))
@@ -71,10 +61,9 @@ def _containment(s, d, items):
     return a.join(b, "word").groupBy("doc_id", "item_id", "size").agg(F.count("*").alias("n")).where(F.col("n") / F.col("size") >= 0.5).select("doc_id", "item_id", R6(F.col("n") / F.col("size"), "share"))
 
 
-@query("str_title_containment_all", f"""SELECT doc_id, item_id, round(len(list_intersect(a, b)) / len(b)::DOUBLE, 6) AS share FROM
+@query("str_title_containment", f"""SELECT doc_id, item_id, round(len(list_intersect(a, b)) / len(b)::DOUBLE, 6) AS share FROM
   (SELECT doc_id, {_WORDS.format('text')} AS a FROM documents), (SELECT item_id, {_WORDS.format('text')} AS b FROM benchmark) WHERE len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) / len(b)::DOUBLE >= 0.5""")
-def str_title_containment_all(s, d):
-    """str_title_containment with every item."""
+def str_title_containment(s, d):
     return _containment(s, d, _t(s, d, "benchmark"))
 
 
@@ -157,15 +146,23 @@ def agg_tier_counts(s, d):
     return str_tier(s, d).groupBy("tier").agg(F.count("*").alias("n"))
 
 
-@query("str_tiers_from_markers")
+_TEXT = "CASE l_partkey % 6 WHEN 0 THEN ', ' WHEN 1 THEN ' and ' WHEN 2 THEN ' as shown by ' WHEN 3 THEN ' works. Then [' WHEN 4 THEN ' et al. show ' ELSE ' ends here. ' END"
+
+
+@query("str_tiers_from_markers", "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_partkey % 6 WHEN 0 THEN 'group' WHEN 1 THEN 'group' WHEN 2 THEN 'sentence' WHEN 3 THEN 'beyond' WHEN 4 THEN 'sentence' ELSE 'beyond' END AS tier FROM lineitem")
 def str_tiers_from_markers(s, d):
-    """tier of the text between the two markers of each window."""
-    return _windows(s, d).select("l_orderkey", "l_linenumber", T.tier(F.regexp_extract("masked", "TARGETCIT(.*)OTHERCIT", 1)).alias("tier"))
+    """tier of the text between the two markers of each window; the target is before or behind the other."""
+    ends = F.when(F.col("l_suppkey") % 2 == 0, F.array(F.lit(T.TARGET), F.lit(T.OTHER))).otherwise(F.array(F.lit(T.OTHER), F.lit(T.TARGET)))
+    w = _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("It is so. We saw "), ends[0], F.expr(_TEXT), ends[1], F.lit(" there.")).alias("masked"))
+    return w.select("l_orderkey", "l_linenumber", "l_partkey", T.tier(F.regexp_extract("masked", f"(?:{T.MARKERS})(.*)(?:{T.MARKERS})", 1)).alias("tier"))
 
 
-@query("str_render", f"WITH {_WIN} SELECT l_orderkey, l_linenumber, 'item ⟦T⟧ and [cit] seen' AS text FROM window_")
+@query("str_render", "SELECT l_orderkey, l_linenumber, l_partkey, 'item ' || array_to_string(list_transform(range(1, l_partkey % 4 + 2), lambda i: CASE WHEN i <= l_suppkey % 3 THEN '[' || l_suppkey || '.' || i || ']' ELSE '[cit]' END), ' and ') || ' seen' AS text FROM lineitem")
 def str_render(s, d):
-    return _windows(s, d).select("l_orderkey", "l_linenumber", T.render(F.col("masked"), F.array(F.lit("⟦T⟧"))).alias("text"))
+    """Windows of one to four markers, of which the first ones have labels."""
+    masked = F.concat(F.lit("item TARGETCIT"), F.repeat(F.lit(" and OTHERCIT"), (F.col("l_partkey") % 4).cast("int")), F.lit(" seen"))
+    labels = F.transform(F.filter(F.array(F.lit(1), F.lit(2)), lambda i: i <= F.col("l_suppkey") % 3), lambda i: F.concat(F.lit("["), F.col("l_suppkey").cast("string"), F.lit("."), i.cast("string"), F.lit("]")))
+    return _t(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.render(masked, labels).alias("text"))
 
 
 @query("str_stratum_of", """SELECT event_id, CASE WHEN c AND NOT d THEN 'transitive' WHEN c AND m THEN 'both_routes' WHEN m THEN 'marker_only' WHEN c AND a THEN 'clustering_only_aligned' WHEN c THEN 'clustering_only_unaligned'
@@ -182,10 +179,13 @@ def str_sent2seq(s, d):
     return _t(s, d, "benchmark").select("item_id", F.array_join(F.slice(F.concat(w, F.array_repeat(F.lit(0), 12)), 1, 12), ",").alias("ids"))
 
 
-@query("str_pgf_table")
+@query("str_pgf_table", "SELECT 'x y n' || chr(10) || string_agg(event_type || ' ' || coalesce(format('{:.3f}', round(v, 3)), 'nan') || ' ' || n, chr(10) ORDER BY event_type) AS block FROM (SELECT event_type, avg(value) AS v, count(*) AS n FROM events GROUP BY event_type)")
 def str_pgf_table(s, d):
-    e = _t(s, d, "events").groupBy("event_type").agg(F.avg("value").alias("v"))
-    return e.select("event_type", F.format_string("%s %.4f", "event_type", F.coalesce("v", F.lit(float("nan")))).alias("line"))
+    """The block of a plot: a heading and a line for each type, nan where there is no value."""
+    e = _t(s, d, "events").groupBy("event_type").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
+    line = F.concat_ws(" ", "event_type", F.coalesce(F.format_string("%.3f", F.round("v", 3)), F.lit("nan")), "n")
+    # a row for each type
+    return e.agg(F.array_sort(F.collect_list(F.struct("event_type", line.alias("line")))).alias("x")).select(F.array_join(F.concat(F.array(F.lit("x y n")), F.transform("x", lambda r: r["line"])), "\n").alias("block"))
 
 
 @query("str_parse_number", "SELECT o_orderkey, replace(format('{:,.2f}', o_totalprice), ',', '')::DOUBLE AS v, 2::BIGINT AS decimals FROM orders")
@@ -280,7 +280,7 @@ def _unit(s, d):
     return adapters.numbered_vectors(s, d).select("vec_id", scorers.normalised(F.col("x")).alias("x"))
 
 
-for _name in ("top_k_vectors", "top_k_merge", "jn_knn_cross"):
+for _name in ("top_k_vectors", "jn_knn_cross"):
 
     @query(_name, f"WITH {_VEC} SELECT query, id, round(sim, 6) AS sim, rank FROM (SELECT a.vec_id AS query, b.vec_id AS id, {_COS} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) AS rank FROM v a, v b WHERE a.vec_id % 20 = 0) WHERE rank <= 10")
     def _knn(s, d):
@@ -288,33 +288,93 @@ for _name in ("top_k_vectors", "top_k_merge", "jn_knn_cross"):
         return scorers.top_k(u.where(F.col("vec_id") % 20 == 0).toDF("query", "x"), u.toDF("id", "y"), 10).select("query", "id", R6("sim"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("sc_dense", f"WITH {_VEC} SELECT a.vec_id AS context, b.vec_id AS candidate, round({_COS}, 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
-@query("sc_mmap_dense", f"WITH {_VEC} SELECT a.vec_id AS context, b.vec_id AS candidate, round({_COS}, 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
+@query("top_k_merge", f"WITH {_VEC} SELECT query, id, round(sim, 6) AS sim, rank FROM (SELECT a.vec_id AS query, b.vec_id::VARCHAR AS id, {_COS} AS sim, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_COS}, 9) DESC, b.vec_id::VARCHAR) AS rank FROM v a, v b WHERE a.vec_id % 20 = 0) WHERE rank <= 10")
+def top_k_merge(s, d):
+    """The best ten of each task's rows, merged."""
+    u = _unit(s, d).repartition(4, "vec_id")
+    return scorers.top_k_blocks(u.where(F.col("vec_id") % 20 == 0).toDF("query", "x"), u.toDF("id", "y"), 10).select("query", "id", R6("sim"), F.col("rank").cast("long").alias("rank"))
+
+
+_DENSE = f"WITH {_VEC} SELECT a.vec_id AS context, b.vec_id AS candidate, round({_COS}, 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)"
+
+
+@query("sc_dense", _DENSE)
 def sc_dense(s, d):
-    u = _unit(s, d)
+    return _paired(_unit(s, d), scorers.dot)
+
+
+def _paired(u, dot):
     n = u.agg(F.count("*").alias("n"))
     a = u.crossJoin(F.broadcast(n)).select(F.col("vec_id").alias("context"), F.col("x").alias("a"), ((F.col("vec_id") * 7 + 3) % F.col("n")).alias("candidate"))
-    return a.join(u.toDF("candidate", "b"), "candidate").select("context", "candidate", R6(scorers.dot(F.col("a"), F.col("b")), "sim"))
+    return a.join(u.toDF("candidate", "b"), "candidate").select("context", "candidate", R6(dot(F.col("a"), F.col("b")), "sim"))
+
+
+_STORED = "v AS (SELECT vec_id, list_transform(x, lambda c: round(c / sqrt(list_inner_product(x, x)) * 32767)::BIGINT) AS x FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings))"
+
+
+@query("sc_mmap_dense", f"WITH {_STORED} SELECT a.vec_id AS context, b.vec_id AS candidate, round(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) / (32767.0::DOUBLE * 32767.0::DOUBLE), 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
+@query("src_mmap_store", f"WITH {_STORED} SELECT a.vec_id AS context, b.vec_id AS candidate, round(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) / (32767.0::DOUBLE * 32767.0::DOUBLE), 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
+def sc_mmap_dense(s, d):
+    """Cosines from a store of 16-bit components, half the size of floats, sorted by key so that a reader prunes files."""
+    from ..session import scratch_path
 
+    at = scratch_path(s)
+    _unit(s, d).select("vec_id", F.transform("x", lambda v: F.round(v * 32767).cast("smallint")).alias("x")).repartitionByRange("vec_id").sortWithinPartitions("vec_id").write.parquet(at + "/v")
+    whole = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: a.cast("long") * b.cast("long")), F.lit(0).cast("long"), lambda t, v: t + v) / (32767.0 * 32767.0)
+    return _paired(s.read.parquet(at + "/v"), whole)
+
+
+# node vectors: the embeddings stand for them, a reference of the training graph having that of its number
+
+
+_NODES = (
+    "vec AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)",
+    "node AS (SELECT id, x FROM (SELECT DISTINCT refid AS id FROM ctx WHERE split = 'train') JOIN vec ON vec_id = id::BIGINT % (SELECT count(*) FROM vec))",
+    f"node_pair AS (SELECT context_id, candidate, anchor, n_anchors, greatest(round({_COS}, 9), 0) AS v FROM (SELECT context_id, candidate, n_anchors, unnest(anchors) AS anchor FROM score JOIN anc USING (context_id)) LEFT JOIN node a ON a.id = candidate LEFT JOIN node b ON b.id = anchor)",
+    "node_score AS (SELECT context_id, candidate, sum(coalesce(v, 0)) / any_value(n_anchors) AS mean, coalesce(sum(v) FILTER (v > 0) / nullif(count(*) FILTER (v > 0), 0), 0) AS masked_mean, coalesce(max(v), 0) AS most FROM node_pair GROUP BY ALL)",
+    f"citing_score AS (SELECT s.context_id, s.citing_id, s.candidate, s.is_gold, coalesce(greatest(round({_COS}, 9), 0), 0) AS base FROM score s LEFT JOIN node a ON a.id = candidate LEFT JOIN node b ON b.id = s.citing_id)",
+)
 
-@query("gr_node_similarity", f"WITH {_VEC} SELECT a.vec_id AS context, round(greatest({_COS}, 0), 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
+
+def _nodes(c):
+    v = _unit(c.spark, c.folder)
+    n = v.agg(F.count("*").alias("n"))
+    return graph.vocabulary(c.train).crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("id").cast("long") % F.col("n")).join(v, "vec_id").select("id", "x")
+
+
+@query("gr_node_similarity", sql("SELECT context_id, candidate, round(mean, 6) AS mean, round(masked_mean, 6) AS masked_mean, round(most, 6) AS most FROM node_score", *_NODES))
 def gr_node_similarity(s, d):
-    return sc_dense(s, d).select("context", F.greatest("sim", F.lit(0.0)).alias("sim"))
+    """Similarity of a candidate's node and the anchors', 0 where negative or unknown: over all anchors, over those with evidence, the most."""
+    c = Corpus(s, d)
+    pairs = c.pools.select("context_id", "candidate").join(c.used.select("context_id", F.size("used").alias("k"), F.explode("used").alias("anchor")), "context_id")
+    v = graph.node_values(pairs, _nodes(c))
+    g = v.groupBy("context_id", "candidate").agg((F.sum("v") / F.first("k")).alias("mean"), F.coalesce(F.sum("v") / F.nullif(F.count_if(F.col("v") > 0), F.lit(0)), F.lit(0.0)).alias("masked_mean"), F.max("v").alias("most"))
+    return g.select("context_id", "candidate", R6("mean"), R6("masked_mean"), R6("most"))
 
 
-@query("sc_graph_embedding", f"WITH {_VEC} SELECT a.vec_id AS context, round(CASE WHEN a.vec_id % 3 = 0 THEN 0 ELSE greatest({_COS}, 0) END, 6) AS sim FROM v a JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % (SELECT count(*) FROM v)")
+def _citing(c):
+    p = c.pools.withColumn("anchor", F.col("citing_id"))
+    return graph.node_values(p, _nodes(c)).withColumnRenamed("v", "base").drop("anchor")
+
+
+@query("sc_graph_embedding", sql("SELECT context_id, candidate, round(base, 6) AS base FROM citing_score", *_NODES))
 def sc_graph_embedding(s, d):
-    """Similarity to the citing paper's node, 0 where that is unknown (here every third)."""
-    return gr_node_similarity(s, d).select("context", F.when(F.col("context") % 3 == 0, 0.0).otherwise(F.col("sim")).alias("sim"))
+    """Similarity of a candidate's node to the citing paper's, 0 where either is unknown to the graph."""
+    return _citing(Corpus(s, d)).select("context_id", "candidate", R6("base"))
 
 
-@query("gr_null_control", "SELECT count(*) AS n, 0.5::DOUBLE AS swap FROM embeddings")
+@query("gr_null_control", sql(f"SELECT round(avg(rr), 6) AS mrr, 0.5::DOUBLE AS swap, count(*) AS papers FROM (SELECT citing_id, avg(rr) AS rr FROM {rr('base', 'citing_score')} GROUP BY citing_id)", *_NODES))
 def gr_null_control(s, d):
-    """A score of the candidate alone can't tell a swap: 0.5 exactly."""
+    """Nodes as the base: a rank it has, but it gives both contexts of a pair the same scores, so each swap is a tie: 0.5 exactly."""
     from ..functions.probes import swap_outcome
 
-    v = adapters.numbered_vectors(s, d).select(F.col("x")[0].alias("a"), F.col("x")[1].alias("b"))
-    return v.agg(F.count("*").alias("n"), F.avg(swap_outcome(F.col("a"), F.col("b"), F.col("b"), F.col("a"))).alias("swap"))
+    c = Corpus(s, d)
+    m = stats.paper_mean(ranked(_citing(c), "base"), "rr")
+    pairs = pools.swap_pairs(c.anchored)
+    side = lambda g: graph.node_values(pairs.select("citing_id", "ctx_a", "ctx_b", F.col(g).alias("candidate"), F.col("citing_id").alias("anchor")), _nodes(c)).select("ctx_a", "ctx_b", F.col("v").alias(g))
+    a, b = F.col("gold_a"), F.col("gold_b")
+    swap = side("gold_a").join(side("gold_b"), ["ctx_a", "ctx_b"]).agg(F.avg(swap_outcome(a, b, b, a)).alias("swap"))
+    return m.crossJoin(swap).select(R6("rr", "mrr"), "swap", "papers")
 
 
 @query("src_parquet_vectors", f"WITH {_VEC} SELECT vec_id, len(x)::BIGINT AS dim, round(list_sum(list_transform(x, lambda c: c / sqrt(list_inner_product(x, x)))), 5) AS total FROM v")
@@ -333,49 +393,42 @@ def flt_kind(s, d):
     return _t(s, d, "embeddings").where("label = 1").select("vec_id")
 
 
-@query("src_lazy_slice")
+@query("src_lazy_slice", f"WITH {_VEC}, n AS (SELECT count(*) AS n FROM v) SELECT vec_id, vec_id * 4 // n AS shard, round(x[1], 6) AS first FROM v, n WHERE vec_id >= n // 4 AND vec_id < n // 2")
 def src_lazy_slice(s, d):
-    return _t(s, d, "embeddings").repartition(4, "vec_id").groupBy(F.spark_partition_id().alias("shard")).agg(F.count("*").alias("n"))
+    """Rows of one range of keys of vectors stored in shards by range: the filter reaches the scan, so other shards aren't read."""
+    at = _folder(s)
+    v = adapters.numbered_vectors(s, d)
+    n = v.count()
+    v.withColumn("shard", F.floor(F.col("vec_id") * 4 / n)).repartition("shard").write.partitionBy("shard").parquet(at)
+    x = s.read.parquet(at).where(F.col("shard") == 1)
+    return x.select("vec_id", F.col("shard").cast("long").alias("shard"), R6(F.col("x")[0], "first"))
 
 
 @query("sc_embed")
 def sc_embed(s, d):
     """A pluggable encoder in Arrow batches; this one hashes words into 16 dimensions."""
-    return _encoded(_t(s, d, "benchmark").select(F.col("item_id").cast("string").alias("key"), "text"))
-
-
-def _encoded(texts):
-    import pandas as pd
+    return scorers.embed(_t(s, d, "benchmark").select(F.col("item_id").cast("string").alias("key"), "text"), scorers.HashingEncoder(16))
 
-    def run(batches):
-        from zlib import crc32
 
-        for pdf in batches:
-            out = []
-            for t in pdf["text"]:
-                v = [0.0] * 16
-                for w in (t or "").lower().split():
-                    v[crc32(w.encode()) % 16] += 1.0
-                n = sum(x * x for x in v) ** 0.5
-                out.append([x / n if n else 0.0 for x in v])
-            yield pd.DataFrame({"key": pdf["key"], "embedding": out})
-
-    return texts.mapInPandas(run, "key string, embedding array<double>")
+@query("sc_embed_sorted_batches")
+def sc_embed_sorted_batches(s, d):
+    """Whether longest-first batches give each text the vector that it gets alone."""
+    t = _t(s, d, "documents").select(F.col("doc_id").cast("string").alias("key"), "text")
+    a = scorers.embed(t, scorers.HashingEncoder(16), batch=7)
+    b = scorers.embed(t, scorers.HashingEncoder(16), batch=1)
+    same = F.forall(F.zip_with("x", "y", lambda p, q: F.abs(p - q) < 1e-12), lambda v: v)
+    return a.toDF("key", "x").join(b.toDF("key", "y"), "key").agg(F.count("*").alias("n"), F.count_if(same).alias("same"))
 
 
 @query("gr_word2vec")
 def gr_word2vec(s, d):
-    """Skip-gram vectors of nodes from walks, with the library's own trainer."""
-    from pyspark.ml.feature import Word2Vec
-
-    w = graph.walks(Corpus(s, d).edges, 5, 1).groupBy("start", "walk_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda x: x["node"]).alias("walk"))
-    model = Word2Vec(vectorSize=8, minCount=0, maxIter=1, seed=0, inputCol="walk", outputCol="v", numPartitions=1).fit(w)
-    return model.getVectors().select("word")
+    """word, vector: skip-gram vectors of nodes, of length one, from biased walks, with the library's own trainer."""
+    return graph.node2vec(Corpus(s, d).edges)
 
 
 @query("sink_walk_corpus")
 def sink_walk_corpus(s, d):
-    w = graph.walks(Corpus(s, d).edges, 4, 1)
+    w = graph.walks(Corpus(s, d).edges, 4, 1, p=0.5, q=2.0)
     return w.groupBy("start", "walk_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "node"))), lambda x: x["node"]), " ").alias("line"))
 
 
@@ -391,9 +444,17 @@ def _readers(s, d):
     return _t(s, d, "labels").select("doc_id", a.alias("a"), b.alias("b"), k(4).alias("cell"), (k(2) == 0).alias("clustering"), (100 * (k(4) + 1)).alias("pop"))
 
 
-@query("agg_kappa", f"WITH {_LAB}, p AS (SELECT count(*) AS n, avg((a = b)::INT) AS raw FROM lab), e AS (SELECT sum(x * y)::DOUBLE AS s FROM (SELECT a AS k, count(*) AS x FROM lab GROUP BY a) JOIN (SELECT b AS k, count(*) AS y FROM lab GROUP BY b) USING (k)) SELECT n, round(raw, 6) AS raw, round((raw - s / (n * n)) / (1 - s / (n * n)), 6) AS kappa FROM p, e")
+_COLLAPSED = "lab3 AS (SELECT 'four' AS labels, a, b FROM lab UNION ALL SELECT 'group', (a = 'G')::VARCHAR, (b = 'G')::VARCHAR FROM lab UNION ALL SELECT 'group_or_sentence', (a IN ('G', 'S'))::VARCHAR, (b IN ('G', 'S'))::VARCHAR FROM lab)"
+
+
+@query("agg_kappa", f"WITH {_LAB}, {_COLLAPSED}, p AS (SELECT labels, count(*) AS n, avg((a = b)::INT) AS raw FROM lab3 GROUP BY labels), e AS (SELECT labels, sum(x * y)::DOUBLE AS s FROM (SELECT labels, a AS k, count(*) AS x FROM lab3 GROUP BY ALL) JOIN (SELECT labels, b AS k, count(*) AS y FROM lab3 GROUP BY ALL) USING (labels, k) GROUP BY labels) SELECT labels, n, round(raw, 6) AS raw, round((raw - s / (n * n)) / (1 - s / (n * n)), 6) AS kappa FROM p JOIN e USING (labels)")
 def agg_kappa(s, d):
-    return stats.kappa(_readers(s, d), "a", "b").select("n", R6("raw"), R6("kappa"))
+    """Agreement on the four labels, on the group against the rest, and on the sentence or nearer against the rest."""
+    r, out = _readers(s, d), None
+    for name, f in (("four", lambda c: F.col(c)), ("group", lambda c: (F.col(c) == "G").cast("string")), ("group_or_sentence", lambda c: F.col(c).isin("G", "S").cast("string"))):
+        k = stats.kappa(r.select(f("a").alias("a"), f("b").alias("b")), "a", "b").select(F.lit(name).alias("labels"), "n", R6("raw"), R6("kappa"))
+        out = k if out is None else out.unionByName(k)
+    return out
 
 
 @query("agg_confusion", f"WITH {_LAB} SELECT a, count(*) FILTER (b = 'G') AS \"G\", count(*) FILTER (b = 'S') AS \"S\", count(*) FILTER (b = 'W') AS \"W\" FROM lab GROUP BY a")
@@ -425,7 +486,6 @@ _PRF = f"WITH {_LAB}, c AS (SELECT cell, max(pop) AS pop, avg((clustering AND a
 
 
 @query("agg_poststrat_prf", _PRF)
-@query("an_annotation_score", _PRF)
 def agg_poststrat_prf(s, d):
     share = lambda c: F.avg(c.cast("double"))
     anchor, good = F.col("clustering"), F.col("a") == "G"
@@ -434,6 +494,21 @@ def agg_poststrat_prf(s, d):
     return t.select(R6(F.col("tp") / (F.col("tp") + F.col("fp")), "precision"), R6(F.col("tp") / (F.col("tp") + F.col("fn")), "recall"), R6(2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn")), "f1"))
 
 
+@query("an_annotation_score", f"""WITH {_LAB}, {_COLLAPSED}, p AS (SELECT labels, count(*) AS n, avg((a = b)::INT) AS raw FROM lab3 GROUP BY labels), e AS (SELECT labels, sum(x * y)::DOUBLE AS s FROM (SELECT labels, a AS k, count(*) AS x FROM lab3 GROUP BY ALL) JOIN (SELECT labels, b AS k, count(*) AS y FROM lab3 GROUP BY ALL) USING (labels, k) GROUP BY labels),
+c AS (SELECT cell, max(pop) AS pop, avg((clustering AND a = 'G')::INT) AS tp, avg((clustering AND a <> 'G')::INT) AS fp, avg((NOT clustering AND a = 'G')::INT) AS fn FROM lab GROUP BY cell), t AS (SELECT sum(pop * tp) AS tp, sum(pop * fp) AS fp, sum(pop * fn) AS fn FROM c)
+SELECT 'kappa' AS section, labels AS key, round((raw - s / (n * n)) / (1 - s / (n * n)), 6) AS value FROM p JOIN e USING (labels) UNION ALL SELECT 'agreement', labels, round(raw, 6) FROM p
+UNION ALL SELECT 'estimate', 'precision', round(tp / (tp + fp), 6) FROM t UNION ALL SELECT 'estimate', 'recall', round(tp / (tp + fn), 6) FROM t UNION ALL SELECT 'estimate', 'f1', round(2 * tp / (2 * tp + fp + fn), 6) FROM t
+UNION ALL SELECT 'proxy', b, round(avg((a = b)::INT), 6) FROM lab GROUP BY b UNION ALL SELECT 'anatomy', cell::VARCHAR, round(100.0::DOUBLE * sum((clustering AND a <> 'G')::INT) / count(*), 6) FROM lab GROUP BY cell""")
+def an_annotation_score(s, d):
+    """Agreement on each label set, estimates for the population, the proxy's agreement by tier and wrong anchors by cell."""
+    row = lambda df, section, key, v: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), v.cast("double").alias("value"))
+    k, prf = agg_kappa(s, d), agg_poststrat_prf(s, d)
+    out = row(k, "kappa", F.col("labels"), F.col("kappa")).unionByName(row(k, "agreement", F.col("labels"), F.col("raw")))
+    for name in ("precision", "recall", "f1"):
+        out = out.unionByName(row(prf, "estimate", F.lit(name), F.col(name)))
+    return out.unionByName(row(agg_proxy(s, d), "proxy", F.col("tier"), F.col("agreement"))).unionByName(row(agg_anatomy(s, d), "anatomy", F.col("cell"), F.col("wrong_per_100")))
+
+
 @query("jn_key_labels", f"WITH {_LAB} SELECT d.doc_id, a FROM documents d JOIN lab USING (doc_id)")
 def jn_key_labels(s, d):
     return _t(s, d, "documents").select("doc_id").join(_readers(s, d).select("doc_id", "a"), "doc_id")
@@ -441,26 +516,9 @@ def jn_key_labels(s, d):
 
 @query("bs_poststrat")
 def bs_poststrat(s, d):
-    """lo, hi of precision over resampled cells, on the driver from a table of a few cells."""
-    import random
-
-    rows = [(r["cell"], r["pop"], r["clustering"], r["a"] == "G", r["doc_id"] % 50) for r in _readers(s, d).groupBy("cell", "pop", "clustering", "a", "doc_id").count().collect()]
-    by: dict = {}
-    for r in rows:
-        by.setdefault(r[4], []).append(r)
-    rng, papers, out = random.Random(0), sorted(by), []
-    for _ in range(200):
-        draw = [r for _ in papers for r in by[rng.choice(papers)]]
-        cells: dict = {}
-        for cell, pop, anchor, good, _ in draw:
-            c = cells.setdefault(cell, [pop, 0, 0, 0])
-            c[1] += 1
-            c[2] += anchor and good
-            c[3] += anchor and not good
-        tp, fp = (sum(c[0] * c[k] / c[1] for c in cells.values()) for k in (2, 3))
-        out.append(tp / (tp + fp) if tp + fp else float("nan"))
-    out.sort()
-    return s.createDataFrame([(out[int(0.025 * (len(out) - 1))], out[round(0.975 * (len(out) - 1))])], "lo double, hi double")
+    """estimate, value, lo, hi of precision, recall and F1 over resampled papers (here 50 of documents); see stats.poststratified."""
+    r = _readers(s, d).select((F.col("doc_id") % 50).alias("paper"), "cell", "pop", "clustering", (F.col("a") == "G").alias("good"))
+    return s.createDataFrame([(n, *map(float, x)) for n, x in stats.poststratified(r).items()], "estimate string, value double, lo double, hi double")
 
 
 # --- histograms and bands over values
@@ -532,13 +590,13 @@ def bs_pool_cluster_ci(s, d):
 # --- cohorts over thresholds
 
 
-# --- sources and sinks; files go to a folder of the driver's that ends with it
+# --- sources and sinks; files go to the shared folder, through Spark
 
 
-def _folder() -> Path:
-    path = Path(tempfile.mkdtemp(prefix="sitemill-files-"))
-    atexit.register(shutil.rmtree, path, True)
-    return path
+def _folder(s) -> str:
+    from ..session import scratch_path
+
+    return scratch_path(s)
 
 
 def _written(s, d):
@@ -551,16 +609,20 @@ def _written(s, d):
     return c, at
 
 
-@query("src_jsonl_contexts", sql("SELECT context_id, citing_id, refid, 'x TARGETCIT' AS masked FROM ctx WHERE split = 'test' AND location = 0"))
+@query("src_jsonl_contexts", sql("SELECT context_id, citing_id, refid, 'x TARGETCIT' AS masked FROM ctx WHERE split = 'test'"))
 def src_jsonl_contexts(s, d):
     c, at = _written(s, d)
-    return files.read_contexts(s, f"{at}/contexts", c.ctx.where("location = 0")).select("context_id", "citing_id", "refid", "masked")
+    return files.read_contexts(s, f"{at}/contexts", c.ctx).select("context_id", "citing_id", "refid", "masked")
 
 
-@query("src_upstream_contexts", sql("SELECT count(*) AS found FROM ctx WHERE split = 'test'"))
+@query("src_upstream_contexts", sql("SELECT count(*) AS found, count(*) AS wanted, true AS complete FROM ctx WHERE split = 'test'"))
 def src_upstream_contexts(s, d):
+    """Wanted contexts of a file; one that isn't there is an error."""
     c, at = _written(s, d)
-    return files.read_contexts(s, f"{at}/contexts", c.ctx).agg(F.count("*").alias("found"))
+    want = c.ctx.select("context_id").distinct()
+    found = files.read_contexts(s, f"{at}/contexts", c.ctx).select("context_id", F.lit(1).alias("there"))
+    g = want.join(found, "context_id", "left").agg(F.count("there").alias("found"), F.count("*").alias("wanted"))
+    return g.select("found", "wanted", F.when(F.col("found") == F.col("wanted"), True).otherwise(F.raise_error(F.lit("contexts are missing")).cast("boolean")).alias("complete"))
 
 
 for _name in ("src_jsonl_papers", "src_papers_upstream"):
@@ -571,19 +633,24 @@ for _name in ("src_jsonl_papers", "src_papers_upstream"):
         return files.read_papers(s, f"{at}/papers", c.ctx.select(F.col("refid").alias("id"))).select("id", "title", "abstract")
 
 
-@query("src_json_array_stream", "SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation")
+@query("src_json_array_stream", "SELECT o_orderkey AS k, o_orderstatus AS name, o_totalprice AS price FROM orders")
 def src_json_array_stream(s, d):
-    f = _folder() / "a.json"
-    f.write_text(json.dumps([{"k": r[0], "name": r[1]} for r in _t(s, d, "nation").select("n_nationkey", "n_name").collect()]))
-    return files.read_array(s, f"file://{f}", "k long, name string")
+    """Files that are one array each, a file for each task that wrote one."""
+    at = _folder(s)
+    o = _t(s, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("name"), F.col("o_totalprice").alias("price"))
+    o.groupBy(F.pmod(F.xxhash64("k"), F.lit(4)).alias("part")).agg(F.to_json(F.collect_list(F.struct("k", "name", "price"))).alias("value")).write.partitionBy("part").text(at)
+    return files.read_array(s, at + "/*", "k long, name string, price double")
 
 
-@query("src_json_object_stream")
+@query("src_json_object_stream", "SELECT 'p' || p_partkey AS key, p_partkey AS k, p_name AS name FROM part")
 def src_json_object_stream(s, d):
-    f = _folder() / "o.json"
-    f.write_text(json.dumps({r[1]: {"k": r[0]} for r in _t(s, d, "nation").select("n_nationkey", "n_name").collect()}))
+    """Files that are one object each, read a record at a time."""
+    at = _folder(s)
+    o = _t(s, d, "part").select(F.pmod(F.xxhash64("p_partkey"), F.lit(4)).alias("part"), F.concat(F.concat(F.lit('"p'), F.col("p_partkey").cast("string"), F.lit('"')), F.lit(": "), F.to_json(F.struct(F.col("p_partkey").alias("k"), F.col("p_name").alias("name")))).alias("record"))
+    o.groupBy("part").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("record"), ", "), F.lit("}")).alias("value")).write.partitionBy("part").text(at)
     s.dataSource.register(files.JsonObjectSource)
-    return s.read.format("json_object").load(str(f))
+    x = s.read.format("json_object").load(at)
+    return x.select("key", F.from_json("value", "k long, name string").alias("v")).select("key", "v.k", "v.name")
 
 
 @query("src_parquet_texts", "SELECT p_partkey::VARCHAR AS key, 'paper' AS kind, p_name AS text FROM part")
@@ -596,15 +663,6 @@ def src_parquet_texts(s, d):
     return s.read.parquet(at + "/t")
 
 
-@query("src_mmap_store", "SELECT count(*) AS n, 64::BIGINT AS dim FROM embeddings")
-def src_mmap_store(s, d):
-    from ..session import scratch_path
-
-    at = scratch_path(s)
-    _unit(s, d).withColumnRenamed("vec_id", "key").repartition("key").sortWithinPartitions("key").write.parquet(at + "/v")
-    return s.read.parquet(at + "/v").agg(F.count("*").alias("n"), F.max(F.size("x")).cast("long").alias("dim"))
-
-
 @query("src_npz_graph", sql("SELECT a, b, n FROM edge"))
 def src_npz_graph(s, d):
     from ..session import scratch_path
@@ -614,31 +672,83 @@ def src_npz_graph(s, d):
     return s.read.parquet(at + "/g")
 
 
-@query("src_export_load", sql("SELECT context_id, gold FROM elig WHERE reason = 'kept'"))
+def _frames(c) -> dict:
+    """The ids of one split: pools, swap pairs, anchors."""
+    kept = c.eligible.where("reason = 'kept'").select("context_id", "citing_id", "gold")
+    rank = kept.join(c.pools.groupBy("context_id").agg(F.array_sort(F.collect_list("candidate")).alias("candidates")), "context_id")
+    return {"rank": rank.select("context_id", "citing_id", "gold", "candidates"), "swap": pools.swap_pairs(c.anchored), "anchors": c.anchored.select("context_id", "citing_id", "location", F.col("refid").alias("gold"), "anchors", F.col("clustering").alias("anchors_clustering"), F.col("marker").alias("anchors_marker"))}
+
+
+def _exported(s, d):
+    c, at = Corpus(s, d), _folder(s)
+    return c, at, files.export(_frames(c), at, {"pool_size": 10, "k": 5, "split": "test"})
+
+
+_COUNTS = "SELECT 'rank' AS name, count(*) AS n FROM elig WHERE reason = 'kept' UNION ALL SELECT 'swap', count(*) FROM swap UNION ALL SELECT 'anchors', count(*) FROM anc"
+
+
+@query("src_export_load", sql("SELECT context_id, gold, array_to_string(list_sort(list(candidate)), ',') AS candidates FROM pool GROUP BY ALL"))
 def src_export_load(s, d):
-    f = _folder()
-    files.export({"rank": Corpus(s, d).eligible.where("reason = 'kept'").select("context_id", "gold")}, str(f), {"pool_size": 10})
-    return s.read.schema("context_id string, gold string").json(f"file://{f}/rank.jsonl")
+    """The pools of an export, as it is loaded."""
+    _, at, _ = _exported(s, d)
+    return s.read.schema("context_id string, citing_id string, gold string, candidates array<string>").json(f"{at}/rank.jsonl").select("context_id", "gold", joined("candidates").alias("candidates"))
 
 
-@query("sink_export")
+@query("sink_export", sql(_COUNTS, _SWAPS))
 def sink_export(s, d):
-    f = _folder()
-    m = files.export({"swap": pools.swap_pairs(Corpus(s, d).anchored)}, str(f), {"k": 5})
-    return s.createDataFrame([(n, c) for n, c in m["counts"].items()], "name string, n long")
+    """Rows of the three files, by the manifest."""
+    _, _, m = _exported(s, d)
+    return s.createDataFrame([(n, k) for n, k in m["counts"].items()], "name string, n long")
 
 
-@query("an_verify_export")
+@query("an_verify_export", sql(f"SELECT name, n, 0::BIGINT AS problems, 0::BIGINT AS changed, CASE name WHEN 'rank' THEN 0::BIGINT END AS off_floor FROM ({_COUNTS})", _SWAPS))
 def an_verify_export(s, d):
-    f = _folder()
-    files.export({"swap": pools.swap_pairs(Corpus(s, d).anchored)}, str(f), {"k": 5})
-    return s.createDataFrame([("swap", len(files.verify_export(str(f))))], "name string, problems long")
-
-
-@query("src_prefetch", sql("SELECT context_id, count(*) AS n FROM pool GROUP BY context_id"))
+    """Of each file: its rows, what its digest or count is wrong in, rows that differ from what was exported; and pools whose constant score is off the floor, from the export alone."""
+    c, at, m = _exported(s, d)
+    wrong, out = files.verify_export(s, at), None
+    for name, df in _frames(c).items():
+        back = s.read.schema(df.schema).json(f"{at}/{name}.jsonl")
+        g = back.exceptAll(df).unionAll(df.exceptAll(back)).agg(F.count("*").alias("changed")).select(F.lit(name).alias("name"), F.lit(m["counts"][name]).alias("n"), F.lit(sum(x.startswith(name) for x in wrong)).cast("long").alias("problems"), "changed")
+        if name == "rank":
+            p = back.select("context_id", "gold", F.explode("candidates").alias("candidate")).select("context_id", (F.col("candidate") == F.col("gold")).alias("is_gold"), F.lit(1.0).alias("base"), F.lit("").alias("citing_id"))
+            off = ranked(p, "base").agg(F.count_if(F.col("rr") != P.harmonic_floor(F.col("tied"))).alias("off_floor"))
+            g = g.crossJoin(off)
+        else:
+            g = g.withColumn("off_floor", F.lit(None).cast("long"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+@query("sink_bundle", "SELECT 'manifest.json' AS name, true AS agrees UNION ALL SELECT 'rank.jsonl', true UNION ALL SELECT 'swap.jsonl', true")
+@query("src_bundle_fetch", "SELECT 'manifest.json' AS name, true AS agrees UNION ALL SELECT 'rank.jsonl', true UNION ALL SELECT 'swap.jsonl', true")
+def src_bundle_fetch(s, d):
+    """An export's files without those of the anchors: bundled with a manifest, fetched, and held against their digests.
+
+    Bundles are for a person's disk, so this is the driver's own folder, which the driver alone reads."""
+    import tempfile
+    from pathlib import Path
+
+    _, at, m = _exported(s, d)
+    with tempfile.TemporaryDirectory(prefix="sitemill-bundle-") as top:
+        own = Path(top) / "export"
+        own.mkdir()
+        names = ["rank.jsonl", "swap.jsonl", "manifest.json"]
+        for r in s.read.format("binaryFile").load([f"{at}/{n}" for n in names]).select("path", "content").toLocalIterator():
+            (own / r["path"].rpartition("/")[2]).write_bytes(bytes(r["content"]))
+        files.bundle(str(own), f"{top}/bundle", names)
+        got = files.fetch(f"file://{top}/bundle", f"{top}/fetched")
+        rows = [(n, n not in m["files"] or hashlib.sha256((Path(top) / "fetched" / n).read_bytes()).hexdigest() == m["files"][n]) for n in got]
+    return s.createDataFrame(rows, "name string, agrees boolean")
+
+
+@query("src_prefetch", sql("SELECT context_id, array_to_string(list_sort(list(candidate)), ',') AS candidates FROM pool WHERE context_id LIKE '%_1' GROUP BY context_id"))
 def src_prefetch(s, d):
-    p = Corpus(s, d).pools.groupBy("context_id").agg(F.collect_list("candidate").alias("c"))
-    return p.select("context_id", F.size("c").cast("long").alias("n"))
+    """Candidates of wanted contexts (here each order's first); a wanted one that has none is an error."""
+    p = Corpus(s, d).pools
+    want = p.where("context_id LIKE '%\\_1'").select("context_id").distinct()
+    g = p.groupBy("context_id").agg(F.array_sort(F.collect_list("candidate")).alias("c"))
+    c = F.when(F.col("c").isNotNull(), F.col("c")).otherwise(F.raise_error(F.lit("a wanted context has no candidates")).cast("array<string>"))
+    return want.join(g, "context_id", "left").select("context_id", joined(c).alias("candidates"))
 
 
 @query("src_csv_annotation", f"WITH {_LAB} SELECT doc_id, a AS label, clustering FROM lab")
@@ -653,19 +763,43 @@ def src_csv_annotation(s, d):
     return x.select("doc_id", label.alias("label"), (F.col("clustering") == "True").alias("clustering"))
 
 
-@query("src_adapter_convert")
+@query("src_adapter_convert", sql("SELECT 'contexts' AS name, count(*) AS n, count(DISTINCT context_id) AS ids FROM ctx WHERE split = 'test' UNION ALL SELECT 'papers', count(*), count(DISTINCT id) FROM paper UNION ALL SELECT 'with_authors', count(*), count(DISTINCT id) FROM paper WHERE id::INT % 2 = 0"))
 def src_adapter_convert(s, d):
-    _, at = _written(s, d)
-    return s.read.schema(files.CONTEXT).json(f"{at}/contexts").agg(F.count("*").alias("contexts"))
-
-
-_CHECK = "SELECT 'duplicate_context' AS \"check\", conv_id::VARCHAR AS id FROM conversations GROUP BY conv_id HAVING count(*) > 1 UNION ALL SELECT 'targets', conv_id::VARCHAR FROM conversations"
+    """A corpus written in the contract's files and read again, with a manifest's counts; of authors that are one string, words apart by commas make a list, an empty one none."""
+    c, at = Corpus(s, d), _folder(s)
+    c.ctx.select("context_id", "citing_id", "refid", F.lit("x [1]").alias("raw"), F.lit("x TARGETCIT").alias("masked_text")).write.json(f"{at}/contexts")
+    raw = F.when(F.col("id").cast("int") % 2 == 0, F.concat("title", F.lit(", "), "id")).otherwise("")
+    c.papers.withColumn("authors", F.filter(F.transform(F.split(raw, ","), F.trim), lambda x: x != "")).write.json(f"{at}/papers")
+    x, p = s.read.schema(files.CONTEXT).json(f"{at}/contexts"), s.read.schema(files.PAPER).json(f"{at}/papers")
+    row = lambda df, name, key: df.agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.count_distinct(key).alias("ids"))
+    return row(x, "contexts", "context_id").unionByName(row(p, "papers", "id")).unionByName(row(p.where(F.size("authors") > 0), "with_authors", "id"))
+
+
+_CHECK = """WITH c AS (
+  SELECT conv_id || '_' || CASE WHEN turn % 7 = 3 THEN turn - 1 ELSE turn END AS context_id, conv_id AS citing_id, 'r' || (turn % 5) AS refid, turn,
+    CASE (conv_id + turn) % 4 WHEN 0 THEN ' ' WHEN 1 THEN 'x [1] y' WHEN 2 THEN 'TARGETCIT and TARGETCIT' ELSE 'x TARGETCIT y' END AS masked, CASE WHEN conv_id % 10 = 0 AND turn % 2 = 1 THEN 'val' ELSE 'train' END AS split FROM (SELECT DISTINCT conv_id, turn FROM conversations)
+)
+SELECT 'duplicate_context' AS "check", context_id AS id FROM c GROUP BY context_id HAVING count(*) > 1
+UNION ALL SELECT 'unknown_reference', context_id FROM c WHERE refid NOT IN ('r0', 'r1', 'r2', 'r3')
+UNION ALL SELECT 'empty_window', context_id FROM c WHERE trim(masked) = ''
+UNION ALL SELECT 'targets', context_id FROM c WHERE (conv_id_turn(citing_id, turn)) <> 3
+UNION ALL SELECT 'split_overlap', citing_id::VARCHAR FROM c GROUP BY citing_id HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'authors', 'r3'
+UNION ALL SELECT 'unalignable', 'corpus' FROM (SELECT avg((conv_id_turn(citing_id, turn) IN (1, 2, 3))::INT) AS rate FROM c) WHERE rate > 0.5
+UNION ALL SELECT 'missing_file', 'splits/test.json'""".replace("conv_id_turn(citing_id, turn)", "(citing_id + turn) % 4")
 
 
 @query("an_validate_corpus", _CHECK)
 def an_validate_corpus(s, d):
-    c = _t(s, d, "conversations").select(F.col("conv_id").alias("context_id"), F.col("conv_id").alias("citing_id"), F.lit("p").alias("refid"), F.concat(F.lit("t "), "text").alias("masked"))
-    return validate.validate(c, s.createDataFrame([("p",)], "id string"), c.select("context_id", F.lit("a").alias("split")))
+    """A corpus made to fail each check, from conversations and their turns."""
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    c = _t(s, d, "conversations").select("conv_id", "turn").distinct()
+    c = c.select(
+        F.concat_ws("_", "conv_id", F.when(F.col("turn") % 7 == 3, F.col("turn") - 1).otherwise(F.col("turn"))).alias("context_id"), F.col("conv_id").alias("citing_id"), F.concat(F.lit("r"), (F.col("turn") % 5).cast("string")).alias("refid"),
+        F.when(k == 0, "x [1] y").otherwise("z").alias("raw"), F.when(k == 0, " ").when(k == 1, "x [1] y").when(k == 2, "TARGETCIT and TARGETCIT").otherwise("x TARGETCIT y").alias("masked"), F.when((F.col("conv_id") % 10 == 0) & (F.col("turn") % 2 == 1), "val").otherwise("train").alias("split"),
+    )
+    papers = s.range(4).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), F.when(F.col("id") < 3, '["A. One"]').otherwise('"A. One"').alias("authors"))
+    return validate.validate(c, papers, None, {"contexts.jsonl": True, "papers.jsonl": True, "splits/test.json": False})
 
 
 # --- sequential completion
@@ -673,10 +807,17 @@ def an_validate_corpus(s, d):
 
 @query("an_completion")
 def an_completion(s, d):
-    """Recall by step of the arm that takes its own picks as anchors; a site's candidates and associations are one small group."""
-    from ..operators.completion import complete
+    """mode, arm, references, step, recall, remaining, papers: five arms, three seeds, with a revealed reference and without, by how many references the site has."""
+    from ..operators.completion import ARMS, complete
 
-    return complete(Corpus(s, d)).groupBy("step").agg(F.avg("recall").alias("recall"))
+    c, out = Corpus(s, d), None
+    size = F.when(F.col("size") <= 3, "2-3").when(F.col("size") <= 6, "4-6").otherwise("7-")
+    for mode, reveal in (("revealed", True), ("self", False)):
+        r = complete(c, ARMS, reveal=reveal).withColumn("mode", F.lit(mode)).withColumn("references", F.explode(F.array(F.lit("all"), size)))
+        r = r.groupBy("mode", "arm", "references", "step", "citing_id").agg(F.avg("recall").alias("recall"), F.avg("remaining").alias("remaining"))
+        r = r.groupBy("mode", "arm", "references", "step").agg(F.avg("recall").alias("recall"), F.avg("remaining").alias("remaining"), F.count("*").alias("papers"))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 # --- annotation sample, tiers' gains, reports
@@ -722,29 +863,60 @@ def win_seed_quality(s, d):
     """Recall after 20 picks by whether the first pick was right."""
     from ..operators.completion import complete
 
-    r = complete(Corpus(s, d))
+    r = complete(Corpus(s, d), ("hybrid_retrieved",), (0,))
     first = r.where("step = 1").select("citing_id", "location", (F.col("remaining") > 0).alias("right"))
     return r.where("step = 20").join(first, ["citing_id", "location"]).groupBy("right").agg(F.avg("recall").alias("recall"), F.count("*").alias("n"))
 
 
-@query("smp_cell_quotas")
+_WANT, _SHARES = {0: 20, 1: 15, 2: 10}, {"near": 2.0, "far": 1.0}
+
+
+def _drawn(s, d):
+    from ..operators.annotation import draw
+
+    a = Corpus(s, d).ctx.select((F.col("location") % 3).cast("long").alias("cell"), F.when(F.col("refid").cast("int") % 3 == 0, "far").otherwise("near").alias("tier"), "citing_id", "context_id", "refid")
+    out = a.where("context_id LIKE '%7_1'").select("context_id")
+    return a, draw(a, _WANT, shares=_SHARES, exclude=out)
+
+
 @query("smp_draw")
-@query("an_annotation_sample")
 def smp_draw(s, d):
-    """item per cell and paper: at most 2 of a paper across cells in order, quotas by cell, short cells left short."""
-    from ..operators.annotation import draw
+    """At most 2 items of a paper across cells in order, quotas by cell and tier, excluded ones left out, short cells left short."""
+    return _drawn(s, d)[1]
+
 
-    a = Corpus(s, d).ctx.select((F.col("location") % 3).cast("long").alias("cell"), "citing_id", "context_id")
-    return draw(a, {0: 20, 1: 15, 2: 10})
+@query("smp_cell_quotas")
+def smp_cell_quotas(s, d):
+    """cell, tier, quota, drawn."""
+    from ..operators.annotation import quotas
 
+    rows = [(c, t, q) for c, n in _WANT.items() for t, q in zip(_SHARES, quotas(n, list(_SHARES.values())))]
+    n = _drawn(s, d)[1].groupBy("cell", "tier").agg(F.count("*").alias("drawn"))
+    return s.createDataFrame(rows, "cell long, tier string, quota long").join(n, ["cell", "tier"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
 
-@query("smp_substitute", sql("SELECT context_id, anchor, m.id AS stand_in FROM (SELECT context_id, unnest(anchors) AS anchor FROM anc) JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT refid AS id FROM ctx WHERE split = 'train')) m ON k = ('0x' || substr(md5('0:random:' || context_id || ':' || anchor), 1, 8))::BIGINT % (SELECT count(DISTINCT refid) FROM ctx WHERE split = 'train')"))
+
+@query("an_annotation_sample")
+def an_annotation_sample(s, d):
+    """The sheets of two readers, each in an order of its own, with the key: reader, place, item_id, context_id, cell, tier, cell_population, cell_drawn."""
+    from ..operators.annotation import sheets
+
+    return sheets(_drawn(s, d)[1], ("A", "B"))
+
+
+@query("smp_substitute", sql("""SELECT 'random' AS arm, context_id, anchor, m.id AS stand_in FROM (SELECT context_id, unnest(anchors) AS anchor FROM anc) JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k FROM (SELECT DISTINCT refid AS id FROM ctx WHERE split = 'train')) m ON k = ('0x' || substr(md5('0:random:' || context_id || ':' || anchor), 1, 8))::BIGINT % (SELECT count(DISTINCT refid) FROM ctx WHERE split = 'train')
+UNION ALL SELECT 'degree', context_id, anchor, m.id FROM (SELECT context_id, unnest(anchors) AS anchor FROM anc) x LEFT JOIN bins b ON b.id = anchor JOIN members m ON m.bin = coalesce(b.bin, (SELECT min(bin) FROM bins)) AND m.k = ('0x' || substr(md5('0:deg:' || context_id || ':' || anchor), 1, 8))::BIGINT % m.size""",
+  "bins AS (SELECT id, floor(log2(greatest(coalesce(m, 0), 1)))::BIGINT AS bin FROM (SELECT DISTINCT refid AS id FROM ctx WHERE split = 'train') LEFT JOIN marg USING (id))",
+  "members AS (SELECT id, bin, row_number() OVER (PARTITION BY bin ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY bin) AS size FROM bins)"))
 def smp_substitute(s, d):
+    """A stand-in of each anchor: any reference of the graph, or one of like degree."""
+    from .citation import smp_degree_matched
+
     c = Corpus(s, d)
     v = graph.vocabulary(c.train)
     members, size = v.withColumn("k", F.row_number().over(W.orderBy("id")) - 1), v.agg(F.count("*").alias("size"))
     k = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("0"), F.lit("random"), "context_id", "anchor").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("size")
-    return c.used.select("context_id", F.explode("used").alias("anchor")).crossJoin(F.broadcast(size)).withColumn("k", k).join(members, "k").select("context_id", "anchor", F.col("id").alias("stand_in"))
+    random = c.used.select("context_id", F.explode("used").alias("anchor")).crossJoin(F.broadcast(size)).withColumn("k", k).join(members, "k").select(F.lit("random").alias("arm"), "context_id", "anchor", F.col("id").alias("stand_in"))
+    return random.unionByName(smp_degree_matched(s, d).select(F.lit("degree").alias("arm"), "context_id", "anchor", "stand_in"))
 
 
 @query("an_provenance")

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import io
 import json
 import shutil
+import urllib.request
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..session import file_system
+
 CONTEXT = "context_id string, citing_id string, refid string, raw string, masked_text string"
 PAPER = "id string, title string, abstract string, authors array<string>"
 
@@ -35,7 +39,7 @@ def read_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 class JsonObjectSource(DataSource):
-    """A file that is one JSON object, as (key, value), read in constant memory: a record at a time."""
+    """Files that are one JSON object each, as (key, value), read in constant memory: a record at a time, a task for each file."""
 
     @classmethod
     def name(cls) -> str:
@@ -48,21 +52,41 @@ class JsonObjectSource(DataSource):
         return _ObjectReader(self.options["path"], int(self.options.get("buffer", 1 << 22)))
 
 
+class _Piece(InputPartition):
+    def __init__(self, path: str):
+        self.path = path
+
+
 class _ObjectReader(DataSourceReader):
     def __init__(self, path: str, buffer: int):
-        self.path, self.buffer = path.removeprefix("file://"), buffer
+        self.path, self.buffer = path, buffer
 
     def partitions(self):
-        return [InputPartition(0)]
+        from pyarrow.fs import FileSelector, FileType
+
+        fs, at = _store(self.path)
+        if fs.get_file_info(at).type == FileType.File:
+            return [_Piece(self.path)]
+        scheme = self.path.split("://")[0] + "://" if "://" in self.path else ""
+        found = [x.path for x in fs.get_file_info(FileSelector(at, recursive=True)) if x.type == FileType.File and not x.base_name.startswith(("_", "."))]
+        return [_Piece(scheme + x) for x in sorted(found)]
 
     def read(self, partition):
-        yield from object_items(self.path, self.buffer)
+        yield from object_items(partition.path, self.buffer)
+
+
+def _store(path: str):
+    """The store that a path or address names, and the path there."""
+    from pyarrow.fs import FileSystem, LocalFileSystem
+
+    return FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path.removeprefix("file:"))
 
 
 def object_items(path: str, buffer: int = 1 << 22):
     """(key, value as JSON) of a top-level object; an empty file has none, one that breaks off ends without an error."""
     decoder, text, at = json.JSONDecoder(), "", 0
-    with open(path, encoding="utf-8") as f:
+    fs, place = _store(path)
+    with io.TextIOWrapper(io.BufferedReader(fs.open_input_file(place)), encoding="utf-8") as f:
         opened = done = False
         while True:
             more = "" if done else f.read(buffer)
@@ -93,37 +117,48 @@ def _skip(text: str, at: int, what: str) -> int:
     return at
 
 
+def write_text(lines: DataFrame, path: str) -> None:
+    """A column of lines, in the order they have, as one file of that name, in any store that Spark writes to."""
+    spark = lines.sparkSession
+    lines.coalesce(1).write.text(path + ".parts")
+    fs, parts = file_system(spark, path + ".parts")
+    found = [x.getPath() for x in fs.listStatus(parts) if x.getPath().getName().startswith("part-")]
+    _, at = file_system(spark, path)
+    if not (fs.rename(found[0], at) if found else fs.createNewFile(at)):
+        raise ValueError(f"can't write {path}")
+    fs.delete(parts, True)
+
+
+def _digests(spark: SparkSession, path: str) -> dict[str, tuple[str, int]]:
+    """Digest and lines of each file of a folder, from where it is read."""
+    files_ = spark.read.format("binaryFile").load(path)
+    name = F.element_at(F.split("path", "/"), -1)
+    return {r["name"]: (r["sha"], r["n"]) for r in files_.select(name.alias("name"), F.sha2("content", 256).alias("sha"), F.regexp_count(F.decode("content", "UTF-8"), F.lit("\n")).cast("long").alias("n")).collect()}
+
+
 def export(frames: dict[str, DataFrame], folder: str, config: dict) -> dict:
-    """Each frame, ids and numbers only, as one sorted JSON-lines file, with a manifest of counts and digests.
+    """Each frame, ids and numbers only, as one JSON-lines file sorted by its first column, with a manifest of counts and digests.
 
-    An export is small (ids of one split); it goes out through the driver a row at a time."""
-    out = Path(folder)
-    out.mkdir(parents=True, exist_ok=True)
-    manifest: dict = {"schema": 1, "config": config, "counts": {}, "files": {}}
+    Spark writes the files, so the folder may be in any of its stores; an export is small (ids of one split)."""
+    spark = next(iter(frames.values())).sparkSession
     for name, df in frames.items():
-        digest, n = hashlib.sha256(), 0
-        with (out / f"{name}.jsonl").open("wb") as f:
-            for row in df.orderBy(df.columns[0]).toJSON().toLocalIterator():
-                line = row.encode() + b"\n"
-                digest.update(line)
-                f.write(line)
-                n += 1
-        manifest["counts"][name], manifest["files"][f"{name}.jsonl"] = n, digest.hexdigest()
-    (out / "manifest.json").write_text(json.dumps(manifest, indent=1, sort_keys=True))
+        write_text(df.repartition(1).sortWithinPartitions(*df.columns).select(F.to_json(F.struct(*df.columns))), f"{folder}/{name}.jsonl")
+    found = _digests(spark, folder)
+    manifest = {"schema": 1, "config": config, "counts": {n: found[f"{n}.jsonl"][1] for n in frames}, "files": {f"{n}.jsonl": found[f"{n}.jsonl"][0] for n in frames}}
+    write_text(spark.range(1).select(F.lit(json.dumps(manifest, sort_keys=True))), f"{folder}/manifest.json")
     return manifest
 
 
-def verify_export(folder: str) -> list[str]:
+def verify_export(spark: SparkSession, folder: str) -> list[str]:
     """What is wrong with an exported folder; nothing if all digests and counts agree."""
-    root = Path(folder)
-    manifest, wrong = json.loads((root / "manifest.json").read_text()), []
+    manifest = json.loads(spark.read.text(f"{folder}/manifest.json", wholetext=True).first()[0])
+    found, wrong = _digests(spark, folder), []
     for name, want in manifest["files"].items():
-        data = (root / name).read_bytes() if (root / name).is_file() else None
-        if data is None:
+        if name not in found:
             wrong.append(f"{name} is missing")
-        elif hashlib.sha256(data).hexdigest() != want:
+        elif found[name][0] != want:
             wrong.append(f"{name} has another digest")
-        elif data.count(b"\n") != manifest["counts"][name.removesuffix(".jsonl")]:
+        elif found[name][1] != manifest["counts"][name.removesuffix(".jsonl")]:
             wrong.append(f"{name} has another number of rows")
     return wrong
 
@@ -147,10 +182,33 @@ def bundle(source: str, target: str, allowed: list[str], forbidden: tuple[str, .
     return files
 
 
-def fetch(source: str, target: str, limit: int = 1 << 32) -> list[str]:
-    """A bundle from a folder or file:// address: names are confined, sizes limited, digests checked, and all files move in at once or none."""
-    src, dst = Path(source.removeprefix("file://")), Path(target)
-    listed = json.loads((src / "MANIFEST.json").read_text())["files"]
+class _Redirects(urllib.request.HTTPRedirectHandler):
+    """Follows a few redirects, and only to addresses that are as safe."""
+
+    max_redirections, max_repeats = 5, 2
+
+    def redirect_request(self, req, fp, code, msg, headers, newurl):
+        kind = newurl.split(":")[0].lower()
+        if kind not in ("http", "https") or req.full_url.lower().startswith("https:") and kind != "https":
+            raise ValueError(f"a redirect leads to {newurl!r}")
+        return super().redirect_request(req, fp, code, msg, headers, newurl)
+
+
+def _opened(source: str, name: str, timeout: float):
+    """A file of a bundle, from a folder, a file:// or an http(s):// address."""
+    if source.startswith(("http://", "https://")):
+        return urllib.request.build_opener(_Redirects).open(f"{source.rstrip('/')}/{name}", timeout=timeout)
+    return (Path(source.removeprefix("file://")) / name).open("rb")
+
+
+def fetch(source: str, target: str, limit: int = 1 << 32, manifest_limit: int = 1 << 20, timeout: float = 60.0) -> list[str]:
+    """A bundle from a folder, or a file:// or http(s):// address: names are confined, sizes and redirects limited, digests checked, and all files move in at once or none."""
+    dst = Path(target)
+    with _opened(source, "MANIFEST.json", timeout) as f:
+        data = f.read(manifest_limit + 1)
+    if len(data) > manifest_limit:
+        raise ValueError("the manifest is too large")
+    listed = json.loads(data)["files"]
     for name, x in listed.items():
         if Path(name).name != name or name in ("", ".", ".."):
             raise ValueError(f"{name!r} leads out of the folder")
@@ -162,7 +220,7 @@ def fetch(source: str, target: str, limit: int = 1 << 32) -> list[str]:
     try:
         for name, x in listed.items():
             digest, n = hashlib.sha256(), 0
-            with (src / name).open("rb") as a, (stage / name).open("wb") as b:
+            with _opened(source, name, timeout) as a, (stage / name).open("wb") as b:
                 while part := a.read(1 << 20):
                     n += len(part)
                     if n > x["bytes"]:

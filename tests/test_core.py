@@ -136,7 +136,7 @@ def test_export_bundle_and_fetch(spark, tmp_path):
     d = spark.createDataFrame([("b", 1), ("a", 2)], "id string, n long")
     files.export({"rows": d}, str(tmp_path / "e"), {})
     assert (tmp_path / "e/rows.jsonl").read_text().splitlines()[0] == '{"id":"a","n":2}'
-    assert files.verify_export(str(tmp_path / "e")) == []
+    assert files.verify_export(spark, str(tmp_path / "e")) == []
     files.bundle(str(tmp_path / "e"), str(tmp_path / "b"), ["rows.jsonl", "manifest.json"])
     assert files.fetch(f"file://{tmp_path}/b", str(tmp_path / "f")) == ["manifest.json", "rows.jsonl"]
     (tmp_path / "b/rows.jsonl").write_text("x")
@@ -144,7 +144,7 @@ def test_export_bundle_and_fetch(spark, tmp_path):
         files.fetch(str(tmp_path / "b"), str(tmp_path / "g"))
     assert not (tmp_path / "g").exists()
     (tmp_path / "e/rows.jsonl").write_text("x")
-    assert files.verify_export(str(tmp_path / "e")) == ["rows.jsonl has another digest"]
+    assert files.verify_export(spark, str(tmp_path / "e")) == ["rows.jsonl has another digest"]
     with pytest.raises(ValueError):
         files.bundle(str(tmp_path / "e"), str(tmp_path / "b"), ["rows.jsonl"])
     with pytest.raises(ValueError):
