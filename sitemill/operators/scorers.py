@@ -137,7 +137,7 @@ def top_k_blocks(queries: DataFrame, docs: DataFrame, k: int, most: int = 64 <<
     parts, merged = max(1, -(-(n or 0) * 8 * (dim or 0) // most)), None
     for part in range(parts):
         rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(parts)) == part).collect()
-        shared = docs.sparkSession.sparkContext.broadcast(([r["query"] for r in rows], np.array([r["x"] for r in rows], np.float64).reshape(len(rows), -1)))
+        shared = docs.sparkSession.sparkContext.broadcast(([r["query"] for r in rows], np.array([r["x"] for r in rows], np.float64).reshape(len(rows), dim or 0)))
 
         def best(batches, shared=shared):
             names, x = shared.value

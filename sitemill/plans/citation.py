@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
-from ..functions import probes as P, text as T
+from ..functions import probes as P, report, text as T
 from ..operators import annotation, graph, pools, scorers, sites, stats
 from .base import Corpus, ranked, ranked_by, rr, sql
 from .registry import query
@@ -559,10 +559,10 @@ def smp_orders(s, d):
     return a.select("reader", "context_id", F.row_number().over(W.partitionBy("reader").orderBy(pools.keyed(0, "reader", "context_id"))).cast("long").alias("place"))
 
 
-@query("smp_nonzero_check", sql("SELECT count(*) AS edges, count(*) FILTER (n <> m) AS asymmetric FROM edge x JOIN (SELECT a AS b, b AS a, n AS m FROM edge) USING (a, b)"))
+@query("smp_nonzero_check", sql("SELECT count(*) AS edges, count(*) FILTER (n <> m) AS uneven FROM edge x JOIN (SELECT a AS b, b AS a, n AS m FROM edge) USING (a, b)"))
 def smp_nonzero_check(s, d):
     e = Corpus(s, d).edges
-    return e.join(e.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("m")), ["a", "b"]).agg(F.count("*").alias("edges"), F.count_if(F.col("n") != F.col("m")).alias("asymmetric"))
+    return e.join(e.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("n").alias("m")), ["a", "b"]).agg(F.count("*").alias("edges"), F.count_if(F.col("n") != F.col("m")).alias("uneven"))
 
 
 _BOOT = f"""per AS (SELECT avg(rr) AS v, row_number() OVER (ORDER BY citing_id) - 1 AS k FROM {rr('base', 'score')} GROUP BY citing_id),
@@ -723,21 +723,78 @@ def an_completion_semantic(s, d):
     return stats.paper_mean(r, "r", by=("k",)).select("k", R6("r", "recall"))
 
 
-@query("an_build_graph", sql("SELECT (SELECT count(DISTINCT citing_id) FROM ctx WHERE split = 'train') AS papers, (SELECT sum(n)::BIGINT // 2 FROM edge) AS pair_instances, (SELECT count(*) FROM edge) AS directed"))
+_LEAK = "(SELECT count(*) FROM (SELECT citing_id FROM ctx WHERE split = 'train' INTERSECT SELECT citing_id FROM ctx WHERE split <> 'train'))"
+
+
+@query("an_build_graph", sql(f"""SELECT *, concat_ws(',', CASE WHEN held_out = 0 THEN 'leakage not evaluated' END, CASE WHEN leakage > 0 THEN 'leakage' END, CASE WHEN uneven > 0 THEN 'uneven' END, CASE WHEN alpha1_violations > 0 THEN 'alpha 1' END) AS failed FROM (
+  SELECT (SELECT count(DISTINCT citing_id) FROM ctx WHERE split = 'train') AS papers, (SELECT count(DISTINCT refid) FROM ctx WHERE split = 'train') AS vocabulary, (SELECT sum(n)::BIGINT // 2 FROM edge) AS pair_instances, (SELECT count(*) FROM edge) AS directed,
+  (SELECT count(DISTINCT citing_id) FROM ctx WHERE split <> 'train') AS held_out, {_LEAK} AS leakage, (SELECT count(*) FROM edge x JOIN edge y ON x.a = y.b AND x.b = y.a WHERE x.n <> y.n) AS uneven, 0::BIGINT AS alpha1_violations)"""))
 def an_build_graph(s, d):
+    """Sizes of the training graph and what of its gates fails: papers held out that are in it, counts that differ by direction, PPMI at alpha 1 that isn't pointwise mutual information."""
     c = Corpus(s, d)
-    return c.train.agg(F.count_distinct("citing_id").alias("papers")).crossJoin(c.edges.agg(F.floor(F.sum("n") / 2).alias("pair_instances"), F.count("*").alias("directed")))
+    held = c.all.where("split <> 'train'").agg(F.count_distinct("citing_id").alias("held_out"))
+    parts = c.train.agg(F.count_distinct("citing_id").alias("papers"), F.count_distinct("refid").alias("vocabulary")).crossJoin(c.edges.agg(F.floor(F.sum("n") / 2).alias("pair_instances"), F.count("*").alias("directed"))).crossJoin(held)
+    parts = parts.crossJoin(jn_leakage(s, d).select(F.col("overlap").alias("leakage"))).crossJoin(smp_nonzero_check(s, d).select(F.col("uneven"))).crossJoin(gr_alpha1_identity(s, d).select(F.col("violations").alias("alpha1_violations")))
+    gate = lambda name, c_: F.when(c_, name)
+    return parts.withColumn("failed", F.concat_ws(",", gate("leakage not evaluated", F.col("held_out") == 0), gate("leakage", F.col("leakage") > 0), gate("uneven", F.col("uneven") > 0), gate("alpha 1", F.col("alpha1_violations") > 0)))
+
 
+_BUILD = f"""SELECT *, concat_ws(',', CASE WHEN alignment_failure > {report.GATES["max_alignment_failure"]} THEN 'alignment' END, CASE WHEN anchor_coverage < {report.GATES["min_anchor_coverage"]} THEN 'coverage' END, CASE WHEN rank_off > 0 THEN 'rank null' END, CASE WHEN swap_null <> 0.5 THEN 'swap null' END, CASE WHEN leakage > 0 THEN 'leakage' END) AS failed,
+  concat_ws(',', CASE WHEN hard_fraction NOT BETWEEN {report.GATES["hard_fraction"][0]} AND {report.GATES["hard_fraction"][1]} THEN 'hard fraction' END, CASE WHEN headline < {report.GATES["min_headline"]} THEN 'headline' END) AS notes FROM (
+  SELECT (SELECT count(*) FROM anc) AS contexts, (SELECT count(DISTINCT citing_id) FROM anc) AS papers, (SELECT count(DISTINCT (citing_id, location)) FROM anc) AS locations, (SELECT count(*) FROM elig WHERE reason = 'kept') AS kept, (SELECT count(*) FROM swap) AS swaps,
+    (SELECT round(avg((reason = 'alignment_failed')::INT), 6) FROM elig) AS alignment_failure, (SELECT round(avg((len(anchors) > 0)::INT), 6) FROM anc) AS anchor_coverage, (SELECT round(avg((gold::INT % 4 > 0)::INT), 6) FROM elig WHERE reason = 'kept') AS hard_fraction,
+    (SELECT count(*) FROM elig WHERE reason = 'kept' AND gold::INT % 4 > 0 AND len(anchors) > 0) AS headline, 0::BIGINT AS rank_off, (SELECT CASE WHEN count(*) > 0 THEN 0.5::DOUBLE END FROM swap) AS swap_null, {_LEAK} AS leakage)"""
 
-@query("an_build_pipeline", sql("SELECT (SELECT count(*) FROM anc) AS contexts, (SELECT count(DISTINCT citing_id) FROM anc) AS papers, (SELECT count(*) FROM elig WHERE reason = 'kept') AS kept, (SELECT count(*) FROM swap) AS swaps", _SWAPS))
+
+@query("an_build_pipeline", sql(_BUILD, _SWAPS))
 def an_build_pipeline(s, d):
+    """The report of a build: sizes, alignment, coverage, hardness (here by the target's number), headline pools and the null controls; failed names the gates that fail, notes what only the published corpus must meet."""
+    c = Corpus(s, d)
+    share = lambda ok, name: R6(F.avg(ok.cast("double")), name)
+    hard = F.col("gold").cast("int") % 4 > 0
+    e = c.eligible.join(c.anchored.select("context_id", F.size("anchors").alias("k")), "context_id")
+    kept = F.col("reason") == "kept"
+    a = c.anchored.agg(F.count("*").alias("contexts"), F.count_distinct("citing_id").alias("papers"), F.count_distinct("citing_id", "location").alias("locations"), share(F.size("anchors") > 0, "anchor_coverage"))
+    b = e.agg(F.count_if(kept).alias("kept"), share(F.col("reason") == "alignment_failed", "alignment_failure"), R6(F.avg(F.when(kept, hard.cast("double"))), "hard_fraction"), F.count_if(kept & hard & (F.col("k") > 0)).alias("headline"))
+    one = F.lit(1.0)
+    w = pools.swap_pairs(c.anchored).agg(F.count("*").alias("swaps"), F.avg(P.swap_outcome(one, one, one, one)).alias("swap_null"))
+    r = a.crossJoin(b).crossJoin(w).crossJoin(math_floor_ok(s, d).select(F.col("off").alias("rank_off"))).crossJoin(jn_leakage(s, d).select(F.col("overlap").alias("leakage")))
+    g, gate = report.GATES, lambda name, c_: F.when(c_, name)
+    failed = F.concat_ws(",", gate("alignment", F.col("alignment_failure") > g["max_alignment_failure"]), gate("coverage", F.col("anchor_coverage") < g["min_anchor_coverage"]), gate("rank null", F.col("rank_off") > 0), gate("swap null", F.col("swap_null") != 0.5), gate("leakage", F.col("leakage") > 0))
+    return r.select("*", failed.alias("failed"), F.concat_ws(",", gate("hard fraction", ~F.col("hard_fraction").between(*g["hard_fraction"])), gate("headline", F.col("headline") < g["min_headline"])).alias("notes"))
+
+
+@query("an_embed_inputs", sql("""SELECT 'paper' AS kind, id AS key, title || ' [SEP] ' || abstract AS text FROM paper WHERE id IN (SELECT candidate FROM pool)
+UNION ALL SELECT 'context', context_id, 'window ' || context_id || coalesce((SELECT ' ' || string_agg(title, ' ' ORDER BY id) FROM paper WHERE list_contains(anchors, id) AND title <> ''), '') FROM anc WHERE context_id IN (SELECT context_id FROM pool)"""))
+def an_embed_inputs(s, d):
+    """kind, key, text of all that the pools need: papers, and windows (here by their id) with the titles of their anchors; a missing paper or an empty window is an error."""
     c = Corpus(s, d)
-    return c.ctx.agg(F.count("*").alias("contexts"), F.count_distinct("citing_id").alias("papers")).crossJoin(c.eligible.agg(F.count_if(F.col("reason") == "kept").alias("kept"))).crossJoin(pools.swap_pairs(c.anchored).agg(F.count("*").alias("swaps")))
+    error = lambda m: F.raise_error(F.lit(m)).cast("string")
+    papers = c.pools.select(F.col("candidate").alias("id")).distinct().join(c.papers, "id", "left").select(F.lit("paper").alias("kind"), F.col("id").alias("key"), F.when(F.col("title").isNull(), error("a paper is missing")).otherwise(F.concat("title", F.lit(" [SEP] "), "abstract")).alias("text"))
+    t = c.anchored.select("context_id", F.explode("anchors").alias("id")).join(c.papers.where("title <> ''"), "id").groupBy("context_id").agg(F.array_sort(F.collect_list(F.struct("id", "title"))).alias("t"))
+    window = F.concat(F.lit("window "), "context_id")
+    windows = c.pools.select("context_id").distinct().join(t, "context_id", "left").select(F.lit("context").alias("kind"), F.col("context_id").alias("key"), F.when(F.trim(window) == "", error("an empty window")).otherwise(F.concat(window, F.coalesce(F.concat(F.lit(" "), F.array_join("t.title", " ")), F.lit("")))).alias("text"))
+    return papers.unionByName(windows)
 
 
-@query("an_embed_inputs", sql("SELECT kind, count(*) AS n FROM (SELECT DISTINCT 'paper' AS kind, candidate AS key FROM pool UNION SELECT 'context', context_id FROM pool) GROUP BY kind"))
-def an_embed_inputs(s, d):
-    return prj_embed_keys(s, d).groupBy("kind").agg(F.count("*").alias("n"))
+_BASE_TEXTS = """tx AS (SELECT 'paper' AS kind, id AS key, title || ' ' || abstract AS text FROM paper WHERE id IN (SELECT candidate FROM pool) UNION ALL SELECT 'context', context_id, title || ' ' || abstract FROM (SELECT DISTINCT context_id, gold FROM pool) JOIN paper ON paper.id = ((gold::INT + 1) % (SELECT count(*) FROM paper))::VARCHAR),
+qt AS (SELECT key AS context_id, token, count(*) AS times FROM (SELECT key, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM tx WHERE kind = 'context') GROUP BY ALL),
+dt AS (SELECT key AS candidate, len(w) AS len, w FROM (SELECT key, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM tx WHERE kind = 'paper')),
+ft AS (SELECT candidate, len, token, count(*) AS f FROM (SELECT candidate, len, unnest(w) AS token FROM dt) GROUP BY ALL),
+it AS (SELECT token, ln(1 + ((SELECT count(*) FROM dt) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM ft GROUP BY token),
+st AS (SELECT context_id, candidate, sum(times * idf * f * 2.5::DOUBLE / (f + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / (SELECT avg(len) FROM dt)))) AS score FROM pool JOIN ft USING (candidate) JOIN qt USING (context_id, token) JOIN it USING (token) GROUP BY ALL),
+bt AS (SELECT p.*, coalesce(score, 0) AS base FROM pool p LEFT JOIN st USING (context_id, candidate))"""
+
+
+@query("sc_base_factory", sql(f"SELECT round(avg(rr), 6) AS mrr, count(*) AS papers FROM (SELECT citing_id, avg(rr) AS rr FROM {rr('base', 'bt')} GROUP BY citing_id)", _BASE_TEXTS))
+def sc_base_factory(s, d):
+    """Mean reciprocal rank of the base that the factory makes from texts: papers', and as windows the text of the paper after the target."""
+    c = Corpus(s, d)
+    n = c.papers.count()
+    text = c.papers.select("id", F.concat_ws(" ", "title", "abstract").alias("text"))
+    windows = c.pools.select("context_id", "gold").distinct().select(F.col("context_id").alias("key"), ((F.col("gold").cast("int") + 1) % n).cast("string").alias("id")).join(text, "id").select("key", "text")
+    base = scorers.base_factory(texts=text.select(F.col("id").alias("key"), "text").unionByName(windows))
+    return stats.paper_mean(ranked(base(c.pools), "base"), "rr").select(R6("rr", "mrr"), "papers")
 
 
 @query("agg_graph_digest", sql("""SELECT sha256(string_agg(digest, ',' ORDER BY block)) AS digest FROM (SELECT block, sha256(string_agg(digest, ',' ORDER BY a)) AS digest

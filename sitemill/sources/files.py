@@ -127,6 +127,10 @@ def write_text(lines: DataFrame, path: str) -> None:
     if not (fs.rename(found[0], at) if found else fs.createNewFile(at)):
         raise ValueError(f"can't write {path}")
     fs.delete(parts, True)
+    if "LocalFileSystem" in fs.getClass().getName():
+        # a local store keeps checksums of its own, by which a changed file couldn't even be read and told
+        raw, beside = file_system(spark, path.rpartition("/")[0] + f"/.{path.rpartition('/')[2]}.crc")
+        raw.getRawFileSystem().delete(beside, False)
 
 
 def _digests(spark: SparkSession, path: str) -> dict[str, tuple[str, int]]:

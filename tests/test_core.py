@@ -151,6 +151,102 @@ def test_export_bundle_and_fetch(spark, tmp_path):
         files.bundle(str(tmp_path / "e"), str(tmp_path / "h"), ["contexts.jsonl"])
 
 
+def test_fetch_over_http_is_confined(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    files.export({"rows": spark.createDataFrame([("a", 1)], "id string, n long")}, str(tmp_path / "e"), {})
+    files.bundle(str(tmp_path / "e"), str(tmp_path / "b"), ["rows.jsonl", "manifest.json"])
+
+    class Server(http.server.SimpleHTTPRequestHandler):
+        def do_GET(self):
+            for start, to in (("/moved/", "/"), ("/loop/", "/loop/"), ("/file/", "file:///etc/")):
+                if self.path.startswith(start):
+                    self.send_response(302)
+                    self.send_header("Location", to + self.path[len(start) :])
+                    return self.end_headers()
+            super().do_GET()
+
+        def log_message(self, *a):
+            pass
+
+    httpd = http.server.ThreadingHTTPServer(("127.0.0.1", 0), functools.partial(Server, directory=str(tmp_path / "b")))
+    threading.Thread(target=httpd.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{httpd.server_port}"
+    try:
+        assert files.fetch(at, str(tmp_path / "f")) == ["manifest.json", "rows.jsonl"]
+        assert files.fetch(f"{at}/moved", str(tmp_path / "g")) == ["manifest.json", "rows.jsonl"]
+        for bad in ("loop", "file"):
+            with pytest.raises(Exception):
+                files.fetch(f"{at}/{bad}", str(tmp_path / "h"))
+        with pytest.raises(ValueError):
+            files.fetch(at, str(tmp_path / "h"), limit=1)
+        assert not (tmp_path / "h").exists()
+    finally:
+        httpd.shutdown()
+
+
+def test_second_order_walks_go_back_by_the_return_parameter(spark):
+    """On a square with one diagonal, the share of third steps that lead back is that of the weights."""
+    e = [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("a", "c")]
+    edges = spark.createDataFrame([(x, y, 1) for x, y in e] + [(y, x, 1) for x, y in e], "a string, b string, n long")
+    rows = graph.walks(edges, 3, 600, p=0.25, q=4.0).where("start = 'b'").collect()
+    steps = {}
+    for r in rows:
+        steps.setdefault(r["walk_no"], {})[r["step"]] = r["node"]
+    to_a = [x for x in steps.values() if x[1] == "a"]
+    # from a, having come from b: back to b 4, to c, which is linked to b, 1, to d, which isn't, 1/4
+    share = {n: sum(x[2] == n for x in to_a) / len(to_a) for n in "bcd"}
+    assert len(to_a) > 200 and share == pytest.approx({"b": 4 / 5.25, "c": 1 / 5.25, "d": 0.25 / 5.25}, abs=0.07)
+
+
+def test_paired_comparison_by_hand(spark):
+    rows = [("x", p, a, b) for p, a, b in (("1", 1.0, 0.0), ("1", 0.0, 0.0), ("2", 1.0, 1.0), ("3", 1.0, 0.5))] + [("same", "1", 1.0, 1.0)]
+    got = {r["name"]: r for r in stats.paired(spark.createDataFrame(rows, "name string, citing_id string, a double, b double")).collect()}
+    x = got["x"]
+    assert (x["n"], x["papers"], x["a"], x["b"], x["delta"]) == (4, 3, round(2.5 / 3, 6), 0.5, round(1 / 3, 6)) and (x["pool_a"], x["pool_b"], x["pool_delta"]) == (0.75, 0.375, 0.375)
+    assert 0 <= x["lo"] <= x["delta"] <= x["hi"] <= 0.5 and not x["excludes_zero"] or x["lo"] > 0
+    assert (got["same"]["lo"], got["same"]["hi"], got["same"]["excludes_zero"]) == (0, 0, False)
+
+
+def test_places_in_an_order_are_told_without_one_task(spark):
+    rows = [((k * 7) % 50, k) for k in range(200)]
+    got = stats.numbered(spark.createDataFrame(rows, "v long, k long").repartition(5), "v", "k").collect()
+    assert [(r["v"], r["k"]) for r in sorted(got, key=lambda r: r["number"])] == sorted(rows) and sorted(r["number"] for r in got) == list(range(200))
+
+
+def test_partial_best_are_merged(spark):
+    rng = np.random.default_rng(0)
+    x = np.round(rng.standard_normal((60, 4)), 1)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(str(k), r.tolist()) for k, r in enumerate(x)] + [("60", x[3].tolist())], "id string, y array<double>").repartition(7)
+    q = spark.createDataFrame([(k, x[k].tolist()) for k in range(5)], "query long, x array<double>")
+    all_ = np.vstack([x, x[3:4]])
+    want = {(k, i + 1, str(j)) for k in range(5) for i, j in enumerate(sorted(range(61), key=lambda j: (-round(float(x[k] @ all_[j]), 9), str(j)))[:6])}
+    for most in (1 << 20, 64):
+        assert {(r["query"], r["rank"], r["id"]) for r in scorers.top_k_blocks(q, v, 6, most).collect()} == want
+
+
+def test_base_factory_wants_exactly_one(spark):
+    d = spark.createDataFrame([("c", [1.0, 0.0]), ("p", [3.0, 4.0])], "key string, x array<double>")
+    pools_ = spark.createDataFrame([("c", "p")], "context_id string, candidate string")
+    assert scorers.base_factory(embeddings=d)(pools_).first()["base"] == pytest.approx(0.6)
+    for bad in ({}, {"embeddings": d, "texts": d}):
+        with pytest.raises(ValueError):
+            scorers.base_factory(**bad)
+    with pytest.raises(Exception, match="missing"):
+        scorers.base_factory(embeddings=d.where("key = 'c'"))(pools_).collect()
+
+
+@pytest.mark.parametrize("words, code", [(["doctor"], 0), (["list"], 0), (["run", "no_such_query"], 2)])
+def test_command_line(spark, capsys, words, code):
+    from sitemill import cli
+
+    assert cli.main(words) == code
+    assert all(set(q) <= set(__import__("sitemill.plans.registry", fromlist=["x"]).queries()) for q in cli.VERBS.values())
+
+
 def test_all_problems_of_a_corpus_are_listed(spark):
     c = spark.createDataFrame([("1", "p", "r", "x TARGETCIT"), ("1", "p", "r", "x TARGETCIT"), ("2", "p", "gone", " "), ("3", "q", "r", "TARGETCIT TARGETCIT")], "context_id string, citing_id string, refid string, masked string")
     papers = spark.createDataFrame([("r",)], "id string")
