@@ -11,12 +11,13 @@ gives its probability, calibrated by a temperature on held-back documents.
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
+from xxhash import xxh64_intdigest
 
 from .common import Cached, map_arrow, texts_of
 from .labelled import PER_CLASS, held_out, sample, sigmoid
@@ -30,15 +31,24 @@ FLUSH = 200_000
 
 def form(word: str) -> int:
     """0 to 255: by case (lower, first letter, all, other, none), what follows (nothing, one mark of a sentence, several, other signs) and length."""
-    end = len(word)
-    while end and not word[end - 1].isalnum():
-        end -= 1
-    body, tail = word[:end], word[end:]
-    long = min(15, len(word))
-    if not body:
-        return 240 + long
-    case = 0 if body.islower() else 2 if len(body) > 1 and body.isupper() else 1 if body[0].isupper() and (len(body) == 1 or body[1:].islower()) else 3
-    after = 0 if not tail else 3 if tail.strip(".,;:!?)\"'") else 1 if len(tail) == 1 else 2
+    size = len(word)
+    long = size if size < 15 else 15
+    if word.isalnum():
+        body, after = word, 0
+    else:
+        end = size
+        while end and not word[end - 1].isalnum():
+            end -= 1
+        if not end:
+            return 240 + long
+        body, tail = word[:end], word[end:]
+        after = 0 if not tail else 3 if tail.strip(".,;:!?)\"'") else 1 if len(tail) == 1 else 2
+    if body.islower():
+        case = 0
+    elif body[0].isupper() and (len(body) == 1 or body[1:].islower()):
+        case = 1
+    else:
+        case = 2 if len(body) > 1 and body.isupper() else 3
     return min(14, case * 4 + after) * 16 + long
 
 
@@ -50,22 +60,28 @@ class Words:
 
     def __init__(self, head: dict[str, int]):
         self.head, self.known = head, Cached(self.add)
-        self.rows, self.places, self.signs = np.zeros(4096, np.int64), np.zeros((4096, NONZERO), np.int64), np.zeros((4096, NONZERO), np.int8)
+        self.n, self.hashes, self.found = len(head), array("Q"), array("q")
+        self.rows, self.places, self.signs = np.zeros(0, np.int64), np.zeros((0, NONZERO), np.int64), np.zeros((0, NONZERO), np.int8)
 
     def add(self, word: str) -> int:
-        k = len(self.known)
-        if k >= len(self.rows):
-            self.rows, self.places, self.signs = (np.concatenate([x, np.zeros_like(x)]) for x in (self.rows, self.places, self.signs))
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        self.rows[k] = r if (r := self.head.get(word)) is not None else len(self.head) + form(word)
-        self.places[k] = [(h >> 8 * j) % WIDTH for j in range(NONZERO)]
-        self.signs[k] = [1 - 2 * (h >> 40 + j & 1) for j in range(NONZERO)]
-        return k
+        row = self.head.get(word)
+        self.hashes.append(xxh64_intdigest(word.encode("utf-8", "surrogatepass")))
+        self.found.append(self.n + form(word) if row is None else row)
+        return len(self.known)
 
     def read(self, texts: list[str]) -> list[np.ndarray]:
         self.known.trim()
+        if not self.known:
+            self.rows, self.places, self.signs = self.rows[:0], self.places[:0], self.signs[:0]
         get = self.known.__getitem__
-        return [np.fromiter(map(get, w), np.int64, len(w)) for w in map(str.split, texts)]
+        lines = [np.fromiter(map(get, w), np.int64, len(w)) for w in map(str.split, texts)]
+        if self.hashes:
+            h, rows = np.array(self.hashes, np.uint64), np.array(self.found, np.int64)
+            self.hashes, self.found = array("Q"), array("q")
+            places = np.stack([(h >> np.uint64(8 * j)) % np.uint64(WIDTH) for j in range(NONZERO)], 1).astype(np.int64)
+            signs = np.stack([1 - 2 * (h >> np.uint64(40 + j) & np.uint64(1)).astype(np.int8) for j in range(NONZERO)], 1).astype(np.int8)
+            self.rows, self.places, self.signs = np.concatenate([self.rows, rows]), np.concatenate([self.places, places]), np.concatenate([self.signs, signs])
+        return lines
 
     def contexts(self, lines: list[np.ndarray], n: int) -> np.ndarray:
         """Sums, for each of n rows, of index vectors around its words."""
@@ -82,12 +98,12 @@ class Words:
                     total += np.bincount((self.rows[i, None] * WIDTH + self.places[j]).ravel(), self.signs[j].ravel(), n * WIDTH)
         return total.reshape(n, WIDTH)
 
-    def vectors(self, contexts: np.ndarray) -> np.ndarray:
-        """Vectors of all words met."""
-        k = len(self.known)
-        out = contexts[self.rows[:k]].astype(np.float64)
+    def vectors(self, contexts: np.ndarray, first: int = 0) -> np.ndarray:
+        """Vectors of all words met, from the first one asked for on."""
+        out = contexts[self.rows[first:]]
+        at = np.arange(len(out))
         for j in range(NONZERO):
-            np.add.at(out, (np.arange(k), self.places[:k, j]), self.signs[:k, j] / np.sqrt(NONZERO))
+            out[at, self.places[first:, j]] += self.signs[first:, j] / np.float32(np.sqrt(NONZERO))
         return out
 
 
@@ -140,7 +156,7 @@ def pooled(lines: list[np.ndarray], vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(lines), WIDTH + 1))
     for k, line in enumerate(lines):
         if len(line):
-            out[k, :WIDTH] = vectors[line].sum(0) / len(line)
+            out[k, :WIDTH] = vectors[line].sum(0, dtype=np.float64) / len(line)
             out[k, WIDTH] = np.log1p(len(line)) / 10
     return out
 
@@ -149,13 +165,18 @@ class Reader:
     """Texts to pooled vectors; vectors of words are made once."""
 
     def __init__(self, head: dict[str, int], contexts: np.ndarray):
-        self.words, self.contexts, self.made = Words(head), contexts, np.zeros((0, WIDTH))
+        self.words, self.contexts, self.made, self.n = Words(head), contexts.astype(np.float32), np.zeros((1 << 16, WIDTH), np.float32), 0
 
     def __call__(self, texts: list[str]) -> np.ndarray:
         lines = self.words.read(texts)
-        k = len(self.words.known)
-        if k != len(self.made):
-            self.made = self.words.vectors(self.contexts)
+        k = len(self.words.rows)
+        if k < self.n:  # they were forgotten
+            self.n = 0
+        if k > self.n:
+            while k > len(self.made):
+                self.made = np.concatenate([self.made, np.zeros_like(self.made)])
+            self.made[self.n : k] = self.words.vectors(self.contexts, self.n)
+            self.n = k
         return pooled(lines, self.made)
 
 
@@ -217,8 +238,8 @@ def rate(docs: DataFrame, model: tuple[dict[str, int], np.ndarray, Net]) -> Data
 
     Null and empty texts are the zero vector and get the network's score of it; texts of any length are read
     whole; repeated rows, and those with a null id, give a row each, a null id counting as empty text where rows
-    are held out; an empty table gives none; columns besides doc_id and text are not read. Equal texts have equal
-    scores; where nothing was learnt all have the same."""
+    are held out; an empty table gives none; columns besides doc_id and text are not read. Scores are rounded to 9
+    decimals, so that equal texts have equal ones in any batch; where nothing was learnt all have the same."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -226,6 +247,6 @@ def rate(docs: DataFrame, model: tuple[dict[str, int], np.ndarray, Net]) -> Data
         read = Reader(head, vectors)
         for b in batches:
             x = read(b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(sigmoid(net.logit(x)))], names=["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(np.round(sigmoid(net.logit(x)), 9))], names=["doc_id", "held_out", "score"])
 
     return map_arrow(texts_of(docs.withColumn("held_out", held_out()), "held_out"), run, "doc_id long, held_out boolean, score double")

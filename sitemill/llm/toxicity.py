@@ -139,8 +139,8 @@ class Field:
         return out
 
     def score(self, p: list[np.ndarray]) -> np.ndarray:
-        """Of documents with these marginals."""
-        return sigmoid(gathered(p) @ self.scale[:-1] + self.scale[-1])
+        """Of documents with these marginals; rounded, so that equal documents have equal scores in any batch."""
+        return np.round(sigmoid(gathered(p) @ self.scale[:-1] + self.scale[-1]), 9)
 
 
 def train(texts: list[str], y: list[int], weight: list[float], steps: int = 90, rate: float = 0.5, ridge: float = 1e-6) -> Field:
