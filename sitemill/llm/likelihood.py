@@ -20,11 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, crc_rest, map_arrow, texts_of, words_of
+from .common import Scratch, crc_rest, map_arrow, texts_of, together, words_of
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 HEAD, FLUSH = 500_000, 200_000
-_MUL, _MIX, _BITS = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 20
+_MUL, _MIX, _BITS = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15), 21
 _WORD_START = "▁"
 
 
@@ -40,8 +40,10 @@ class Lattice:
         h = np.array([self._hash(p) for p in pieces], np.uint64)
         self.order = np.argsort(h)
         self.sorted = h[self.order]
-        self.some = np.zeros(1 << _BITS, bool)
+        self.some, self.begun = np.zeros(1 << _BITS, bool), np.zeros(1 << _BITS, bool)
         self.some[(h * _MIX >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        begun = np.array([self._hash(b) for b in {p[:k] for p in pieces for k in range(1, len(p) + 1)}], np.uint64)
+        self.begun[(begun * _MIX >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
     @staticmethod
     def load(path: str = VOCABULARY) -> Lattice:
@@ -68,12 +70,17 @@ class Lattice:
         n, length = codes.shape
         out = []
         for i in range(length):
-            h = np.zeros(n, np.uint64)
+            h, alive = np.zeros(n, np.uint64), np.arange(n)
             for j in range(i + 1, min(length, i + self.longest) + 1):
-                h = h * _MUL + codes[:, j - 1] + np.uint64(1)
-                rows = np.flatnonzero(self.some[(h * _MIX >> np.uint64(64 - _BITS)).astype(np.int64)])
-                at = np.minimum(np.searchsorted(self.sorted, h[rows]), len(self.sorted) - 1)
-                ok = self.sorted[at] == h[rows]
+                h = h * _MUL + codes[alive, j - 1] + np.uint64(1)
+                place = (h * _MIX >> np.uint64(64 - _BITS)).astype(np.int64)
+                # only what some piece begins with goes on
+                on = np.flatnonzero(self.begun[place])
+                h, alive, place = h[on], alive[on], place[on]
+                some = np.flatnonzero(self.some[place])
+                rows = alive[some]
+                at = np.minimum(np.searchsorted(self.sorted, h[some]), len(self.sorted) - 1)
+                ok = self.sorted[at] == h[some]
                 rows, piece = rows[ok], self.order[at[ok]]
                 if len(rows):  # the hash alone could be that of another piece
                     ok = self.sizes[piece] == j - i
@@ -93,6 +100,8 @@ class Lattice:
                         # a vocabulary without that byte: as rare as its rarest piece
                         lp = sum(self.logp[b] if b is not None else self.logp.min() for b in own)
                         out.append((i, j, rest[inverse == k], None, lp, [b for b in own if b is not None]))
+                if not len(alive):
+                    break
         return out
 
     @staticmethod
@@ -199,7 +208,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
         """The words with their probability, then, without a word, the expected occurrences of pieces (numbered in c)."""
         lattice = first.value
         sums = np.zeros(len(lattice.logp))
-        for b in batches:
+        for b in together(batches):
             more, lp = lattice.expected(b.column("word").to_pylist(), b.column("c").to_numpy(zero_copy_only=False).astype(float))
             sums += more
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(lp / np.log(10))], names=["word", "c", "lp"])
@@ -215,7 +224,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     model = spark.sparkContext.broadcast(learned)
 
     def marginal(batches):
-        for b in batches:
+        for b in together(batches):
             more = model.value.scores(b.column("word").to_pylist()) / np.log(10)
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), b.column("lp"), pa.array(more)], names=["word", "c", "lp", "more"])
 
