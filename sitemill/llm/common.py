@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Rows and bytes that a Python worker unpacks at a time.
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
@@ -103,9 +104,15 @@ def together(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow over slices of bounded size, whatever batches the session sends."""
-    return df.mapInArrow(lambda batches: f(sliced(batches)), schema)
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over slices of bounded size, whatever batches the session sends.
+
+    Where f gives back the columns that it gets (schema is then a type), their names may hold dots."""
+    run = lambda batches: f(sliced(batches))
+    if isinstance(schema, StructType) and any("." in n for n in df.columns):
+        plain = [f"_{k}" if "." in n else n for k, n in enumerate(df.columns)]
+        return df.toDF(*plain).mapInArrow(run, StructType([StructField(n, x.dataType, x.nullable) for n, x in zip(plain, schema)])).toDF(*df.columns)
+    return df.mapInArrow(run, schema)
 
 
 def texts_of(docs: DataFrame, *more: str) -> DataFrame:

@@ -83,7 +83,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
 def emit(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, seed: int = 0) -> DataFrame:
     """Rows of docs as often as the mix takes them, with copy (1, 2, ...), which replaces a column of that name.
 
-    Rows that share an id, or have none, are emitted alike, as often as the one of them that is taken most."""
+    Rows that share an id, or have none, are emitted alike, as often as the one of them that is taken most. Null and
+    empty texts have size 0 and are taken as often as others of their source; an empty table, or one without any
+    word, gives no rows. All other columns are kept, whatever their names."""
     chosen = mix(docs, weights, cap, seed).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
     joined = docs.join(chosen, docs["doc_id"].cast("long").eqNullSafe(chosen["doc_id"]))
     own = [docs[f"`{c}`"] for c in docs.columns if c.lower() != "copy"]

@@ -270,7 +270,11 @@ def find(docs: DataFrame, model: np.ndarray | None = None) -> DataFrame:
 
 
 def redact(docs: DataFrame, model: np.ndarray | None = None) -> DataFrame:
-    """docs with every span replaced by its kind, as in "<EMAIL>"; n_chars, where there is one, follows. Null texts stay null."""
+    """docs with every span replaced by its kind, as in "<EMAIL>"; n_chars, where there is one, follows.
+
+    Null texts stay null, empty ones empty; of spans that overlap the first gives the kind; texts of any length are
+    read whole; repeated rows and rows with a null id are treated by their text; an empty table gives none. All
+    columns are kept, whatever their names."""
     w = fit(docs) if model is None else model
 
     def run(batches):
