@@ -56,7 +56,7 @@ def anchor_scores(pools: DataFrame, used: DataFrame, assoc: DataFrame) -> DataFr
     mean divides by all anchors, masked_mean by those with evidence; without evidence all are 0."""
     hits = pools.select("context_id", "candidate").join(used.select("context_id", F.explode("used").alias("anchor")), "context_id")
     a = assoc.select(F.col("a").alias("candidate"), F.col("b").alias("anchor"), "v")
-    hits = hits.join(a, ["candidate", "anchor"]).groupBy("context_id", "candidate").agg(F.sum("v").alias("total"), F.count("*").alias("k"), F.max("v").alias("most"))
+    hits = hits.join(a.hint("shuffle_hash"), ["candidate", "anchor"]).groupBy("context_id", "candidate").agg(F.sum("v").alias("total"), F.count("*").alias("k"), F.max("v").alias("most"))
     d = pools.join(used.select("context_id", F.size("used").alias("n_anchors")), "context_id").join(hits, ["context_id", "candidate"], "left")
     total = F.coalesce("total", F.lit(0.0))
     return d.select(*pools.columns, "n_anchors", F.when(F.col("n_anchors") > 0, total / F.col("n_anchors")).otherwise(0.0).alias("mean"), F.when(F.col("k") > 0, total / F.col("k")).otherwise(0.0).alias("masked_mean"), F.coalesce("most", F.lit(0.0)).alias("most"))
@@ -69,7 +69,7 @@ def arm_scores(pools: DataFrame, arms: DataFrame, assoc: DataFrame, names: list[
     the context, 0 without evidence."""
     sizes = arms.groupBy("context_id").agg(*(F.count_if(F.col("arm") == n).alias(f"k_{n}") for n in names))
     a = assoc.select(F.col("a").alias("candidate"), F.col("b").alias("anchor"), "v")
-    hits = pools.select("context_id", "candidate").join(arms, "context_id").join(a, ["candidate", "anchor"])
+    hits = pools.select("context_id", "candidate").join(arms, "context_id").join(a.hint("shuffle_hash"), ["candidate", "anchor"])
     sums = hits.groupBy("context_id", "candidate").agg(*(F.sum(F.when(F.col("arm") == n, F.col("v"))).alias(f"s_{n}") for n in names))
     d = pools.select("context_id", "candidate").join(sizes, "context_id").join(sums, ["context_id", "candidate"], "left")
     return d.select("context_id", "candidate", *(F.when(F.col(f"k_{n}") > 0, F.coalesce(f"s_{n}", F.lit(0.0)) / F.col(f"k_{n}")).alias(n) for n in names))
@@ -84,7 +84,7 @@ def grid(pools: DataFrame, used: DataFrame, edges: DataFrame, alphas: tuple[floa
     d = edges.join(m.toDF("a", "ma"), "a").join(m.toDF("b", "mb"), "b").crossJoin(F.broadcast(z))
     v = [F.ln(F.col("n") * F.col(f"z{k}") * F.col(f"z{k}") / (F.col("total") * F.pow("ma", F.lit(x)) * F.pow("mb", F.lit(x)))).alias(f"v{k}") for k, x in enumerate(alphas)]
     d = d.select(F.col("a").alias("candidate"), F.col("b").alias("anchor"), "n", *v)
-    hits = pools.select("context_id", "candidate").join(used.select("context_id", F.size("used").alias("k"), F.explode("used").alias("anchor")), "context_id").join(d, ["candidate", "anchor"])
+    hits = pools.select("context_id", "candidate").join(used.select("context_id", F.size("used").alias("k"), F.explode("used").alias("anchor")), "context_id").join(d.hint("shuffle_hash"), ["candidate", "anchor"])
     ppmi_ = [F.sum(F.when((F.col(f"v{k}") > 0) & (F.col("n") >= c), F.col(f"v{k}")).otherwise(0.0)) for k in range(len(alphas)) for c in min_counts]
     counts = [F.sum(F.when(F.col("n") >= c, F.col("n")).otherwise(0)) for c in min_counts]
     return hits.groupBy("context_id", "candidate").agg(F.array(*((x / F.first("k")) for x in (*ppmi_, *counts))).alias("m"))

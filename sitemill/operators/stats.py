@@ -48,8 +48,10 @@ def paired(rows: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
     paper and name there is one row from here on; the resampling joins these with themselves."""
     from pyspark.sql import Window as W
 
+    from ..session import kept
+
     per = rows.groupBy("name", "citing_id").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.avg(F.col("a") - F.col("b")).alias("d"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.count("*").alias("n"))
-    per = per.withColumn("k", F.row_number().over(W.partitionBy("name").orderBy("citing_id")) - 1).withColumn("papers", F.count("*").over(W.partitionBy("name")))
+    per = kept(per).withColumn("k", F.row_number().over(W.partitionBy("name").orderBy("citing_id")) - 1).withColumn("papers", F.count("*").over(W.partitionBy("name")))
     place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "draw", "i").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("papers")
     drawn = per.select("name", F.col("k").alias("i"), "papers", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("name", "draw", place.alias("k"))
     means = drawn.join(per.select("name", F.col("k").cast("long").alias("k"), "d"), ["name", "k"]).groupBy("name", "draw").agg(F.round(F.avg("d"), 9).alias("m"))
@@ -96,15 +98,13 @@ def numbered(rows: DataFrame, *order: str) -> DataFrame:
     those before, so no task has them all."""
     from pyspark.sql import Window as W
 
-    from ..session import scratch_path
+    from ..session import kept
 
-    spark, at = rows.sparkSession, scratch_path(rows.sparkSession)
-    rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()).write.parquet(at)
-    kept = spark.read.parquet(at)
-    sizes = kept.groupBy("_part").agg(F.count("*").alias("_n"))
+    dealt = kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_first", F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).select("_part", "_first")  # a row a range
     n = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return kept.withColumn("number", n).join(F.broadcast(before), "_part").withColumn("number", F.col("number") + F.col("_first")).drop("_part", "_first")
+    return dealt.withColumn("number", n).join(F.broadcast(before), "_part").withColumn("number", F.col("number") + F.col("_first")).drop("_part", "_first")
 
 
 def kappa(labels: DataFrame, a: str, b: str) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import probes as P, report, text as T
 from ..operators import graph, pools, scorers, sites, stats
+from ..session import kept
 from ..sources import adapters
 from .base import PAIRED, Corpus, ranked_by, rr, split_sql, sql
-from .citation import _ASYM, _INFL, _SWAP4, _SWAPS, R6, deciles, influence, jn_reciprocal, smp_degree_matched, smp_other_location, smp_random_anchors
+from .citation import _ASYM, _INFL, _SWAP4, _SWAPS, R6, deciles, influence, reciprocal, smp_degree_matched, smp_other_location, smp_random_anchors
 from .registry import query
 
 #: The settings of a sweep.
@@ -224,10 +225,11 @@ def an_swap(s, d):
     """Accuracy (a) of base, association and both at the lambda that is best on the validation split, the first of equals, and paired differences.
 
     A base score's mean cancels out of a pair's outcome; its deviation is that of the validation pairs."""
-    val, test = _swap_pairs(Corpus(s, d, "val")), _swap_pairs(Corpus(s, d))
+    val, test = kept(_swap_pairs(Corpus(s, d, "val"))), _swap_pairs(Corpus(s, d))
     sigma = val.select(F.explode("b").alias("b")).agg(F.stddev_pop("b").alias("s"))
     on_val = val.crossJoin(F.broadcast(sigma)).withColumn("lam", F.explode(F.array(*map(F.lit, LAMBDAS)))).groupBy("lam", "citing_id").agg(F.avg(_outcome(F.col("db") / F.col("s") + F.col("lam") * F.col("dv"))).alias("o"))
     chosen = on_val.groupBy("lam").agg(F.round(F.avg("o"), 9).alias("accuracy")).agg(F.max_by("lam", F.struct("accuracy", -F.col("lam"))).alias("lam")).crossJoin(F.broadcast(sigma))
+    chosen = kept(chosen)
     arms = test.crossJoin(F.broadcast(chosen)).select("citing_id", "lam", _outcome(F.col("db")).alias("base"), _outcome(F.col("dv")).alias("cocite"), _outcome(F.col("db") / F.col("s") + F.col("lam") * F.col("dv")).alias("both"))
     zero = F.lit(0.0)
     rows = _compared(arms, *((n, F.col(n), zero, None) for n in ("base", "cocite", "both")), *((f"both-{n}", F.col("both"), F.col(n), None) for n in ("base", "cocite")))
@@ -348,7 +350,7 @@ def an_hard_easy(s, d):
     r = ranked_by(p, "hard", base=F.col("z"), own=F.col("z") + LAMBDA * F.col("mean")).withColumn("d", F.col("own_rr") - F.col("base_rr"))
     part = lambda v, ok: F.avg(F.when(ok, F.col(v)))
     j = r.groupBy("citing_id").agg(part("d", F.col("hard")).alias("hd"), part("base_rr", F.col("hard")).alias("hb"), part("d", ~F.col("hard")).alias("ed"), part("base_rr", ~F.col("hard")).alias("eb"))
-    j = j.withColumn("k", (F.row_number().over(W.orderBy("citing_id")) - 1).cast("long")).withColumn("papers", F.count("*").over(W.partitionBy()))
+    j = kept(j).withColumn("k", (F.row_number().over(W.orderBy("citing_id")) - 1).cast("long")).withColumn("papers", F.count("*").over(W.partitionBy()))
     place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("0"), "draw", "i").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("papers")
     drawn = j.select(F.col("k").alias("i"), "papers", F.explode(F.sequence(F.lit(0), F.lit(999))).alias("draw")).select("draw", place.alias("k"))
     boot = drawn.join(j.drop("papers"), "k").groupBy("draw").agg(*(F.avg(x).alias(x) for x in ("hd", "hb", "ed", "eb")))
@@ -373,10 +375,10 @@ UNION ALL SELECT 'all', 'd_rr', count(*), round(avg(d_rr), 6), round(avg(d_hit),
 ))
 def an_influence(s, d):
     """What the removal of an anchor takes (value: reciprocal rank, hit: R@1) by tenths of its association with the target, over all, and how unlike both directions of a pair are."""
-    r = influence(Corpus(s, d))
+    r = kept(influence(Corpus(s, d)))
     six = lambda section, key, rows, n, v, h: rows.agg(n.alias("n"), R6(v, "value"), (F.round(h, 6) if h is not None else F.lit(None).cast("double")).alias("hit")).select(F.lit(section).alias("section"), F.lit(key).alias("key"), "n", "value", "hit")
     dec = deciles(r).groupBy("bin").agg(F.count("*").alias("n"), R6(F.avg("d_rr"), "value"), R6(F.avg("d_hit"), "hit")).select(F.lit("decile").alias("section"), F.col("bin").cast("string").alias("key"), "n", "value", "hit")
-    a = jn_reciprocal(s, d)
+    a = kept(reciprocal(r))
     apart, n = F.abs(F.col("fwd") - F.col("rev")), F.count("*")
     out = dec.unionByName(six("all", "d_rr", r, n, F.avg("d_rr"), F.avg("d_hit")))
     for key, v in (("mean_abs_difference", F.avg(apart)), ("median_abs_difference", F.expr("percentile(abs(fwd - rev), 0.5D)")), ("frac_same_sign", F.avg(((F.col("fwd") > 0) == (F.col("rev") > 0)).cast("double")))):
@@ -394,7 +396,7 @@ def _anchored_pairs(s, d) -> DataFrame:
     r = r.join(v.toDF("vp", "xp"), "vp").join(v.toDF("vq", "xq"), "vq").withColumn("sim", F.round(scorers.dot(F.col("xp"), F.col("xq")), 9)).drop("xp", "xq", "vp", "vq", "size")
     w = W.partitionBy("context_id").orderBy("anchor")
     best = F.greatest(F.max("ppmi").over(w.rowsBetween(W.unboundedPreceding, -1)), F.max("ppmi").over(w.rowsBetween(1, W.unboundedFollowing)))
-    return r.withColumn("cover", F.coalesce(best >= F.col("ppmi"), F.lit(False)))
+    return kept(r.withColumn("cover", F.coalesce(best >= F.col("ppmi"), F.lit(False))))
 
 
 def _at(rows: DataFrame, value: str, *places) -> DataFrame:
@@ -538,7 +540,7 @@ def _rebuilt(s, d) -> DataFrame:
     site = at.groupBy("theta", "grp", "location").agg(F.collect_set("ref").alias("cited"))
     refs = w.groupBy("grp").agg(F.collect_set(ref).alias("refs"))
     at = at.join(site, ["theta", "grp", "location"]).join(refs, "grp")
-    return at.select("theta", "grp", "i", "ref", "location", F.array_sort(F.array_remove("cited", F.col("ref"))).alias("anchors"), F.array_sort(F.array_except("refs", "cited")).alias("candidates"))
+    return kept(at.select("theta", "grp", "i", "ref", "location", F.array_sort(F.array_remove("cited", F.col("ref"))).alias("anchors"), F.array_sort(F.array_except("refs", "cited")).alias("candidates")))
 
 
 def _eligible_at(rows: DataFrame) -> DataFrame:

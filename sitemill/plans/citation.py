@@ -660,7 +660,11 @@ _ASYM = "both_ways AS (SELECT citing_id, least(gold, anchor) AS lo, greatest(gol
 
 @query("jn_reciprocal", sql("SELECT citing_id, lo, hi, round(fwd, 6) AS fwd, round(rev, 6) AS rev FROM both_ways WHERE fwd IS NOT NULL AND rev IS NOT NULL", _INFL, _ASYM))
 def jn_reciprocal(s, d):
-    r = influence(Corpus(s, d))
+    return reciprocal(influence(Corpus(s, d)))
+
+
+def reciprocal(r):
+    """citing_id, lo, hi, fwd, rev: pairs of a paper's references whose influence is known in both directions."""
     last = lambda c: F.max_by(F.when(c, F.col("d_rr")), F.when(c, F.col("context_id")))
     g = r.groupBy("citing_id", F.least("gold", "anchor").alias("lo"), F.greatest("gold", "anchor").alias("hi")).agg(last(F.col("gold") < F.col("anchor")).alias("fwd"), last(F.col("gold") > F.col("anchor")).alias("rev"))
     return g.where("fwd IS NOT NULL AND rev IS NOT NULL").select("citing_id", "lo", "hi", R6("fwd"), R6("rev"))

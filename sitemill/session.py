@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_path(spark: SparkSession) -> str:
@@ -21,6 +21,13 @@ def scratch_path(spark: SparkSession) -> str:
     return path
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table that was written and is read again: for what several parts of a plan need, so that it is made once."""
+    at = scratch_path(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def _local() -> str:
     global _own
     _own = _own or tempfile.mkdtemp(prefix="sitemill-")
