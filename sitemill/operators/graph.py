@@ -135,4 +135,4 @@ def node_values(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     from .scorers import dot
 
     d = pairs.join(nodes.toDF("candidate", "_x"), "candidate", "left").join(nodes.toDF("anchor", "_y"), "anchor", "left")
-    return d.withColumn("v", F.coalesce(F.greatest(F.round(dot(F.col("_x"), F.col("_y")), 9), F.lit(0.0)), F.lit(0.0))).drop("_x", "_y")
+    return d.withColumn("v", F.coalesce(F.greatest(dot(F.col("_x"), F.col("_y")), F.lit(0.0)), F.lit(0.0))).drop("_x", "_y")

@@ -330,9 +330,9 @@ def sc_mmap_dense(s, d):
 _NODES = (
     "vec AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)",
     "node AS (SELECT id, x FROM (SELECT DISTINCT refid AS id FROM ctx WHERE split = 'train') JOIN vec ON vec_id = id::BIGINT % (SELECT count(*) FROM vec))",
-    f"node_pair AS (SELECT context_id, candidate, anchor, n_anchors, greatest(round({_COS}, 9), 0) AS v FROM (SELECT context_id, candidate, n_anchors, unnest(anchors) AS anchor FROM score JOIN anc USING (context_id)) LEFT JOIN node a ON a.id = candidate LEFT JOIN node b ON b.id = anchor)",
+    f"node_pair AS (SELECT context_id, candidate, anchor, n_anchors, greatest({_COS}, 0) AS v FROM (SELECT context_id, candidate, n_anchors, unnest(anchors) AS anchor FROM score JOIN anc USING (context_id)) LEFT JOIN node a ON a.id = candidate LEFT JOIN node b ON b.id = anchor)",
     "node_score AS (SELECT context_id, candidate, sum(coalesce(v, 0)) / any_value(n_anchors) AS mean, coalesce(sum(v) FILTER (v > 0) / nullif(count(*) FILTER (v > 0), 0), 0) AS masked_mean, coalesce(max(v), 0) AS most FROM node_pair GROUP BY ALL)",
-    f"citing_score AS (SELECT s.context_id, s.citing_id, s.candidate, s.is_gold, coalesce(greatest(round({_COS}, 9), 0), 0) AS base FROM score s LEFT JOIN node a ON a.id = candidate LEFT JOIN node b ON b.id = s.citing_id)",
+    f"citing_score AS (SELECT s.context_id, s.citing_id, s.candidate, s.is_gold, coalesce(greatest({_COS}, 0), 0) AS base FROM score s LEFT JOIN node a ON a.id = candidate LEFT JOIN node b ON b.id = s.citing_id)",
 )
 
 
