@@ -2,9 +2,11 @@
 
 Words are scored with the pieces of an existing vocabulary: a word's probability is the sum, over all its
 segmentations, of the product of its pieces' probabilities (forward recursion in log space), a text's the
-product over its words and an end. The vocabulary's own scores weight the segmentations. Beside that, one
-expectation step over the counts of all training words turns them into piece probabilities of the corpus, of
-which the learned score is made.
+product over its words and an end. The vocabulary's own scores weight the segmentations. Beside that, two
+expectation steps over the training words, each counted once, turn them into piece probabilities of words that
+are new to a corpus. The learned score is of a lattice to which every training word is added as one piece, that
+spans it whole: such a piece has the word's count less a discount, and what the discounts leave goes to the ways
+of spelling a word by smaller pieces.
 
 Counts of words are a distributed table. Words that hold at least 1 / HEAD of all training tokens, at most
 HEAD many, are broadcast and looked up where texts are read; the others, none of them hot by definition, are
@@ -192,40 +194,54 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     Words of the text after A-Z are lower-cased, and an end. base_score: log10 likelihood under the smoothed
     word counts of the training documents; score: log10 of the lattice's marginal probability of the words
-    and the end, under the vocabulary's own scores; learned_score: the same under the piece probabilities that
-    training documents give. Null and empty texts have the end alone. Repeated rows count, and are returned,
+    and the end, under the vocabulary's own scores; learned_score: the same under what training documents give,
+    P(word) = (max(c - D, 0) + (D V + 1) L(word)) / (N + 2) and P(end) = (ends + 1) / (N + 2), L being the lattice of
+    learned pieces, V the distinct training words and D the discount n1 / (n1 + 2 n2), from 0.1 to 0.9, of n1 words
+    that occur once and n2 that occur twice; it is finite and sums to at most 1. Null and empty texts have the end alone. Repeated rows count, and are returned,
     each; a null id counts as empty text where rows are held out; an empty table gives no rows; columns besides
     doc_id and text are not read. Words of any length are scored whole, in time linear in them."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "likelihood")
     counts = scratch.keep(word_counts(docs))
-    total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("ends")).first()
+    total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.sum(F.when(F.col("word").isNull(), F.col("c"))).alias("ends"), *(F.count_if(F.col("word").isNotNull() & (F.col("c") == k)).alias(f"n{k}") for k in (1, 2))).first()
     n, v, ends = total["n"] or 0, total["v"] or 0, total["ends"] or 0
+    discount = min(0.9, max(0.1, total["n1"] / max(1, total["n1"] + 2 * total["n2"])))
+    spelt = discount * (v - int(ends > 0)) + 1
     own = Lattice.load(vocabulary)
     first = spark.sparkContext.broadcast(own)
 
-    def expect(batches):
-        """The words with their probability, then, without a word, the expected occurrences of pieces (numbered in c)."""
-        lattice = first.value
-        sums = np.zeros(len(lattice.logp))
-        for b in together(batches):
-            more, lp = lattice.expected(b.column("word").to_pylist(), b.column("c").to_numpy(zero_copy_only=False).astype(float))
-            sums += more
-            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(lp / np.log(10))], names=["word", "c", "lp"])
-        at = np.flatnonzero(sums)
-        # sums of 1/65536, so that they don't depend on the order of addition
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at), pa.array(np.rint(sums[at] * 65536))], names=["word", "c", "lp"])
-
-    words = scratch.keep(map_arrow(counts.where("word IS NOT NULL"), expect, "word string, c long, lp double"), counts)
-    sums = np.zeros(len(own.logp))
-    for r in words.where("word IS NULL").groupBy("c").agg(F.sum(F.col("lp").cast("long")).alias("x")).collect():
-        sums[r["c"]] = r["x"] / 65536
-    learned = own.estimated(sums, ends)
-    model = spark.sparkContext.broadcast(learned)
+    def expect(lattice, keep: bool):
+        """The words with their probability, if they are kept, then, without a word, the expected occurrences of pieces (numbered in c) in each training word once."""
+
+        def run(batches):
+            sums = np.zeros(len(lattice.value.logp))
+            for b in together(batches):
+                more, lp = lattice.value.expected(b.column("word").to_pylist(), (b.column("c").to_numpy(zero_copy_only=False) > 0).astype(float))
+                sums += more
+                if keep:
+                    yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(lp / np.log(10))], names=["word", "c", "lp"])
+            at = np.flatnonzero(sums)
+            # sums of 1/65536, so that they don't depend on the order of addition
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.string()), pa.array(at), pa.array(np.rint(sums[at] * 65536))], names=["word", "c", "lp"])
+
+        return run
+
+    def learnt(rows: DataFrame) -> Lattice:
+        sums = np.zeros(len(own.logp))
+        for r in rows.where("word IS NULL").groupBy("c").agg(F.sum(F.col("lp").cast("long")).alias("x")).collect():
+            sums[r["c"]] = r["x"] / 65536
+        return own.estimated(sums, 0)
+
+    words = scratch.keep(map_arrow(counts.where("word IS NOT NULL"), expect(first, True), "word string, c long, lp double"), counts)
+    second = spark.sparkContext.broadcast(learnt(words))
+    model = spark.sparkContext.broadcast(learnt(map_arrow(words.where("word IS NOT NULL AND c > 0").select("word", "c"), expect(second, False), "word string, c long, lp double")))
 
     def marginal(batches):
         for b in together(batches):
-            more = model.value.scores(b.column("word").to_pylist()) / np.log(10)
+            c = b.column("c").to_numpy(zero_copy_only=False)
+            with np.errstate(divide="ignore"):
+                whole = np.log(np.maximum(c - discount, 0) / (n + 2))
+            more = np.logaddexp(whole, np.log(spelt / (n + 2)) + model.value.scores(b.column("word").to_pylist())) / np.log(10)
             yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), b.column("lp"), pa.array(more)], names=["word", "c", "lp", "more"])
 
     table = scratch.keep(map_arrow(words.where("word IS NOT NULL"), marginal, "word string, c long, lp double, more double"), words)
@@ -234,7 +250,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     common = table.where(F.col("c") >= least).collect()
     values = np.array([(np.log10((r["c"] + 0.1) / floor), r["lp"], r["more"]) for r in common]).reshape(-1, 3)
     head = spark.sparkContext.broadcast(({r["word"].encode(): k for k, r in enumerate(common)}, values))
-    ends_at = (float(np.log10((ends + 0.1) / floor)) if floor else 0.0, own.end / np.log(10), learned.end / np.log(10))
+    ends_at = (float(np.log10((ends + 0.1) / floor)) if floor else 0.0, own.end / np.log(10), float(np.log10((ends + 1) / (n + 2))))
     names, end_known = ("base_score", "score", "learned_score"), int(ends > 0)
 
     def read(batches):

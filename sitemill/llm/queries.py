@@ -36,7 +36,9 @@ def decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
-    return likelihood.score(_table(spark, folder, "documents"))
+    """score is the model that training documents give; under the vocabulary's own scores it is vocabulary_score."""
+    found = likelihood.score(_table(spark, folder, "documents"))
+    return found.withColumnsRenamed({"score": "vocabulary_score", "learned_score": "score"})
 
 
 def license_scan(spark: SparkSession, folder: str) -> DataFrame:
