@@ -26,18 +26,54 @@ def cluster_ci(means: np.ndarray, draws: int = 1000, seed: int = 0, level: float
     return float(lo), float(hi)
 
 
+def resampled(per: DataFrame, by: str | None, *values: str, draws: int = 1000, seed: int = 0) -> DataFrame:
+    """by (if given), draw and the means of values, in resample number draw, of per: a row for each by and citing_id.
+
+    Draw d's i-th paper is number md5(seed:d:i), its first 8 digits, modulo their count, in order of citing_id; a null
+    adds nothing to a mean, and one of nulls only is null. Eight bytes for each value come to the driver and go to all
+    tasks; a task makes whole draws, whose hashes all of by share, so no row for a drawn paper is shuffled."""
+    from hashlib import md5
+
+    import pyarrow as pa
+
+    order = [c for c in (by, "citing_id") if c]
+    sizes = [(r[0], r[1]) for r in per.groupBy(by).agg(F.count("*")).orderBy(by).collect()] if by else [(None, per.count())]
+    spark = per.sparkSession
+    table = per.orderBy(*order).select(*(F.col(v).cast("double").alias(v) for v in values)).toArrow()
+    columns = spark.sparkContext.broadcast([table.column(v).to_numpy() for v in values])
+    del table
+
+    def run(batches):
+        most = max((n for _, n in sizes), default=0)
+        for d in (x for b in batches for x in b.column(0).to_pylist()):
+            total, count = np.zeros((len(sizes), len(values))), np.zeros((len(sizes), len(values)))
+            for lo in range(0, most, 1 << 17):
+                head = f"{seed}:{d}:"
+                h = np.frombuffer(b"".join([md5(f"{head}{i}".encode()).digest()[:4] for i in range(lo, min(most, lo + (1 << 17)))]), ">u4").astype(np.int64)
+                at = 0
+                for k, (_, n) in enumerate(sizes):
+                    own = h[: max(0, n - lo)] % n + at
+                    for j, x in enumerate(columns.value):
+                        drawn = x[own]
+                        ok = ~np.isnan(drawn)
+                        total[k, j] += drawn[ok].sum()
+                        count[k, j] += ok.sum()
+                    at += n
+            with np.errstate(invalid="ignore", divide="ignore"):
+                means = np.where(count > 0, total / count, np.nan)
+            names = [pa.array([n for n, _ in sizes], pa.string())] if by else []
+            yield pa.RecordBatch.from_arrays([*names, pa.array([d] * len(sizes), pa.int64()), *(pa.array(m, from_pandas=True) for m in means.T)], names=[*([by] if by else []), "draw", *values])
+
+    schema = ", ".join([*([f"{by} string"] if by else []), "draw long", *(f"{v} double" for v in values)])
+    return spark.range(draws).mapInArrow(run, schema)
+
+
 def hash_bootstrap(rows: DataFrame, value: str, draws: int = 1000, seed: int = 0) -> DataFrame:
     """lo, hi: the same distributed; draw d's i-th paper is number md5(seed:d:i) modulo the count."""
-    from pyspark.sql import Window as W
+    from ..session import kept
 
-    spark = rows.sparkSession
-    per = rows.groupBy("citing_id").agg(F.avg(value).alias("v"))
-    per = per.withColumn("k", F.row_number().over(W.orderBy("citing_id")) - 1)
-    n = per.agg(F.count("*").alias("n"))
-    draw = spark.range(draws).select(F.col("id").alias("d")).crossJoin(F.broadcast(n)).select("d", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "d", "i").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("n")
-    means = draw.withColumn("k", place).join(per, "k").groupBy("d").agg(F.avg("v").alias("mean"))
-    return means.agg(F.expr("percentile(mean, 0.025D)").alias("lo"), F.expr("percentile(mean, 0.975D)").alias("hi"))
+    means = resampled(kept(rows.groupBy("citing_id").agg(F.avg(value).alias("v"))), None, "v", draws=draws, seed=seed)
+    return means.agg(F.expr("percentile(v, 0.025D)").alias("lo"), F.expr("percentile(v, 0.975D)").alias("hi"))
 
 
 def paired(rows: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
@@ -45,16 +81,11 @@ def paired(rows: DataFrame, draws: int = 1000, seed: int = 0) -> DataFrame:
 
     a, b and delta = a - b are means over papers of their means; lo and hi bound 95% of the mean delta of resampled
     papers, draw d's i-th paper being number md5(seed:d:i) modulo their count; pool_* average all rows alike. Per
-    paper and name there is one row from here on; the resampling joins these with themselves."""
-    from pyspark.sql import Window as W
-
+    paper and name there is one row from here on."""
     from ..session import kept
 
-    per = rows.groupBy("name", "citing_id").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.avg(F.col("a") - F.col("b")).alias("d"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.count("*").alias("n"))
-    per = kept(per).withColumn("k", F.row_number().over(W.partitionBy("name").orderBy("citing_id")) - 1).withColumn("papers", F.count("*").over(W.partitionBy("name")))
-    place = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "draw", "i").cast("binary")), 1, 8), 16, 10).cast("long") % F.col("papers")
-    drawn = per.select("name", F.col("k").alias("i"), "papers", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("name", "draw", place.alias("k"))
-    means = drawn.join(per.select("name", F.col("k").cast("long").alias("k"), "d"), ["name", "k"]).groupBy("name", "draw").agg(F.round(F.avg("d"), 9).alias("m"))
+    per = kept(rows.groupBy("name", "citing_id").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.avg(F.col("a") - F.col("b")).alias("d"), F.sum("a").alias("sa"), F.sum("b").alias("sb"), F.count("*").alias("n")))
+    means = resampled(per, "name", "d", draws=draws, seed=seed).select("name", F.round("d", 9).alias("m"))
     ci = means.groupBy("name").agg(F.expr("percentile(m, 0.025D)").alias("lo"), F.expr("percentile(m, 0.975D)").alias("hi"))
     six = lambda c, name: F.round(c, 6).alias(name)
     all_ = per.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("papers"), six(F.avg("a"), "a"), six(F.avg("b"), "b"), six(F.avg("d"), "delta"), six(F.sum("sa") / F.sum("n"), "pool_a"), six(F.sum("sb") / F.sum("n"), "pool_b"), six((F.sum("sa") - F.sum("sb")) / F.sum("n"), "pool_delta"))
