@@ -17,7 +17,7 @@ def _stand_ins(corpus, refs: DataFrame, seeds: tuple[int, ...]) -> DataFrame:
     """citing_id, candidate, x, seed, arm, v: associations of a paper's references with what stands in for another, x, in the two control arms.
 
     A stand-in is chosen by a hash of seed, arm, paper and x among all references of the graph, or those of like degree."""
-    bins = graph.degree_bins(graph.vocabulary(corpus.train), graph.marginals(corpus.edges))
+    bins = graph.degree_bins(graph.vocabulary(corpus.train_sites), corpus.marginals)
     n = F.broadcast(bins.agg(F.count("*").alias("all"), F.min("bin").alias("low")))
     numbered = bins.withColumn("k_random", F.row_number().over(W.orderBy("id")) - 1).withColumn("k_degree", F.row_number().over(W.partitionBy("bin").orderBy("id")) - 1)
     sizes = F.broadcast(bins.groupBy("bin").agg(F.count("*").alias("size")))
