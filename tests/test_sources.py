@@ -42,3 +42,21 @@ def test_exports_are_written_in_parts_and_read_as_streams(spark, tmp_path, monke
 def test_windows_are_aligned_once(spark):
     df = registry.queries()["str_resolve"](spark, "/root/testdata/sf0.001")
     assert "TARGETCIT" not in df._jdf.queryExecution().optimizedPlan().toString() and df.count()
+
+
+def test_best_of_vectors_are_exact_and_few_leave_a_task(spark):
+    import numpy as np
+    from sitemill.operators import scorers
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(-2, 3, (300, 5)).astype(float) + 0.5
+    x[200:] = x[:100]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, y array<double>").repartition(3)
+    q = spark.createDataFrame([(k, x[k].tolist()) for k in range(0, 300, 20)], "query long, x array<double>")
+    dot = lambda a, b: sum((p * r for p, r in zip(a.tolist(), b.tolist())), 0.0)
+    want = {(k, i + 1, j) for k in range(0, 300, 20) for i, j in enumerate(sorted(range(300), key=lambda j: (-dot(x[k], x[j]), j))[:7])}
+    for most in (1 << 20, 200):
+        df = scorers.top_k(q, v, 7, most)
+        assert {(r["query"], r["rank"], r["id"]) for r in df.collect()} == want
+        assert "NestedLoopJoin" not in df._jdf.queryExecution().executedPlan().toString()
