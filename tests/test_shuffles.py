@@ -33,6 +33,6 @@ def dealt_out(spark, name):
 
 
 # times the 7,500 rows of lineitem and orders; with pools or anchors dealt out it was 2.5 times to 40 times
-@pytest.mark.parametrize(("name", "times"), [("set_distinct_candidates", 1.5), ("win_zscore_pool", 2), ("agg_paper_mean", 2), ("gr_alpha1_identity", 2), ("an_completion_semantic", 2), *((n, 3) for n in ("gr_value", "agg_assoc_mean", "jn_assoc_scatter", "agg_categorise", "jn_reciprocal", "sc_sweep", "win_swap_outcome")), *((n, 1.5) for n in ("gr_node_similarity", "gr_null_control", "sc_graph_embedding"))])
+@pytest.mark.parametrize(("name", "times"), [("set_distinct_candidates", 1.5), ("win_zscore_pool", 2), ("agg_paper_mean", 2), ("gr_alpha1_identity", 2), ("an_completion_semantic", 2), ("gr_walks", 3), *((n, 3) for n in ("gr_value", "agg_assoc_mean", "jn_assoc_scatter", "agg_categorise", "jn_reciprocal", "sc_sweep", "win_swap_outcome")), *((n, 1.5) for n in ("gr_node_similarity", "gr_null_control", "sc_graph_embedding"))])
 def test_rows_dealt_out(spark, name, times):
     assert dealt_out(spark, name) <= times * 7500
